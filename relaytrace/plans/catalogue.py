@@ -1,0 +1,193 @@
+"""Query catalogue over the driver tables.
+
+Each entry is ``(spark, sf_dir) -> DataFrame`` built from the library's
+operators, paired with an independent DuckDB formulation of the same
+result (``ORACLE_SQL``).  Every query reads whole tables; the predicates
+that shape simulated logs (retries, lost calls, model names) only decide
+*how* rows are logged, they never subset the input.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.dedup import prefix_dedup
+from ..operators.replay import mark_generation
+from ..sources.conversations import conversation_call_log
+from ..sources.tables import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql.strip()
+        return fn
+    return deco
+
+
+def _big(*cols: str) -> list[Column]:
+    return [F.col(c).cast("bigint").alias(c) for c in cols]
+
+
+# ---- shared construction rules (Spark and SQL spelling of the same rule) ----
+# retried call: the response spans several lines; lost call: response has no comma
+def RETRY_SPARK():
+    return F.instr(F.col("text"), "\n") > 0
+
+
+RETRY_SQL = "strpos(text, chr(10)) > 0"
+def LOST_SPARK():
+    return F.instr(F.col("text"), ",") == 0
+
+
+LOST_SQL = "strpos(text, ',') = 0"
+
+# ---- SQL fragments --------------------------------------------------------
+_ELEM_SQL = "json_object('c', v.text, 'r', v.role)::VARCHAR"
+
+
+def _calls_sql(retry: bool = False, lost: bool = False) -> str:
+    lost_clause = f" AND NOT ({LOST_SQL})" if lost else ""
+    base = f"SELECT conv_id, turn AS call_turn, turn * 10 AS request_time, text FROM conversations WHERE role = 'assistant'{lost_clause}"
+    if retry:
+        return (f"{base} UNION ALL SELECT conv_id, turn, turn * 10 + 5, text FROM conversations "
+                f"WHERE role = 'assistant'{lost_clause} AND {RETRY_SQL}")
+    return base
+
+
+def _ctx_sql(retry: bool = False, lost: bool = False) -> str:
+    return f"""
+calls AS ({_calls_sql(retry, lost)}),
+ctx AS (
+  SELECT c.conv_id, c.call_turn, c.request_time,
+         coalesce(string_agg({_ELEM_SQL}, ',' ORDER BY v.turn) FILTER (WHERE v.turn IS NOT NULL), '') AS ctx
+  FROM calls c LEFT JOIN conversations v ON v.conv_id = c.conv_id AND v.turn < c.call_turn
+  GROUP BY c.conv_id, c.call_turn, c.request_time),
+kept AS (
+  SELECT * FROM ctx a WHERE NOT EXISTS (
+    SELECT 1 FROM ctx b WHERE b.conv_id = a.conv_id AND b.request_time > a.request_time
+      AND starts_with(b.ctx, a.ctx)))"""
+
+
+def _log(spark: SparkSession, sf_dir: str, retry: bool = False, lost: bool = False):
+    conv = read_table(spark, sf_dir, "conversations")
+    return conversation_call_log(conv, retry_when=RETRY_SPARK() if retry else None,
+                                 lost_when=LOST_SPARK() if lost else None)
+
+
+def _kept(log) -> DataFrame:
+    flagged = prefix_dedup(log.ctx.select("session_id", "call_order", F.col("key").alias("dkey")),
+                           log.calls.withColumn("ctx_dkey", F.col("ctx_key")))
+    return flagged.where("kept")
+
+
+# ---- A1/W1: call snapshots -------------------------------------------------
+@query("call_snapshots", """
+SELECT a.conv_id AS session_id, a.turn AS call_turn, a.turn * 10 AS request_time,
+       CAST(count(b.turn) AS BIGINT) AS ctx_len,
+       CAST(coalesce(sum(CASE WHEN b.role = 'assistant' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_prior_assistant,
+       CAST(row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS BIGINT) AS call_rank
+FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn < a.turn
+WHERE a.role = 'assistant'
+GROUP BY a.conv_id, a.turn
+""")
+def call_snapshots(spark, sf_dir):
+    calls = _log(spark, sf_dir).calls
+    w = Window.partitionBy("session_id").orderBy("call_order")
+    return (calls.withColumn("call_rank", F.row_number().over(w))
+            .withColumnRenamed("n_asst_before", "n_prior_assistant")
+            .select(*_big("session_id", "call_turn", "request_time", "ctx_len", "n_prior_assistant", "call_rank")))
+
+
+# ---- J1: prefix dedup --------------------------------------------------------
+@query("prefix_dedup", f"""
+WITH {_ctx_sql()}
+SELECT conv_id AS session_id, call_turn, request_time FROM kept
+""")
+def prefix_dedup_q(spark, sf_dir):
+    return _kept(_log(spark, sf_dir)).select(*_big("session_id", "call_turn", "request_time"))
+
+
+@query("prefix_dedup_retries", f"""
+WITH {_ctx_sql(retry=True)}
+SELECT conv_id AS session_id, call_turn, request_time, (request_time % 10 = 5) AS is_retry FROM kept
+""")
+def prefix_dedup_retries(spark, sf_dir):
+    return (_kept(_log(spark, sf_dir, retry=True))
+            .select(*_big("session_id", "call_turn", "request_time"), "is_retry"))
+
+
+# ---- P4/A11: minimum assistant turns -----------------------------------------
+@query("min_turns", f"""
+WITH {_ctx_sql()}
+SELECT k.conv_id AS session_id, k.call_turn,
+       CAST(1 + (SELECT count(*) FROM conversations v WHERE v.conv_id = k.conv_id
+                 AND v.turn < k.call_turn AND v.role = 'assistant') AS BIGINT) AS n_assistant
+FROM kept k
+WHERE 1 + (SELECT count(*) FROM conversations v WHERE v.conv_id = k.conv_id
+           AND v.turn < k.call_turn AND v.role = 'assistant') >= 3
+""")
+def min_turns(spark, sf_dir, min_assistant_turns: int = 3):
+    kept = _kept(_log(spark, sf_dir))
+    return (kept.withColumn("n_assistant", F.col("n_asst_before") + 1)
+            .where(F.col("n_assistant") >= min_assistant_turns)
+            .select(*_big("session_id", "call_turn", "n_assistant")))
+
+
+# ---- J2/J2b: generation flags -------------------------------------------------
+@query("generation_flags", f"""
+WITH {_ctx_sql(retry=True, lost=True)},
+occ AS (
+  SELECT k.conv_id, k.call_turn, k.request_time, m.turn AS msg_turn,
+         coalesce((SELECT string_agg({_ELEM_SQL}, ',' ORDER BY v.turn) FROM conversations v
+                   WHERE v.conv_id = k.conv_id AND v.turn < m.turn), '') AS hist
+  FROM kept k JOIN conversations m
+    ON m.conv_id = k.conv_id AND m.turn < k.call_turn AND m.role = 'assistant'),
+occ_r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, hist ORDER BY request_time, msg_turn) AS rn FROM occ),
+prov AS (SELECT conv_id, ctx, count(*) AS cnt FROM ctx GROUP BY conv_id, ctx)
+SELECT o.conv_id AS session_id, o.call_turn, o.request_time, o.msg_turn,
+       (o.rn <= coalesce(p.cnt, 0)) AS generation
+FROM occ_r o LEFT JOIN prov p ON p.conv_id = o.conv_id AND p.ctx = o.hist
+UNION ALL
+SELECT k.conv_id, k.call_turn, k.request_time, k.call_turn,
+       coalesce(p.cnt, 0) > (SELECT count(*) FROM occ o WHERE o.conv_id = k.conv_id AND o.hist = k.ctx
+                             AND o.request_time <= k.request_time)
+FROM kept k LEFT JOIN prov p ON p.conv_id = k.conv_id AND p.ctx = k.ctx
+""")
+def generation_flags(spark, sf_dir):
+    log = _log(spark, sf_dir, retry=True, lost=True)
+    kept = _kept(log).select("session_id", "call_order", "call_turn", "request_time",
+                             F.col("ctx_key").alias("ctx_gkey"))
+    occ = (log.ctx.where(F.col("role") == "assistant")
+           .join(kept.select("session_id", "call_order"), ["session_id", "call_order"], "left_semi")
+           .select("session_id", "call_order", "pos", F.col("key_before").alias("h"), "content_h"))
+    providers = log.calls.select("session_id", "call_order", F.col("ctx_key").alias("ctx_gkey"), "resp_h")
+    turns, finals = mark_generation(occ, kept, providers)
+    hist = (turns.join(kept, ["session_id", "call_order"])
+            .select("session_id", "call_turn", "request_time", F.col("pos").alias("msg_turn"), "generation"))
+    fin = (finals.join(kept, ["session_id", "call_order"])
+           .select("session_id", "call_turn", "request_time", F.col("call_turn").alias("msg_turn"),
+                   F.col("final_generation").alias("generation")))
+    return hist.unionByName(fin).select(*_big("session_id", "call_turn", "request_time", "msg_turn"), "generation")
+
+
+# ---- A4: context multiplicity -------------------------------------------------
+@query("context_multiplicity", f"""
+WITH {_ctx_sql(retry=True)}
+SELECT conv_id AS session_id, CAST(max(call_turn) AS BIGINT) AS ctx_len, CAST(count(*) AS BIGINT) AS n_calls,
+       CAST(min(request_time) AS BIGINT) AS first_request_time
+FROM ctx GROUP BY conv_id, ctx
+""")
+def context_multiplicity(spark, sf_dir):
+    calls = _log(spark, sf_dir, retry=True).calls
+    return (calls.groupBy("session_id", "ctx_key")
+            .agg(F.max("ctx_len").alias("ctx_len"), F.count(F.lit(1)).alias("n_calls"),
+                 F.min("request_time").alias("first_request_time"))
+            .select(*_big("session_id", "ctx_len", "n_calls", "first_request_time")))
