@@ -191,3 +191,381 @@ def context_multiplicity(spark, sf_dir):
             .agg(F.max("ctx_len").alias("ctx_len"), F.count(F.lit(1)).alias("n_calls"),
                  F.min("request_time").alias("first_request_time"))
             .select(*_big("session_id", "ctx_len", "n_calls", "first_request_time")))
+
+
+# ---- P1: model exclusion -------------------------------------------------------
+from ..operators.filters import exclude_models  # noqa: E402
+
+_MODEL_SPARK = ("CASE conv_id % 4 WHEN 0 THEN 'claude-haiku-4' WHEN 1 THEN 'Claude-Sonnet-4' "
+                "WHEN 2 THEN NULL ELSE 'Mini-HAIKU' END")
+
+
+@query("model_exclusion", f"""
+SELECT conv_id, turn, model FROM (SELECT conv_id, turn, {_MODEL_SPARK} AS model FROM conversations)
+WHERE lower(coalesce(model, '')) NOT LIKE '%haiku%'
+""")
+def model_exclusion(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_MODEL_SPARK).alias("model"))
+    return exclude_models(conv, "model").select(*_big("conv_id", "turn"), "model")
+
+
+# ---- F1/A2: hash buckets -------------------------------------------------------
+from ..operators.report import bucket_counts  # noqa: E402
+
+
+@query("bucket_counts", """
+SELECT CAST((('0x' || md5(CAST(conv_id AS VARCHAR)))::UHUGEINT % 100) AS BIGINT) AS bucket,
+       CAST(count(*) AS BIGINT) AS n_rows
+FROM conversations GROUP BY 1
+""")
+def bucket_counts_q(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return bucket_counts(conv, "conv_id").select(*_big("bucket", "n_rows"))
+
+
+# ---- W2: main trajectory per case ------------------------------------------------
+from ..operators.select import main_trajectory  # noqa: E402
+
+# case key of a logged call: the conversation id modulo 10 (ten cases); a call
+# carries tools when its conversation has a system turn
+
+
+@query("main_trajectory", """
+WITH calls AS (
+  SELECT c.conv_id, c.turn AS call_turn, c.conv_id % 10 AS case_key, c.turn + 1 AS n_msgs,
+         EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system') AS has_tools
+  FROM conversations c WHERE c.role = 'assistant'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY has_tools DESC,
+              CASE WHEN has_tools THEN n_msgs ELSE 0 END DESC,
+              CASE WHEN has_tools THEN conv_id ELSE -conv_id END,
+              CASE WHEN has_tools THEN call_turn ELSE -call_turn END) AS rn
+  FROM calls)
+SELECT case_key, conv_id, call_turn, n_msgs, has_tools FROM ranked WHERE rn = 1
+""")
+def main_trajectory_q(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    sys_convs = (log.elements.where(F.col("role") == "system").select("session_id").distinct()
+                 .withColumn("has_tools", F.lit(True)))
+    rows = (log.calls.join(sys_convs, "session_id", "left")
+            .select(F.col("session_id").alias("conv_id"), "call_turn",
+                    (F.col("session_id") % 10).alias("case_key"),
+                    (F.col("ctx_len") + 1).alias("n_msgs"),
+                    F.coalesce(F.col("has_tools"), F.lit(False)).alias("has_tools"),
+                    (F.col("session_id") * 1000 + F.col("call_turn")).alias("file_order")))
+    return (main_trajectory(rows, "case_key", "file_order", "has_tools", "n_msgs",
+                            ["conv_id", "call_turn", "n_msgs", "has_tools"])
+            .select(*_big("case_key", "conv_id", "call_turn", "n_msgs"), "has_tools"))
+
+
+# ---- W3/P20: assistant turn index ------------------------------------------------
+@query("turn_index", """
+SELECT conv_id, turn,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT)
+         AS assistant_turn_index
+FROM conversations QUALIFY role = 'assistant'
+""")
+def turn_index(spark, sf_dir):
+    from ..operators.select import assistant_turn_index
+    conv = read_table(spark, sf_dir, "conversations")
+    return (assistant_turn_index(conv, ["conv_id"], "turn")
+            .where(F.col("role") == "assistant")
+            .select(*_big("conv_id", "turn", "assistant_turn_index")))
+
+
+# ---- P19: middle truncation --------------------------------------------------------
+from ..functions.text import CONTENT_MARKER, REASONING_MARKER, middle_truncate  # noqa: E402
+
+
+def _trunc_sql(col: str, n: int, marker: str) -> str:
+    m = marker.replace("\n", "' || chr(10) || '")
+    return (f"CASE WHEN length({col}) > {n} THEN left({col}, {n // 2}) || '{m}' || right({col}, {-(-n // 2)}) "
+            f"ELSE {col} END")
+
+
+@query("truncate_text", f"""
+SELECT doc_id,
+       CAST(length({_trunc_sql('text', 5000, CONTENT_MARKER)}) AS BIGINT) AS tool_len,
+       md5({_trunc_sql('text', 5000, CONTENT_MARKER)}) AS tool_md5,
+       CAST(length({_trunc_sql('text', 50000, REASONING_MARKER)}) AS BIGINT) AS reasoning_len,
+       md5({_trunc_sql('text', 50000, REASONING_MARKER)}) AS reasoning_md5
+FROM documents
+""")
+def truncate_text(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    t1 = middle_truncate(F.col("text"), 5000, CONTENT_MARKER)
+    t2 = middle_truncate(F.col("text"), 50000, REASONING_MARKER)
+    return docs.select(F.col("doc_id").cast("bigint"), F.length(t1).cast("bigint").alias("tool_len"),
+                       F.md5(t1).alias("tool_md5"), F.length(t2).cast("bigint").alias("reasoning_len"),
+                       F.md5(t2).alias("reasoning_md5"))
+
+
+# ---- P21: prompt rendering ---------------------------------------------------------
+from ..operators.select import render_prompt, PROMPT_HEADER, TOOLS_TAG, MESSAGES_TAG, CHECKLIST_TAG, PROMPT_FOOTER  # noqa: E402,E501
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("prompt_digest", f"""
+WITH lines AS (
+  SELECT conv_id, string_agg(json_object('content', text, 'role', role)::VARCHAR, chr(10) ORDER BY turn) AS msgs
+  FROM conversations GROUP BY conv_id),
+p AS (
+  SELECT l.conv_id, concat_ws(chr(10), {_sql_lit(PROMPT_HEADER)}, {_sql_lit(TOOLS_TAG)}, '', {_sql_lit(MESSAGES_TAG)},
+         l.msgs, {_sql_lit(CHECKLIST_TAG)}, b.text, {_sql_lit(PROMPT_FOOTER)}) AS prompt
+  FROM lines l JOIN benchmark b ON b.item_id = l.conv_id)
+SELECT conv_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM p
+""")
+def prompt_digest(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    bench = read_table(spark, sf_dir, "benchmark")
+    line = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")))
+    # one trajectory = one row: messages gathered per conversation, ordered by turn
+    traj = (conv.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), line.alias("line")))).alias("_m"))
+            .select("conv_id", F.array_join(F.transform("_m", lambda x: x["line"]), "\n").alias("msgs")))
+    p = traj.join(bench, traj["conv_id"] == bench["item_id"]).select(
+        "conv_id", render_prompt(F.lit(""), F.col("msgs"), F.col("text")).alias("prompt"))
+    return p.select(F.col("conv_id").cast("bigint"), F.md5("prompt").alias("prompt_md5"),
+                    F.length("prompt").cast("bigint").alias("prompt_chars"))
+
+
+# ---- P22: judge output parsing -----------------------------------------------------
+from ..functions.text import strip_fences  # noqa: E402
+
+# judge text per event: fenced with a json tag (view), bare fence (click), padded
+# with whitespace (signup), cut short (error), plain (purchase)
+_JUDGE_TEXT_SPARK = """CASE event_type
+  WHEN 'view' THEN concat('```json', char(10), props, char(10), '```')
+  WHEN 'click' THEN concat('```', props, '```')
+  WHEN 'signup' THEN concat(char(10), '  ', props, char(10), ' ')
+  WHEN 'error' THEN substring(props, 1, length(props) - 1)
+  ELSE props END"""
+_JUDGE_TEXT_SQL = """CASE event_type
+  WHEN 'view' THEN '```json' || chr(10) || props || chr(10) || '```'
+  WHEN 'click' THEN '```' || props || '```'
+  WHEN 'signup' THEN chr(10) || '  ' || props || chr(10) || ' '
+  WHEN 'error' THEN substring(props, 1, length(props) - 1)
+  ELSE props END"""
+
+
+@query("judge_parse", f"""
+WITH t AS (SELECT event_id, {_JUDGE_TEXT_SQL} AS response FROM events),
+s AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(response, '^\\s+|\\s+$', '', 'g'), '^```json', ''), '^```', ''), '```$', '') AS body FROM t)
+SELECT event_id, try_cast(trim(body, ' ' || chr(10) || chr(9) || chr(13)) AS JSON) IS NOT NULL AS parsed_ok,
+       CAST(json_extract(try_cast(trim(body, ' ' || chr(10) || chr(9) || chr(13)) AS JSON), '$.k') AS BIGINT) AS k
+FROM s
+""")
+def judge_parse(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    resp = ev.select(F.col("event_id").cast("string").alias("instance_id"),
+                     F.expr(_JUDGE_TEXT_SPARK).alias("response"))
+    v = F.try_parse_json(strip_fences(F.col("response")))
+    return resp.select(F.col("instance_id").cast("bigint").alias("event_id"),
+                       v.isNotNull().alias("parsed_ok"),
+                       F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+# ---- A5-A8, A13: scoring (labels as verdicts, one case per document source) -----
+from ..functions.scoring import round3_sql  # noqa: E402
+from ..operators.score import detailed_results, score_cases, score_summary  # noqa: E402
+
+_CHECKS_SQL = """
+checks AS (
+  SELECT d.source AS instance_id, 'quality' AS category, CAST(doc_id AS VARCHAR) AS check_id, d.lang AS check_type,
+         CASE WHEN l.quality = 1 THEN 'success' ELSE 'fail' END AS result
+  FROM labels l JOIN documents d USING (doc_id)
+  UNION ALL
+  SELECT d.source, 'toxic', CAST(doc_id AS VARCHAR), d.lang, CASE WHEN l.toxic = 0 THEN 'success' ELSE 'fail' END
+  FROM labels l JOIN documents d USING (doc_id)),
+cases AS (SELECT DISTINCT source AS instance_id FROM documents),
+agg AS (
+  SELECT c.instance_id, count(k.result) AS t, count(*) FILTER (WHERE k.result = 'success') AS s
+  FROM cases c LEFT JOIN checks k USING (instance_id) GROUP BY c.instance_id),
+scores AS (
+  SELECT instance_id, CAST(t AS BIGINT) AS total_checks, CAST(s AS BIGINT) AS total_success,
+         CAST(coalesce(""" + round3_sql("s", "t") + """, 0) AS BIGINT) AS reward_milli FROM agg)"""
+
+
+def _label_checks(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    j = labels.join(docs, "doc_id")
+    two = F.explode(F.array(
+        F.struct(F.lit("quality").alias("category"),
+                 F.when(F.col("quality") == 1, "success").otherwise("fail").alias("result")),
+        F.struct(F.lit("toxic").alias("category"),
+                 F.when(F.col("toxic") == 0, "success").otherwise("fail").alias("result"))))
+    checks = j.select(F.col("source").alias("instance_id"), F.col("doc_id").cast("string").alias("check_id"),
+                      F.col("lang").alias("check_type"), two.alias("_c")).select(
+        "instance_id", "_c.category", "check_id", "check_type", "_c.result")
+    status = (docs.select(F.col("source").alias("instance_id")).distinct()
+              .withColumn("success", F.lit(True)).withColumn("error", F.lit(None).cast("string")))
+    return status, checks
+
+
+@query("reward", f"""
+WITH {_CHECKS_SQL}
+SELECT instance_id, total_checks, total_success, reward_milli, reward_milli / 1000.0 AS reward,
+       CAST(reward_milli = 1000 AS INTEGER) AS binary_reward FROM scores
+""")
+def reward(spark, sf_dir):
+    status, checks = _label_checks(spark, sf_dir)
+    s = score_cases(status, checks)
+    return s.select("instance_id", "total_checks", "total_success", "reward_milli", "reward", "binary_reward")
+
+
+@query("detailed_results", f"""
+WITH {_CHECKS_SQL}
+SELECT instance_id,
+       CASE GROUPING(category, check_type) WHEN 3 THEN 'total' WHEN 1 THEN 'category' ELSE 'check_type' END AS level,
+       CASE GROUPING(category, check_type) WHEN 1 THEN category WHEN 2 THEN check_type END AS name,
+       CAST(count(*) FILTER (WHERE result = 'success') AS BIGINT) AS success,
+       CAST(count(*) FILTER (WHERE result <> 'success' OR result IS NULL) AS BIGINT) AS fail,
+       CAST(count(*) AS BIGINT) AS total
+FROM checks GROUP BY GROUPING SETS ((instance_id), (instance_id, category), (instance_id, check_type))
+UNION ALL
+SELECT instance_id, 'total', NULL, 0, 0, 0 FROM cases WHERE instance_id NOT IN (SELECT instance_id FROM checks)
+""")
+def detailed_results_q(spark, sf_dir):
+    status, checks = _label_checks(spark, sf_dir)
+    return detailed_results(checks, checks.select("instance_id", "category"), status)
+
+
+@query("score_summary", f"""
+WITH {_CHECKS_SQL},
+tot AS (SELECT count(*) AS n, sum(reward_milli) AS sm, count(*) FILTER (WHERE reward_milli = 1000) AS p FROM scores)
+SELECT CAST(n AS BIGINT) AS total, CAST(n AS BIGINT) AS success_count,
+       CAST(coalesce({round3_sql('sm', 'n * 1000')}, 0) AS BIGINT) AS avg_reward_milli,
+       coalesce({round3_sql('sm', 'n * 1000')}, 0) / 1000.0 AS avg_reward,
+       CAST(p AS BIGINT) AS pass_count FROM tot
+""")
+def score_summary_q(spark, sf_dir):
+    status, checks = _label_checks(spark, sf_dir)
+    return score_summary(score_cases(status, checks))
+
+
+# ---- J5/J6: cases x trajectories ---------------------------------------------------
+from ..operators.cases import has_trajectory, last_wins, match_cases, missing_cases  # noqa: E402
+
+_TRAJ_SQL = f"""
+WITH {_ctx_sql()},
+traj AS (
+  SELECT k.conv_id, k.call_turn FROM kept k
+  WHERE 1 + (SELECT count(*) FROM conversations v WHERE v.conv_id = k.conv_id
+             AND v.turn < k.call_turn AND v.role = 'assistant') >= 3)"""
+
+
+def _trajectories(spark, sf_dir):
+    return min_turns(spark, sf_dir).select(F.col("session_id").alias("conv_id"), "call_turn")
+
+
+@query("case_match", _TRAJ_SQL + """
+SELECT b.item_id AS instance_id, t.conv_id, t.call_turn FROM benchmark b JOIN traj t ON t.conv_id = b.item_id
+""")
+def case_match(spark, sf_dir):
+    cases = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("instance_id"))
+    return match_cases(cases, _trajectories(spark, sf_dir), "instance_id", "conv_id").select(
+        *_big("instance_id", "conv_id", "call_turn"))
+
+
+@query("case_missing", _TRAJ_SQL + """
+SELECT b.item_id AS instance_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM traj t WHERE t.conv_id = b.item_id)
+""")
+def case_missing(spark, sf_dir):
+    cases = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("instance_id"))
+    return missing_cases(cases, _trajectories(spark, sf_dir), "instance_id", "conv_id").select(
+        *_big("instance_id"))
+
+
+@query("case_has_trajectory", _TRAJ_SQL + """
+SELECT b.item_id AS instance_id, EXISTS (SELECT 1 FROM traj t WHERE t.conv_id = b.item_id) AS has_trajectory
+FROM benchmark b
+""")
+def case_has_trajectory(spark, sf_dir):
+    cases = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("instance_id"))
+    return has_trajectory(cases, _trajectories(spark, sf_dir), "instance_id", "conv_id").select(
+        *_big("instance_id"), "has_trajectory")
+
+
+# ---- S6: duplicate case ids, last one wins --------------------------------------
+@query("last_case_wins", """
+SELECT user_id, event_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+""")
+def last_case_wins(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return last_wins(ev, "user_id", ["ts", "event_id"]).select(
+        *_big("user_id", "event_id"), "event_type", "value")
+
+
+# ---- A9/P23: scaffold distribution -------------------------------------------------
+from ..operators.report import scaffold_distribution  # noqa: E402
+
+_SCAFFOLD = "CASE conv_id % 4 WHEN 0 THEN 'claudecode' WHEN 1 THEN 'kilo-dev' WHEN 2 THEN 'droid' END"
+
+
+@query("scaffold_distribution", f"""
+SELECT coalesce(s, 'claudecode') AS scaffold, CAST(count(*) AS BIGINT) AS n_cases
+FROM (SELECT DISTINCT conv_id, {_SCAFFOLD} AS s FROM conversations) GROUP BY 1
+""")
+def scaffold_distribution_q(spark, sf_dir):
+    cases = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return scaffold_distribution(cases, F.expr(_SCAFFOLD)).select("scaffold", *_big("n_cases"))
+
+
+# ---- J7: as-of attribution -------------------------------------------------------
+from ..operators.attribute import asof_attribute  # noqa: E402
+
+
+@query("session_attribution", """
+SELECT c.event_id, coalesce(CAST(a.user_id AS VARCHAR), 'unknown') AS instance_id
+FROM (SELECT event_id, ts FROM events WHERE event_type <> 'signup') c
+ASOF LEFT JOIN (SELECT ts, user_id FROM events WHERE event_type = 'signup') a ON c.ts >= a.ts
+""")
+def session_attribution(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    calls = ev.where(F.col("event_type") != "signup").select("event_id", "ts")
+    ann = ev.where(F.col("event_type") == "signup").select("ts", F.col("user_id").alias("instance_id"), "event_id")
+    return asof_attribute(calls, ann, ann_tiebreak="event_id").select(
+        F.col("event_id").cast("bigint"), "instance_id")
+
+
+# ---- A3: funnel -------------------------------------------------------------------------
+from ..operators.report import funnel  # noqa: E402
+
+
+@query("funnel", f"""
+WITH {_ctx_sql()},
+out AS (
+  SELECT k.* FROM kept k WHERE 1 + (SELECT count(*) FROM conversations v WHERE v.conv_id = k.conv_id
+                                    AND v.turn < k.call_turn AND v.role = 'assistant') >= 3)
+SELECT 'input' AS stage, CAST(count(*) AS BIGINT) AS n_rows FROM conversations
+UNION ALL SELECT 'calls', count(*) FROM calls
+UNION ALL SELECT 'kept', count(*) FROM kept
+UNION ALL SELECT 'output', count(*) FROM out
+""")
+def funnel_q(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    kept = _kept(log)
+    out = kept.where(F.col("n_asst_before") + 1 >= 3)
+    return funnel([("input", read_table(spark, sf_dir, "conversations")), ("calls", log.calls),
+                   ("kept", kept), ("output", out)]).select("stage", *_big("n_rows"))
+
+
+# ---- W6/S9: output chunks -------------------------------------------------------------
+from ..functions.keys import global_row_index  # noqa: E402
+
+
+@query("chunk_sizes", _TRAJ_SQL + """
+SELECT CAST(chunk AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_rows FROM (
+  SELECT ceil(row_number() OVER (ORDER BY conv_id, call_turn) / 10) AS chunk FROM traj) GROUP BY 1
+""")
+def chunk_sizes(spark, sf_dir, chunk_size: int = 10):
+    idx = global_row_index(_trajectories(spark, sf_dir), [F.col("conv_id"), F.col("call_turn")])
+    return (idx.select(F.ceil(F.col("row_index") / F.lit(chunk_size)).alias("chunk"))
+            .groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows")).select(*_big("chunk", "n_rows")))
