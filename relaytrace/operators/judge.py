@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .score import UNKNOWN_CHECK_TYPE
 
 Scorer = Callable[[list[str]], list[str]]
@@ -29,6 +29,7 @@ def call_judge(prompts: DataFrame, scorer: Scorer, id_col: str = "instance_id",
     ``partitions`` bounds how many judge calls run at once.  A scorer error
     fails only the cases of its batch (``judge_error`` set, response NULL).
     """
+    ship_package(prompts.sparkSession)
     src = prompts.select(F.col(id_col).cast("string").alias(id_col), prompt_col)
     if partitions:
         src = src.repartition(partitions, id_col)

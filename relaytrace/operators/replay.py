@@ -67,3 +67,69 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
               .select(session, order,
                       (F.coalesce(F.col("_cnt"), F.lit(0)) > F.col("_n")).alias("final_generation")))
     return turns, finals
+
+
+# ---- E5: exact sequential replay for non-neutral sessions ---------------------------
+
+_ORDER_COLS = ["request_time", "src_file", "src_block", "src_ord"]
+EXACT_SCHEMA = ("session_id string, request_time bigint, src_file string, src_block bigint, src_ord bigint, "
+                "pos bigint, generation boolean, src_request_time bigint, src_src_file string, "
+                "src_src_block bigint, src_src_ord bigint")
+
+
+def _replay_session(kept, prov):
+    """Plain-Python replay of one session over hashes only (no payloads)."""
+    import pandas as pd
+
+    from ..functions.canonical import gen_element_hash
+    from ..functions.keys import EMPTY_KEY, extend_key
+
+    prov = prov.sort_values(_ORDER_COLS, kind="stable")
+    queues: dict[str, list] = {}
+    for r in prov.itertuples(index=False):
+        queues.setdefault(r.ctx_gkey, []).append(r)
+    used = {h: 0 for h in queues}
+    out = []
+    for c in kept.sort_values(_ORDER_COLS, kind="stable").itertuples(index=False):
+        key = EMPTY_KEY
+        roles, shells, contents = list(c.roles), list(c.gshell), list(c.gcontent)
+        for p, role in enumerate(roles):
+            content_h = contents[p]
+            if p >= c.n_system and role == "assistant":
+                q = queues.get(key, [])
+                n = used.get(key, 0)
+                if n < len(q):
+                    src = q[n]
+                    used[key] = n + 1
+                    content_h = src.resp_h
+                    out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, p, True,
+                                src.request_time, src.src_file, src.src_block, src.src_ord))
+                else:
+                    out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, p, False,
+                                None, None, None, None))
+            key = extend_key(key, p, gen_element_hash(shells[p], content_h))
+        left = len(queues.get(key, [])) - used.get(key, 0)
+        out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, -1, left > 0,
+                    None, None, None, None))
+    cols = [x.split()[0] for x in EXACT_SCHEMA.split(", ")]
+    return pd.DataFrame(out, columns=cols)
+
+
+def exact_replay(kept: DataFrame, providers: DataFrame) -> DataFrame:
+    """E5: sequential replay per session via cogrouped ``applyInPandas``.
+
+    ``kept``: session_id, order columns, n_system, roles, gshell, gcontent.
+    ``providers``: session_id, order columns, ctx_gkey, resp_h.
+    Only hashes cross into Python; row ``pos = -1`` carries the final flag.
+    This path is bounded by one session's hashes and only runs for sessions
+    where some replacement changed the history (non-neutral).
+    """
+    from ..session import ship_package
+    ship_package(kept.sparkSession)
+    kcols = ["session_id", *_ORDER_COLS, "n_system", "roles", "gshell", "gcontent"]
+    pcols = ["session_id", *_ORDER_COLS, "ctx_gkey", "resp_h"]
+    # fresh attributes on both sides: the two frames share lineage
+    k = kept.select(*[F.col(c).alias(c) for c in kcols]).alias("k")
+    p = providers.select(*[F.col(c).alias(c) for c in pcols]).alias("p")
+    return (k.groupBy("session_id").cogroup(p.groupBy("session_id"))
+            .applyInPandas(_replay_session, EXACT_SCHEMA))

@@ -61,3 +61,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``relaytrace`` importable in Python workers (``--py-files`` style).
+
+    Zips the installed package once per SparkContext and adds it with
+    ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = tempfile.mkdtemp(prefix="relaytrace-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "relaytrace"), "zip", root_dir=root, base_dir="relaytrace")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
