@@ -569,3 +569,144 @@ def chunk_sizes(spark, sf_dir, chunk_size: int = 10):
     idx = global_row_index(_trajectories(spark, sf_dir), [F.col("conv_id"), F.col("call_turn")])
     return (idx.select(F.ceil(F.col("row_index") / F.lit(chunk_size)).alias("chunk"))
             .groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows")).select(*_big("chunk", "n_rows")))
+
+
+# ---- the raw-JSON merge pipeline on a log Spark derives from conversations -------
+from ..plans.merge import merge_lines  # noqa: E402
+from ..sources.conversations import conversation_raw_log  # noqa: E402
+
+FIRST_TRY = " (first try)"
+
+
+def _traj_summary(traj: DataFrame) -> DataFrame:
+    return traj.select(
+        F.col("session_id").cast("string").alias("session_id"),
+        F.col("n_assistant").cast("bigint").alias("n_assistant"),
+        F.size("messages").cast("bigint").alias("n_messages"),
+        F.size(F.filter("messages", lambda m: F.coalesce(m["generation"], F.lit(False)))).cast("bigint")
+         .alias("n_generated"),
+        F.size(F.filter("messages", lambda m: (m["role"] == "assistant") & F.coalesce(
+            F.try_variant_get(m["content"], "$", "string").endswith(FIRST_TRY), F.lit(False)))).cast("bigint")
+         .alias("n_first_try"))
+
+
+_PIPE_SQL = """
+WITH last AS (SELECT conv_id, max(turn) AS lt FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+k AS (SELECT l.conv_id, l.lt, (SELECT count(*) FROM conversations v WHERE v.conv_id = l.conv_id
+                                 AND v.turn <= l.lt AND v.role = 'assistant') AS na FROM last l)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(na AS BIGINT) AS n_assistant, CAST(lt + 1 AS BIGINT) AS n_messages,
+       CAST(na AS BIGINT) AS n_generated, CAST(0 AS BIGINT) AS n_first_try
+FROM k WHERE na >= 3
+"""
+
+
+@query("merge_pipeline", _PIPE_SQL)
+def merge_pipeline(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return _traj_summary(merge_lines(conversation_raw_log(conv)).trajectories)
+
+
+@query("merge_rejects", """
+WITH last AS (SELECT conv_id, max(turn) AS lt FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+k AS (SELECT l.conv_id, (SELECT count(*) FROM conversations v WHERE v.conv_id = l.conv_id
+                           AND v.turn <= l.lt AND v.role = 'assistant') AS na FROM last l)
+SELECT 'convert' AS stage, 'few_turns' AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM k WHERE na < 3
+""")
+def merge_rejects(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    rej = merge_lines(conversation_raw_log(conv)).rejects
+    return rej.groupBy("stage", "reason").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("replay_exact", f"""
+WITH a AS (SELECT conv_id, turn, {RETRY_SQL} AS retried FROM conversations WHERE role = 'assistant'),
+last AS (SELECT conv_id, max(turn) AS lt FROM a GROUP BY conv_id),
+k AS (SELECT l.conv_id, l.lt,
+        (SELECT count(*) FROM a WHERE a.conv_id = l.conv_id AND a.turn <= l.lt) AS na,
+        (SELECT min(turn) FROM a WHERE a.conv_id = l.conv_id AND a.turn < l.lt AND a.retried) AS f
+      FROM last l)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(na AS BIGINT) AS n_assistant, CAST(lt + 1 AS BIGINT) AS n_messages,
+       CAST((SELECT count(*) FROM a WHERE a.conv_id = k.conv_id AND a.turn < k.lt AND (k.f IS NULL OR a.turn <= k.f))
+            + CASE WHEN k.f IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_generated,
+       CAST(CASE WHEN k.f IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_first_try
+FROM k WHERE na >= 3
+""")
+def replay_exact(spark, sf_dir):
+    """E5: retried turns first answered differently; the conversation continues
+    from the retry, so FIFO restores the first answer and later hashes miss."""
+    conv = read_table(spark, sf_dir, "conversations")
+    lines = conversation_raw_log(conv, retry_when=RETRY_SPARK(), first_try_suffix=FIRST_TRY)
+    return _traj_summary(merge_lines(lines).trajectories)
+
+
+# ---- X1-X3: streaming ------------------------------------------------------------------
+from ..session import scratch_path  # noqa: E402
+from ..streaming.jobs import attribute_stream, incremental_merge as incremental_merge_job  # noqa: E402
+from ..streaming.jobs import ingest_stream, stream_lines  # noqa: E402
+
+_TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@query("stream_ingest", """
+SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS ts_us
+FROM events WHERE event_type <> 'error'
+""")
+def stream_ingest(spark, sf_dir):
+    """Events as JSONL files -> stream -> keep successes, decode -> parquet."""
+    ev = read_table(spark, sf_dir, "events")
+    src = scratch_path(spark, "events-jsonl")
+    ev.repartition(4).write.option("timestampNTZFormat", _TS_FMT).json(src)
+    out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ck")
+    stream = (spark.readStream.schema(_EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("timestampNTZFormat", _TS_FMT).json(src))
+
+    def transform(df):
+        from ..operators.filters import successful
+        from ..functions.keys import md5_bucket
+        d = df.withColumn("success", F.col("event_type") != "error")
+        return successful(d).select(
+            "event_id", "user_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+            md5_bucket(F.col("user_id").cast("string"), 16).alias("bucket"))
+
+    ingest_stream(stream, transform, out, ck, ["bucket"]).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "k", "ts_us")
+
+
+@query("incremental_merge", _PIPE_SQL)
+def incremental_merge_q(spark, sf_dir):
+    """The derived call log arrives as three files, the last one late."""
+    conv = read_table(spark, sf_dir, "conversations")
+    lines = conversation_raw_log(conv).withColumn("_turn", F.col("src_ord") / 2)
+    src = scratch_path(spark, "calls-jsonl")
+    parts = [("a", F.col("_turn") <= 2), ("b", (F.col("_turn") > 2) & (F.col("_turn") <= 4)),
+             ("c", F.col("_turn") > 4)]
+    state, out, ck = (scratch_path(spark, "merge-state"), scratch_path(spark, "merge-out"),
+                      scratch_path(spark, "merge-ck"))
+    for i, (name, cond) in enumerate(parts):
+        lines.where(cond).select("value").coalesce(1).write.text(f"{src}/{name}")
+        if i >= 1:  # first run sees a+b, the late file c triggers a second run
+            q = incremental_merge_job(spark, stream_lines(spark, f"{src}/*", max_files_per_trigger=1),
+                                      state, out, ck)
+            q.awaitTermination()
+    return _traj_summary(spark.read.parquet(out))
+
+
+@query("stream_attribution", """
+SELECT c.event_id, coalesce(CAST(a.user_id AS VARCHAR), 'unknown') AS instance_id
+FROM (SELECT event_id, ts FROM events WHERE event_type <> 'signup') c
+ASOF LEFT JOIN (SELECT ts, user_id FROM events WHERE event_type = 'signup') a ON c.ts >= a.ts
+""")
+def stream_attribution(spark, sf_dir):
+    """A stream of calls attributed as-of to the (static) announcements."""
+    ev = read_table(spark, sf_dir, "events")
+    src = scratch_path(spark, "calls-stream")
+    (ev.where(F.col("event_type") != "signup").select("event_id", "ts").repartition(3)
+     .write.option("timestampNTZFormat", _TS_FMT).json(src))
+    ann = ev.where(F.col("event_type") == "signup").select("ts", F.col("user_id").alias("instance_id"), "event_id")
+    out, ck = scratch_path(spark, "attr-out"), scratch_path(spark, "attr-ck")
+    stream = (spark.readStream.schema("event_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
+              .option("timestampNTZFormat", _TS_FMT).json(src))
+    attribute_stream(stream, ann, out, ck, ann_tiebreak="event_id").awaitTermination()
+    return spark.read.parquet(out).select(F.col("event_id").cast("bigint"), "instance_id")

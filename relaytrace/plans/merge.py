@@ -42,9 +42,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def prepare_calls(spark: SparkSession, path: str, excluded_models=DEFAULT_EXCLUDED_MODELS,
+def prepare_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
                   model_path: str = "any", persist: bool = True) -> tuple[DataFrame, DataFrame]:
-    lines = read_lines(spark, path)
+    """Lines (``value, src_file, src_block, src_ord``) -> hashed calls + rejects."""
     calls, rej1 = parse_calls(lines, excluded_models, model_path)
     calls, rej2 = canonicalise(calls)
     if persist:
@@ -89,7 +89,14 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple
 def merge_calls(spark: SparkSession, path: str, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
                 exact: bool = True, persist: bool = True) -> MergeResult:
-    calls, rejects = prepare_calls(spark, path, excluded_models, model_path, persist)
+    """S1 scan of every file under ``path`` followed by ``merge_lines``."""
+    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist)
+
+
+def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
+                excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
+                exact: bool = True, persist: bool = True) -> MergeResult:
+    calls, rejects = prepare_calls(lines, excluded_models, model_path, persist)
     keys = calls.select("session_id", "call_order", "ctx_dkey", "ctx_gkey", "n_system", "roles", "dkeys",
                         "gkeys", "gshell", "gcontent")
     dctx = keys.select("session_id", "call_order", F.explode("dkeys").alias("dkey"))

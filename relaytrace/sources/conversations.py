@@ -81,3 +81,58 @@ def retried(col_text: Column) -> Column:
 
 
 __all__ = ["CallLog", "conversation_call_log", "element_hash", "EMPTY_KEY", "retried"]
+
+
+def conversation_raw_log(conv: DataFrame, retry_when: Column | None = None,
+                         first_try_suffix: str = " (first try)") -> DataFrame:
+    """Raw JSONL call records (one per assistant turn) built by Spark from ``conversations``.
+
+    Context = earlier turns (a system turn becomes the system prompt, user
+    turns string content, assistant turns echoed as one text block).  With
+    ``retry_when`` (a predicate on the assistant row) the turn is first
+    answered differently (text + suffix) and then retried 5 ms later with
+    the answer the conversation continued from, which makes the session
+    non-neutral for the replay.  Output: ``value, src_file, src_block,
+    src_ord`` like the text scan.
+    """
+    log = conversation_call_log(conv)
+    e = log.elements
+    blk = F.to_variant_object(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    msg = F.when(F.col("role") == "assistant",
+                 F.to_variant_object(F.struct(F.lit("assistant").alias("role"), blk.alias("content"))))\
+        .otherwise(F.to_variant_object(F.struct(F.col("role").alias("role"),
+                                                F.col("text").cast("variant").alias("content"))))
+    ctx = log.ctx.join(e.select("session_id", "pos", "text"), ["session_id", "pos"])
+    per_call = (ctx.groupBy("session_id", "call_turn")
+                .agg(F.array_sort(F.collect_list(F.struct(
+                    "pos",
+                    F.when(F.col("role") != "system", msg).alias("m"),
+                    F.when(F.col("role") == "system", F.col("text")).alias("sys"))),
+                    lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+                     .alias("_c")))
+    calls = e.where(F.col("role") == "assistant").select(
+        "session_id", F.col("pos").alias("call_turn"), "text",
+        (F.coalesce(retry_when, F.lit(False)) if retry_when is not None else F.lit(False)).alias("_retry"))
+    calls = calls.join(per_call, ["session_id", "call_turn"], "left")
+    messages = F.filter(F.transform(F.coalesce(F.col("_c"), F.array()), lambda x: x["m"]), lambda m: m.isNotNull())
+    system = F.try_element_at(F.filter(F.transform(F.coalesce(F.col("_c"), F.array()), lambda x: x["sys"]),
+                                       lambda s: s.isNotNull()), F.lit(1))
+
+    def record(resp_text, t_offset):
+        sys_v = F.when(system.isNull(), F.parse_json(F.lit("[]"))).otherwise(system.cast("variant"))
+        body = F.struct(sys_v.alias("system"), messages.alias("messages"),
+                        F.array().cast("array<variant>").alias("tools"), F.lit("model-x").alias("model"),
+                        F.lit(1024).alias("max_tokens"))
+        resp = F.struct(F.array(F.struct(F.lit("text").alias("type"), resp_text.alias("text"))).alias("content"))
+        return F.to_json(F.struct(F.col("session_id").cast("string").alias("session_id"),
+                                  F.lit("").alias("biz_id"),
+                                  (F.col("call_turn") * 10 + t_offset).alias("request_time"),
+                                  body.alias("request_body"), resp.alias("response_body")))
+
+    first = calls.select(F.when(F.col("_retry"), record(F.concat(F.col("text"), F.lit(first_try_suffix)), 0))
+                         .otherwise(record(F.col("text"), 0)).alias("value"), "session_id", "call_turn")
+    retry = calls.where(F.col("_retry")).select(record(F.col("text"), 5).alias("value"), "session_id", "call_turn")
+    return (first.unionByName(retry)
+            .select("value", F.concat(F.lit("conv-"), F.col("session_id").cast("string")).alias("src_file"),
+                    F.lit(0).cast("bigint").alias("src_block"),
+                    (F.col("call_turn") * 2).cast("bigint").alias("src_ord")))
