@@ -27,6 +27,7 @@ def get_session(app: str = "relaytrace", master: str | None = None,
     if shuffle_partitions is None:
         shuffle_partitions = int(cpus) if cpus else 8
     b = (b.config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
