@@ -687,8 +687,7 @@ def incremental_merge_q(spark, sf_dir):
     for i, (name, cond) in enumerate(parts):
         lines.where(cond).select("value").coalesce(1).write.text(f"{src}/{name}")
         if i >= 1:  # first run sees a+b, the late file c triggers a second run
-            q = incremental_merge_job(spark, stream_lines(spark, f"{src}/*", max_files_per_trigger=1),
-                                      state, out, ck)
+            q = incremental_merge_job(spark, stream_lines(spark, f"{src}/*"), state, out, ck)
             q.awaitTermination()
     return _traj_summary(spark.read.parquet(out))
 

@@ -45,6 +45,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def prepare_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
                   model_path: str = "any", persist: bool = True) -> tuple[DataFrame, DataFrame]:
     """Lines (``value, src_file, src_block, src_ord``) -> hashed calls + rejects."""
+    par = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < par:
+        # a scan already has one partition per split; only thin inputs get spread
+        lines = lines.repartition(par)
     calls, rej1 = parse_calls(lines, excluded_models, model_path)
     calls, rej2 = canonicalise(calls)
     if persist:
@@ -70,7 +74,11 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple
     turns, finals = mark_generation(occ, kept.select("session_id", "call_order", "ctx_gkey"), providers)
     if not exact:
         return turns.drop("neutral"), finals
+    # flags are hashes only: write them once, then look for non-neutral sessions
+    turns = materialize(turns, "turn-flags")
     bad = turns.where(~F.col("neutral")).select("session_id").distinct()
+    if bad.isEmpty():
+        return turns.drop("neutral"), finals
     turns_n = turns.join(bad, "session_id", "left_anti").drop("neutral")
     finals_n = finals.join(bad, "session_id", "left_anti")
     kx = kept.join(bad, "session_id", "left_semi").select("session_id", "call_order.*", "n_system", "roles",
