@@ -39,16 +39,29 @@ MESSAGE_TYPE = ("struct<role:string,content:variant,tool_name:string,reasoning_c
 
 
 def kind(v: Column) -> Column:
-    """JSON kind of a variant: OBJECT, ARRAY, STRING, VOID (null), numbers...; NULL if absent."""
-    return F.when(v.isNotNull(), F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1))
+    """JSON kind of a variant: OBJECT, ARRAY, STRING, VOID (null), numbers...; NULL if absent.
+
+    Containers are recognised by a cast (O(1) on the top level); only
+    scalars reach ``schema_of_variant``, which walks the whole value.
+    """
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit("OBJECT"))
+            .otherwise(F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)))
 
 
 def vget(v: Column, path: str, typ: str = "variant") -> Column:
     return F.try_variant_get(v, path, typ)
 
 
-def _btype(b: Column) -> Column:
-    return vget(b, "$.type", "string")
+BLOCK_TYPE = "array<struct<t:string,v:variant,obj:boolean>>"
+
+
+def _blocks(arr: Column) -> Column:
+    """Decode a block list once: ``t`` = block type, ``v`` = block, ``obj`` = is an object."""
+    return F.transform(arr, lambda b: F.struct(
+        vget(b, "$.type", "string").alias("t"), b.alias("v"),
+        F.try_variant_get(b, "$", "map<string,variant>").isNotNull().alias("obj")))
 
 
 def _str_or(v: Column, path: str, default: str = "") -> Column:
@@ -60,15 +73,15 @@ def _as_variant_str(c: Column) -> Column:
 
 
 def _last_field(blocks: Column, btype: str, field: str) -> Column:
-    picked = F.filter(blocks, lambda b: _btype(b) == btype)
-    return F.coalesce(_str_or(F.try_element_at(picked, F.lit(-1)), f"$.{field}"), F.lit(""))
+    picked = F.filter(blocks, lambda b: b["t"] == btype)
+    return F.coalesce(_str_or(F.try_element_at(picked, F.lit(-1))["v"], f"$.{field}"), F.lit(""))
 
 
 def _tool_calls(blocks: Column) -> Column:
-    uses = F.filter(blocks, lambda b: _btype(b) == BLOCK_TOOL_USE)
+    uses = F.filter(blocks, lambda b: b["t"] == BLOCK_TOOL_USE)
     calls = F.transform(uses, lambda b: F.struct(
-        vget(b, "$.name", "string").alias("name"),
-        F.coalesce(vget(b, "$.input"), F.parse_json(F.lit("{}"))).alias("arguments")))
+        vget(b["v"], "$.name", "string").alias("name"),
+        F.coalesce(vget(b["v"], "$.input"), F.parse_json(F.lit("{}"))).alias("arguments")))
     return F.when(F.size(calls) > 0, calls)
 
 
@@ -109,8 +122,8 @@ def normalize_system(system: Column) -> Column:
             .otherwise(F.array().cast("array<variant>")))
 
 
-def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS) -> tuple[DataFrame, DataFrame]:
-    """Kept calls -> (trajectories, rejects).
+def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS) -> DataFrame:
+    """Kept calls -> one converted row each, with ``reason`` set on rejects.
 
     Input columns: ``request``, ``response`` (variant), ``session_id``,
     ``biz_id``, ``model``, ``max_tokens``, ``gen_map``
@@ -124,14 +137,21 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
     def shape(m, i):
         flag = F.element_at(F.col("gen_map"), i.cast("int"))
         content = F.coalesce(flag["sub"], vget(m, "$.content"))
-        ck = kind(content)
-        blocks = F.coalesce(vget(content, "$", "array<variant>"), F.array().cast("array<variant>"))
         return F.struct(
             i.alias("idx"), vget(m, "$.role", "string").alias("role"), content.alias("content"),
-            ck.alias("ck"), blocks.alias("blocks"),
+            vget(content, "$", "array<variant>").alias("arr"),
             F.coalesce(flag["generation"], F.lit(False)).alias("generation"))
 
-    df = calls.withColumn("_m", F.transform(msgs0, shape)).withColumn("_msgs_null", msgs_null)
+    def decode(m):
+        ck = (F.when(m["content"].isNull(), F.lit(None).cast("string"))
+              .when(m["arr"].isNotNull(), F.lit("ARRAY"))
+              .when(F.try_variant_get(m["content"], "$", "map<string,variant>").isNotNull(), F.lit("OBJECT"))
+              .otherwise(F.regexp_extract(F.schema_of_variant(m["content"]), r"^([A-Z]+)", 1)))
+        blocks = F.coalesce(_blocks(m["arr"]), F.array().cast(BLOCK_TYPE))
+        return F.struct(m["idx"].alias("idx"), m["role"].alias("role"), m["content"].alias("content"),
+                        ck.alias("ck"), blocks.alias("blocks"), m["generation"].alias("generation"))
+
+    df = calls.withColumn("_m", F.transform(F.transform(msgs0, shape), decode)).withColumn("_msgs_null", msgs_null)
 
     def empty_ok(m):
         # iterating an empty string / empty object / missing content yields nothing
@@ -139,7 +159,7 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
                 | ((m["ck"] == "OBJECT") & (F.size(vget(m["content"], "$", "map<string,variant>")) == 0)))
 
     def all_objects(m):
-        return F.forall(m["blocks"], lambda b: kind(b) == "OBJECT")
+        return F.forall(m["blocks"], lambda b: b["obj"])
 
     asst = lambda m: m["role"] == ROLE_ASSISTANT
     user = lambda m: m["role"] == ROLE_USER
@@ -150,26 +170,26 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
               .when(F.exists("_m", lambda m: user(m) & ~(m["ck"] == "STRING") & ~empty_ok(m)
                              & ~((m["ck"] == "ARRAY") & all_objects(m))), "bad_block")
               .when(F.exists("_m", lambda m: asst(m) & (F.size(F.filter(m["blocks"],
-                                                                       lambda b: _btype(b) == BLOCK_THINKING)) > 1)),
+                                                                       lambda b: b["t"] == BLOCK_THINKING)) > 1)),
                     "multi_thinking"))
     df = df.withColumn("_reason", reason)
 
     # Id -> name pairs from every assistant tool use (non-empty id and name)
-    pairs = F.flatten(F.transform(F.filter("_m", asst), lambda m: F.transform(
-        F.filter(m["blocks"], lambda b: (_btype(b) == BLOCK_TOOL_USE) & (_str_or(b, "$.id") != "")
-                 & (_str_or(b, "$.name") != "")),
-        lambda b: F.struct(_str_or(b, "$.id").alias("id"), _str_or(b, "$.name").alias("name")))))
+    uses = F.transform(F.filter("_m", asst), lambda m: F.filter(F.transform(
+        F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TOOL_USE),
+        lambda b: F.struct(_str_or(b["v"], "$.id").alias("id"), _str_or(b["v"], "$.name").alias("name"))),
+        lambda u: (u["id"] != "") & (u["name"] != "")))
+    df = df.withColumn("_uses", uses)
+    pairs = F.flatten(F.col("_uses"))
     # Call batches of tool-using assistant messages, in order
-    batches = F.filter(F.transform(F.filter("_m", asst), lambda m: F.transform(
-        F.filter(m["blocks"], lambda b: (_btype(b) == BLOCK_TOOL_USE) & (_str_or(b, "$.id") != "")
-                 & (_str_or(b, "$.name") != "")),
-        lambda b: _str_or(b, "$.id"))), lambda a: F.size(a) > 0)
+    batches = F.filter(F.transform("_uses", lambda a: F.transform(a, lambda u: u["id"])), lambda a: F.size(a) > 0)
     df = df.withColumn("_pairs", pairs).withColumn("_batches", batches)
     df = df.withColumn("_results", F.transform("_m", lambda m: F.when(
         user(m) & (m["ck"] == "ARRAY"),
-        F.transform(F.filter(m["blocks"], lambda b: _btype(b) == BLOCK_TOOL_RESULT),
-                    lambda b: F.struct(_str_or(b, "$.tool_use_id").alias("id"),
-                                       F.coalesce(vget(b, "$.content"), _as_variant_str(F.lit(""))).alias("content"))))
+        F.transform(F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TOOL_RESULT),
+                    lambda b: F.struct(_str_or(b["v"], "$.tool_use_id").alias("id"),
+                                       F.coalesce(vget(b["v"], "$.content"), _as_variant_str(F.lit("")))
+                                       .alias("content"))))
         .otherwise(F.array().cast("array<struct<id:string,content:variant>>"))))
     df = df.withColumn("_rb", F.transform("_results", lambda r: F.size(r) > 0))
 
@@ -202,8 +222,8 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
                                        lambda t: F.exists(results, lambda r: r["id"] == t))) \
             .otherwise(F.array_distinct(F.transform(results, lambda r: r["id"])))
         tool_msgs = F.transform(ids_in_order, lambda t: tool_msg(t, results))
-        utext = F.array_join(F.transform(F.filter(m["blocks"], lambda b: _btype(b) == BLOCK_TEXT),
-                                         lambda b: _str_or(b, "$.text")), "")
+        utext = F.array_join(F.transform(F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TEXT),
+                                         lambda b: _str_or(b["v"], "$.text")), "")
         user_list = F.concat(tool_msgs, F.when(utext != "", F.array(text_msg(ROLE_USER, utext)))
                              .otherwise(F.array().cast(f"array<{MESSAGE_TYPE}>")))
         user_str = F.array(F.struct(F.lit(ROLE_USER).alias("role"), m["content"].alias("content"),
@@ -225,7 +245,7 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
         F.lit(None).cast("boolean").alias("generation"),
         F.lit(None).cast("array<struct<name:string,arguments:variant>>").alias("tool_calls")))) \
         .otherwise(F.array().cast(f"array<{MESSAGE_TYPE}>"))
-    rblocks = F.coalesce(vget(resp, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    rblocks = F.coalesce(_blocks(vget(resp, "$.content", "array<variant>")), F.array().cast(BLOCK_TYPE))
     final = F.array(text_msg(ROLE_ASSISTANT, _last_field(rblocks, BLOCK_TEXT, "text"),
                              F.coalesce(F.col("final_generation"), F.lit(False)) & (F.size(rblocks) > 0),
                              _last_field(rblocks, BLOCK_THINKING, "thinking"), _tool_calls(rblocks)))
@@ -237,10 +257,21 @@ def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSIST
 
     meta = F.struct(F.col("session_id"), F.col("biz_id"), F.col("model"), F.col("max_tokens"),
                     vget(req, "$.metadata").alias("extra"))
-    out = df.where(F.col("_reason").isNull()).select(
+    return df.select(
         meta.alias("meta"), convert_tools(vget(req, "$.tools", "array<variant>")).alias("tools"),
-        "messages", "n_assistant", "session_id", "call_order")
-    rejects = df.where(F.col("_reason").isNotNull()).select(
-        F.col("src_file"), F.col("src_ord"), F.lit("convert").alias("stage"), F.col("_reason").alias("reason"),
-        F.col("value").alias("raw"))
+        "messages", "n_assistant", "session_id", "call_order", F.col("_reason").alias("reason"),
+        "src_file", "src_ord", F.when(F.col("_reason").isNotNull(), F.col("value")).alias("raw"))
+
+
+def split_converted(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trajectories, rejects) from ``convert_all`` output (best read from a written table)."""
+    out = conv.where(F.col("reason").isNull()).select("meta", "tools", "messages", "n_assistant", "session_id",
+                                                      "call_order")
+    rejects = conv.where(F.col("reason").isNotNull()).select(
+        "src_file", "src_ord", F.lit("convert").alias("stage"), "reason", "raw")
     return out, rejects
+
+
+def convert_rows(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS) -> tuple[DataFrame, DataFrame]:
+    """Kept calls -> (trajectories, rejects); see ``convert_all``."""
+    return split_converted(convert_all(calls, min_assistant_turns))

@@ -820,3 +820,102 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE success) A
 """)
 def judge_summary(spark, sf_dir):
     return _judge_run(spark, sf_dir).summary
+
+
+# ---- J3/J4/W4: tool results paired with tool-call batches ----------------------------
+# Trajectory = 4 consecutive events of a user.  Assistant turn 1 calls the tools of
+# events 0-1, turn 3 those of events 2-3 (views are not tool calls); user turn 2
+# answers events 1 then 0 (plus a stray id when event 2 is an error), turn 4 answers
+# 3 then 2.  A turn without tool calls shifts the pairing; the results then left
+# without a batch keep arrival order.
+_TOOL_ORDER_SQL = """
+WITH ev AS (SELECT user_id, event_id, event_type, 't' || CAST(json_extract(props, '$.k') AS VARCHAR) AS tid,
+                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+e AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(i // 4 AS VARCHAR) AS sid, i % 4 AS j, event_id, event_type, tid FROM ev),
+uses AS (SELECT sid, CASE WHEN j < 2 THEN 1 ELSE 3 END AS msg, j AS pos, tid, event_type AS name
+         FROM e WHERE event_type <> 'view'),
+abatch AS (SELECT sid, msg, dense_rank() OVER (PARTITION BY sid ORDER BY msg) - 1 AS q
+           FROM (SELECT DISTINCT sid, msg FROM uses)),
+res AS (SELECT sid, 2 AS msg, CASE j WHEN 1 THEN 0 ELSE 1 END AS pos, tid, CAST(event_id AS VARCHAR) AS content
+        FROM e WHERE j IN (0, 1)
+        UNION ALL SELECT sid, 2, 2, tid, 'stray' || CAST(event_id AS VARCHAR) FROM e WHERE j = 2 AND event_type = 'error'
+        UNION ALL SELECT sid, 4, CASE j WHEN 3 THEN 0 ELSE 1 END, tid, CAST(event_id AS VARCHAR) FROM e WHERE j IN (2, 3)),
+rq AS (SELECT sid, msg, dense_rank() OVER (PARTITION BY sid ORDER BY msg) - 1 AS q FROM (SELECT DISTINCT sid, msg FROM res)),
+dict AS (SELECT sid, msg, tid, min(pos) AS fpos, arg_max(content, pos) AS content FROM res GROUP BY sid, msg, tid),
+names AS (SELECT sid, tid, arg_max(name, msg * 10 + pos) AS name FROM uses GROUP BY sid, tid),
+paired AS (SELECT r.sid, r.msg, a.msg AS amsg FROM rq r LEFT JOIN abatch a ON a.sid = r.sid AND a.q = r.q),
+emit AS (
+  SELECT p.sid, p.msg, u.pos AS opos, d.tid, d.content FROM paired p
+    JOIN uses u ON u.sid = p.sid AND u.msg = p.amsg
+    JOIN dict d ON d.sid = p.sid AND d.msg = p.msg AND d.tid = u.tid
+  UNION ALL
+  SELECT p.sid, p.msg, d.fpos, d.tid, d.content FROM paired p JOIN dict d ON d.sid = p.sid AND d.msg = p.msg
+  WHERE p.amsg IS NULL)
+SELECT x.sid AS session_id, CAST(count(*) AS BIGINT) AS n_tool_msgs,
+       string_agg(coalesce(n.name, x.tid) || ':' || x.content, ',' ORDER BY x.msg, x.opos) AS tool_seq
+FROM emit x LEFT JOIN names n ON n.sid = x.sid AND n.tid = x.tid GROUP BY x.sid
+"""
+
+
+def tool_batch_log(ev: DataFrame) -> DataFrame:
+    """Raw call records (one per 4-event chunk of a user) for the J3/J4 query."""
+    from ..functions.keys import global_row_index  # noqa: F401  (ordering is per user here)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = (ev.withColumn("i", F.row_number().over(w) - 1)
+         .select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("i") / 4).cast("string"))
+                 .alias("sid"), (F.col("i") % 4).alias("j"), "event_id", "event_type",
+                 F.concat(F.lit("t"), F.try_variant_get(F.parse_json("props"), "$.k", "string")).alias("tid")))
+    g = e.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("j", "event_id", "event_type", "tid"))).alias("evs"))
+
+    def text(t):
+        return F.to_variant_object(F.struct(F.lit("text").alias("type"), F.lit(t).alias("text")))
+
+    def use(x):
+        return F.to_variant_object(F.struct(F.lit("tool_use").alias("type"), x["tid"].alias("id"),
+                                            x["event_type"].alias("name"),
+                                            F.struct(x["event_id"].alias("e")).alias("input")))
+
+    def result_block(x, content):
+        return F.to_variant_object(F.struct(F.lit("tool_result").alias("type"), x["tid"].alias("tool_use_id"),
+                                            content.alias("content")))
+
+    def res(x):  # one-argument lambdas only: transform passes the index to two-argument ones
+        return result_block(x, x["event_id"].cast("string"))
+
+    def stray(x):
+        return result_block(x, F.concat(F.lit("stray"), x["event_id"].cast("string")))
+
+    def at(j, extra=None):
+        cond = (lambda x: (x["j"] == j) & extra(x)) if extra else (lambda x: x["j"] == j)
+        return F.filter("evs", cond)
+
+    def calls_for(lo, hi):
+        return F.transform(F.filter("evs", lambda x: (x["j"] >= lo) & (x["j"] <= hi) & (x["event_type"] != "view")), use)
+
+    def msg(role, content):
+        return F.to_variant_object(F.struct(F.lit(role).alias("role"), content.alias("content")))
+
+    m1 = msg("assistant", F.concat(F.array(text("calling")), calls_for(0, 1)))
+    m2 = msg("user", F.concat(F.transform(at(1), res), F.transform(at(0), res),
+                              F.transform(at(2, lambda x: x["event_type"] == "error"), stray)))
+    m3 = msg("assistant", F.concat(F.array(text("calling again")), calls_for(2, 3)))
+    m4 = msg("user", F.concat(F.transform(at(3), res), F.transform(at(2), res)))
+    m0 = msg("user", F.lit("go").cast("variant"))
+    body = F.struct(F.array(m0, m1, m2, m3, m4).alias("messages"), F.lit("model-x").alias("model"))
+    resp = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("done").alias("text"))).alias("content"))
+    rec = F.to_json(F.struct(F.col("sid").alias("session_id"), F.lit(0).alias("request_time"),
+                             body.alias("request_body"), resp.alias("response_body")))
+    return g.select(rec.alias("value"), F.col("sid").alias("src_file"), F.lit(0).cast("bigint").alias("src_block"),
+                    F.lit(0).cast("bigint").alias("src_ord"))
+
+
+@query("tool_result_order", _TOOL_ORDER_SQL)
+def tool_result_order(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    traj = merge_lines(tool_batch_log(ev)).trajectories
+    tools = traj.select("session_id", F.filter("messages", lambda m: m["role"] == "tool").alias("t"))
+    return tools.where(F.size("t") > 0).select(
+        "session_id", F.size("t").cast("bigint").alias("n_tool_msgs"),
+        F.array_join(F.transform("t", lambda m: F.concat(m["tool_name"], F.lit(":"),
+                                                          F.try_variant_get(m["content"], "$", "string"))), ",")
+         .alias("tool_seq"))

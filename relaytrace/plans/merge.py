@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_rows
+from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_all, split_converted
 from ..operators.dedup import prefix_dedup
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
 from ..operators.replay import _ORDER_COLS, exact_replay, mark_generation
@@ -126,7 +126,12 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
         lambda t: F.struct((t["pos"] - F.col("n_system")).cast("int").alias("k"),
                            F.struct(t["generation"].alias("generation"),
                                     F.when(t["generation"], t["sub"]).alias("sub")).alias("v")))))
-    traj, rej3 = convert_rows(rows, min_assistant_turns)
+    converted = convert_all(rows, min_assistant_turns)
+    if persist:
+        # written once: both outputs split from it, and the optimizer cannot
+        # push the reject filter into (and so duplicate) the conversion
+        converted = materialize(converted, "converted")
+    traj, rej3 = split_converted(converted)
     return MergeResult(traj, rejects.unionByName(rej3), calls, kept_keys)
 
 
