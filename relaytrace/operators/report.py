@@ -56,3 +56,15 @@ def distinct_sessions(df: DataFrame, session_col: str = "session_id", approx: bo
     nonempty = df.where(s.isNotNull() & (s.cast("string") != ""))
     agg = F.approx_count_distinct(s) if approx else F.count_distinct(s)
     return nonempty.agg(agg.alias("n_sessions"))
+
+
+def run_results(cases: DataFrame, outcomes: DataFrame, model: str, id_col: str = "instance_id") -> DataFrame:
+    """One run row per case: ``instance_id, scaffold (defaulted), model, success``."""
+    return (cases.join(outcomes, id_col, "left")
+            .select(id_col, scaffold_name(F.col("scaffold.name")).alias("scaffold"), F.lit(model).alias("model"),
+                    F.coalesce(F.col("success"), F.lit(False)).alias("success")))
+
+
+def write_runs(runs: DataFrame, out: str) -> None:
+    """Run results as JSON."""
+    runs.write.mode("overwrite").json(out)

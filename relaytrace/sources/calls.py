@@ -111,3 +111,69 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, glob:
 def file_stem(path_col: Column) -> Column:
     """file name without directory and ``.jsonl`` suffix."""
     return F.regexp_extract(path_col, r"([^/]*)\.jsonl$", 1)
+
+
+def encode_calls(calls: DataFrame) -> DataFrame:
+    """Parsed calls back to raw JSON rows (``value``)."""
+    body = F.struct(
+        F.try_variant_get(F.col("request"), "$.messages", "variant").alias("messages"),
+        F.try_variant_get(F.col("request"), "$.system", "variant").alias("system"),
+        F.try_variant_get(F.col("request"), "$.tools", "variant").alias("tools"),
+        F.col("model"), F.col("max_tokens"),
+        F.try_variant_get(F.col("request"), "$.metadata", "variant").alias("metadata"))
+    rec = F.struct("session_id", "biz_id", "request_time", body.alias("request_body"),
+                   F.struct(F.try_variant_get(F.col("response"), "$.content", "variant").alias("content"))
+                   .alias("response_body"))
+    return calls.select(F.to_json(rec).alias("value"))
+
+
+CASES_SCHEMA = ("instance_id string, user_query array<string>, system_prompt string, category string, "
+                "image string, workspace_abs_path string, scaffold struct<name:string, version:string>, "
+                "checklist string")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """S5 + S6: task cases from JSONL (or parquet), duplicate ids -> last line wins.
+
+    The checklist is kept as VARIANT (parsed from its JSON text).
+    """
+    from ..operators.cases import last_wins
+    if path.endswith(".parquet"):
+        raw = spark.read.parquet(path).withColumn("src_file", F.col("_metadata.file_path")) \
+            .withColumn("src_ord", F.monotonically_increasing_id())
+    else:
+        lines = read_lines(spark, path)
+        v = F.try_parse_json(F.col("value"))
+        raw = lines.select(
+            F.try_variant_get(v, "$.instance_id", "string").alias("instance_id"),
+            F.try_variant_get(v, "$.user_query", "array<string>").alias("user_query"),
+            F.try_variant_get(v, "$.system_prompt", "string").alias("system_prompt"),
+            F.try_variant_get(v, "$.category", "string").alias("category"),
+            F.try_variant_get(v, "$.image", "string").alias("image"),
+            F.try_variant_get(v, "$.workspace_abs_path", "string").alias("workspace_abs_path"),
+            F.try_variant_get(v, "$.scaffold", "struct<name:string,version:string>").alias("scaffold"),
+            F.try_variant_get(v, "$.checklist", "variant").alias("checklist"),
+            "src_file", "src_block", "src_ord")
+    raw = raw.where(F.col("instance_id").isNotNull())
+    return last_wins(raw, "instance_id", ["src_file", "src_block", "src_ord"]) \
+        .drop("src_file", "src_block", "src_ord")
+
+
+def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> DataFrame:
+    """Merged trajectories with a session key and file order.
+
+    ``mode='file'``: every file under ``path``; session = ``meta.session_id``
+    (empty ones ignored).  ``mode='dir'``: the ``*.jsonl`` files directly in
+    ``path``; session = file stem.
+    """
+    r = spark.read.schema("meta struct<session_id:string>, tools variant, messages variant")
+    if mode == "dir":
+        df = r.option("pathGlobFilter", "*.jsonl").json(path)
+        key = file_stem(F.col("_metadata.file_path"))
+    else:
+        df = r.option("recursiveFileLookup", "true").json(path)
+        key = F.col("meta.session_id")
+    return df.select(key.alias("session_id"), "tools", "messages",
+                     F.col("_metadata.file_path").alias("src_file"),
+                     F.monotonically_increasing_id().alias("file_order")).where(
+        F.col("session_id").isNotNull() & (F.col("session_id") != ""))

@@ -88,3 +88,20 @@ def attribute_stream(calls: DataFrame, announcements: DataFrame, out: str, check
     w = calls.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def ingest_calls(spark: SparkSession, src: str, out: str, checkpoint: str, num_buckets: int = DEFAULT_BUCKETS,
+                 available_now: bool = True) -> StreamingQuery:
+    """X1 for raw call lines: decode, drop bad rows and excluded models, append by bucket.
+
+    The sink is partitioned by the md5 bucket of the session (the merge
+    stage's buckets), so X2 and batch merges prune to the buckets they need.
+    """
+    from ..sources.calls import parse_calls
+
+    def transform(df: DataFrame) -> DataFrame:
+        calls, _ = parse_calls(df.withColumn("src_ord", F.lit(None).cast("bigint")))
+        return calls.select("session_id", "request_time", "model", "value", "src_file",
+                            md5_bucket(F.col("session_id"), num_buckets).alias("bucket"))
+
+    return ingest_stream(stream_lines(spark, src), transform, out, checkpoint, ["bucket"], available_now)
