@@ -43,18 +43,18 @@ def running_prefix_keys(elems: DataFrame, partition_cols: list[str], pos_col: st
     """Add the key of the prefix ending at each element (and the one before it).
 
     ``elems`` holds one row per element; ``partition_cols`` identify one
-    context.  Positions must be 0..n-1 without gaps.
+    context.  Positions must be 0..n-1 without gaps.  The running sums use
+    ``grouped_cumsum``, so a huge context is split across tasks; the key
+    before an element subtracts its own terms (no second window).
     """
-    w = (Window.partitionBy(*partition_cols).orderBy(pos_col)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pos, h = F.col(pos_col), F.col(hash_col)
-    s1 = F.sum(term1(pos, h)).over(w)
-    s2 = F.sum(term2(pos, h)).over(w)
-    out = elems.withColumn(out_col, format_key(pos + 1, s1, s2))
+    out = grouped_cumsum(elems.withColumn("_t1", term1(pos, h)).withColumn("_t2", term2(pos, h)),
+                         partition_cols, [F.col(pos_col)], {"_s1": F.col("_t1"), "_s2": F.col("_t2")})
+    out = out.withColumn(out_col, format_key(pos + 1, F.col("_s1"), F.col("_s2")))
     if before_col:
-        wl = Window.partitionBy(*partition_cols).orderBy(pos_col)
-        out = out.withColumn(before_col, F.coalesce(F.lag(out_col).over(wl), F.lit(EMPTY_KEY)))
-    return out
+        out = out.withColumn(before_col, F.when(pos == 0, F.lit(EMPTY_KEY)).otherwise(
+            format_key(pos, F.col("_s1") - F.col("_t1"), F.col("_s2") - F.col("_t2"))))
+    return out.drop("_t1", "_t2", "_s1", "_s2")
 
 
 def _py_term(pos: int, h: str) -> tuple[int, int]:
@@ -120,3 +120,45 @@ def global_row_index(df: DataFrame, order_cols: list, index_col: str = "row_inde
     return (local.join(F.broadcast(offsets), "_part")
             .withColumn(index_col, (F.col("_local") + F.col("_off")).cast("bigint"))
             .drop("_mid", "_part", "_local", "_off"))
+
+
+def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list, sums: dict,
+                   partitions: int | None = None) -> DataFrame:
+    """Running sums within groups that stay correct and parallel for hot groups.
+
+    ``sums`` maps an output column to a numeric Column; each output is the
+    sum of its value over the rows of the group up to and including the
+    current one in ``order_cols`` order (a total order within the group).
+
+    A plain window puts a whole group in one task.  Here the rows are
+    range-partitioned by ``(group, order)``, so a group holding a third of
+    all rows spans many partitions; each partition sums locally per group,
+    and the per-(partition, group) totals - at most one row per partition
+    for any group - become offsets that are added back.  The locally summed
+    rows are checkpointed once (reliable, shared folder) so both branches
+    see the same partition ids; the checkpoint keeps the hash partitioning
+    of the local window, so the join with the offsets moves only the small
+    totals table.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = list(sums)
+    d = df.select("*", *[sums[k].alias(f"_v_{k}") for k in names])
+    d = d.repartitionByRange(n, *[F.col(c) for c in group_cols], *order_cols).withColumn(
+        "_gpart", F.spark_partition_id())
+    wl = (Window.partitionBy("_gpart", *group_cols).orderBy(*order_cols)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    for k in names:
+        d = d.withColumn(f"_l_{k}", F.sum(f"_v_{k}").over(wl))
+    # one range exchange for both branches: each exchange samples its own
+    # bounds, so the partition ids must come from a single materialisation
+    from ..session import cut_lineage
+    d = cut_lineage(d)
+    tot = d.groupBy("_gpart", *group_cols).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    wo = Window.partitionBy(*group_cols).orderBy("_gpart").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_gpart", *group_cols, *[F.sum(f"_t_{k}").over(wo).alias(f"_o_{k}") for k in names])
+    out = d.join(off, ["_gpart", *group_cols], "left")
+    for k in names:
+        out = out.withColumn(k, F.col(f"_l_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0)))
+    drop = ["_gpart"] + [f"_{p}_{k}" for k in names for p in ("v", "l", "o")]
+    return out.drop(*drop)

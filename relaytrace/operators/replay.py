@@ -20,9 +20,11 @@ path (``exact_replay``, ``applyInPandas`` over hashes only).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import grouped_cumsum
+
 _BIG = 1 << 62
 
 
@@ -47,12 +49,13 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
     stream = (occ.select(session, order, F.col("pos").cast("bigint").alias("pos"), "h", "content_h",
                          F.lit(False).alias("_probe"))
               .unionByName(probes))
-    w = (Window.partitionBy(session, "h").orderBy(order, "pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stream = stream.withColumn("_n", F.sum(F.when(~F.col("_probe"), 1).otherwise(0)).over(w))
-
-    prov = (providers.select(session, F.col(order).alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h")
-            .withColumn("_n", F.row_number().over(Window.partitionBy(session, "h").orderBy("src_order"))))
+    # FIFO ranks with distributed running counts: a context repeated by a
+    # third of all calls still spreads over many tasks
+    stream = grouped_cumsum(stream, [session, "h"], [F.col(order), F.col("pos")],
+                            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)})
+    prov = grouped_cumsum(
+        providers.select(session, F.col(order).alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h"),
+        [session, "h"], [F.col("src_order")], {"_n": F.lit(1)})
     counts = prov.groupBy(session, "h").agg(F.count(F.lit(1)).alias("_cnt"))
 
     turns = (stream.where(~F.col("_probe"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import grouped_cumsum
 from ..functions.text import (ASSISTANT_CONTENT_LIMIT, CONTENT_MARKER, REASONING_LIMIT,
                               REASONING_MARKER, TOOL_CONTENT_LIMIT, middle_truncate)
 
@@ -30,10 +31,11 @@ def main_trajectory(rows: DataFrame, key: str, order: str, has_tools: Column | s
 
 def assistant_turn_index(msgs: DataFrame, part: list[str], order: str, role: str = "role",
                          out: str = "assistant_turn_index") -> DataFrame:
-    """W3 on exploded messages: 0-based running count of assistant messages."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """W3 on exploded messages: 0-based running count of assistant messages
+    (distributed running count, so one huge trajectory is split across tasks)."""
     is_a = F.col(role) == "assistant"
-    return msgs.withColumn(out, F.when(is_a, F.sum(F.when(is_a, 1).otherwise(0)).over(w) - 1))
+    out_df = grouped_cumsum(msgs, part, [F.col(order)], {"_na": F.when(is_a, 1).otherwise(0)})
+    return out_df.withColumn(out, F.when(is_a, F.col("_na") - 1)).drop("_na")
 
 
 def truncate_message(m: Column) -> Column:

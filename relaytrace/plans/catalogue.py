@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import grouped_cumsum
 from ..operators.dedup import prefix_dedup
 from ..operators.replay import mark_generation
 from ..sources.conversations import conversation_call_log
@@ -100,8 +101,7 @@ GROUP BY a.conv_id, a.turn
 """)
 def call_snapshots(spark, sf_dir):
     calls = _log(spark, sf_dir).calls
-    w = Window.partitionBy("session_id").orderBy("call_order")
-    return (calls.withColumn("call_rank", F.row_number().over(w))
+    return (grouped_cumsum(calls, ["session_id"], [F.col("call_order")], {"call_rank": F.lit(1)})
             .withColumnRenamed("n_asst_before", "n_prior_assistant")
             .select(*_big("session_id", "call_turn", "request_time", "ctx_len", "n_prior_assistant", "call_rank")))
 
@@ -859,9 +859,8 @@ FROM emit x LEFT JOIN names n ON n.sid = x.sid AND n.tid = x.tid GROUP BY x.sid
 
 def tool_batch_log(ev: DataFrame) -> DataFrame:
     """Raw call records (one per 4-event chunk of a user) for the J3/J4 query."""
-    from ..functions.keys import global_row_index  # noqa: F401  (ordering is per user here)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = (ev.withColumn("i", F.row_number().over(w) - 1)
+    e = (grouped_cumsum(ev, ["user_id"], [F.col("ts"), F.col("event_id")], {"i": F.lit(1)})
+         .withColumn("i", F.col("i") - 1)
          .select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("i") / 4).cast("string"))
                  .alias("sid"), (F.col("i") % 4).alias("j"), "event_id", "event_type",
                  F.concat(F.lit("t"), F.try_variant_get(F.parse_json("props"), "$.k", "string")).alias("tid")))

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import EMPTY_KEY, running_prefix_keys
+from ..functions.keys import EMPTY_KEY, grouped_cumsum, running_prefix_keys
 
 
 @dataclass
@@ -43,13 +43,13 @@ def conversation_call_log(conv: DataFrame, retry_when: Column | None = None,
     e = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("bigint").alias("pos"),
                     "role", "text")
     e = e.withColumn("elem_h", element_hash(F.col("role"), F.col("text")))
+    e = e.withColumn("_a", F.when(F.col("role") == "assistant", 1).otherwise(0))
     e = running_prefix_keys(e, ["session_id"], "pos", "elem_h", out_col="key", before_col="key_before")
-    ws = Window.partitionBy("session_id")
-    wr = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    e = (e.withColumn("last_call_turn", F.max(F.when(F.col("role") == "assistant", F.col("pos"))).over(ws))
-          .withColumn("n_asst_before",
-                      F.coalesce(F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).over(wr), F.lit(0))
-                      .cast("bigint")))
+    e = grouped_cumsum(e, ["session_id"], [F.col("pos")], {"_a_upto": F.col("_a")})
+    e = e.withColumn("n_asst_before", (F.col("_a_upto") - F.col("_a")).cast("bigint")).drop("_a", "_a_upto")
+    last = (e.where(F.col("role") == "assistant").groupBy("session_id")
+            .agg(F.max("pos").alias("last_call_turn")))
+    e = e.join(last, "session_id", "left")
 
     base = e.where(F.col("role") == "assistant")
     if lost_when is not None:
