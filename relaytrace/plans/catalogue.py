@@ -19,6 +19,26 @@ from ..operators.dedup import prefix_dedup
 from ..operators.replay import mark_generation
 from ..sources.conversations import conversation_call_log
 from ..sources.tables import read_table
+from ..functions.keys import global_row_index
+from ..functions.scoring import round3_sql
+from ..functions.text import CONTENT_MARKER, REASONING_MARKER, middle_truncate
+from ..functions.text import strip_fences
+from ..operators.attribute import asof_attribute
+from ..operators.cases import has_trajectory, last_wins, match_cases, missing_cases
+from ..operators.convert import convert_tools, source_tools
+from ..operators.filters import exclude_models
+from ..operators.report import bucket_counts
+from ..operators.report import funnel
+from ..operators.report import scaffold_distribution
+from ..operators.score import detailed_results, score_cases, score_summary
+from ..operators.select import main_trajectory
+from ..operators.select import render_prompt, PROMPT_HEADER, TOOLS_TAG, MESSAGES_TAG, CHECKLIST_TAG, PROMPT_FOOTER
+from ..plans.merge import merge_lines
+from ..plans.score import score_job
+from ..session import scratch_path
+from ..sources.conversations import conversation_raw_log
+from ..streaming.jobs import attribute_stream, incremental_merge as incremental_merge_job
+from ..streaming.jobs import ingest_stream, stream_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -194,7 +214,6 @@ def context_multiplicity(spark, sf_dir):
 
 
 # ---- P1: model exclusion -------------------------------------------------------
-from ..operators.filters import exclude_models  # noqa: E402
 
 _MODEL_SPARK = ("CASE conv_id % 4 WHEN 0 THEN 'claude-haiku-4' WHEN 1 THEN 'Claude-Sonnet-4' "
                 "WHEN 2 THEN NULL ELSE 'Mini-HAIKU' END")
@@ -210,7 +229,6 @@ def model_exclusion(spark, sf_dir):
 
 
 # ---- F1/A2: hash buckets -------------------------------------------------------
-from ..operators.report import bucket_counts  # noqa: E402
 
 
 @query("bucket_counts", """
@@ -224,7 +242,6 @@ def bucket_counts_q(spark, sf_dir):
 
 
 # ---- W2: main trajectory per case ------------------------------------------------
-from ..operators.select import main_trajectory  # noqa: E402
 
 # case key of a logged call: the conversation id modulo 10 (ten cases); a call
 # carries tools when its conversation has a system turn
@@ -275,7 +292,6 @@ def turn_index(spark, sf_dir):
 
 
 # ---- P19: middle truncation --------------------------------------------------------
-from ..functions.text import CONTENT_MARKER, REASONING_MARKER, middle_truncate  # noqa: E402
 
 
 def _trunc_sql(col: str, n: int, marker: str) -> str:
@@ -302,7 +318,6 @@ def truncate_text(spark, sf_dir):
 
 
 # ---- P21: prompt rendering ---------------------------------------------------------
-from ..operators.select import render_prompt, PROMPT_HEADER, TOOLS_TAG, MESSAGES_TAG, CHECKLIST_TAG, PROMPT_FOOTER  # noqa: E402,E501
 
 
 def _sql_lit(s: str) -> str:
@@ -334,7 +349,6 @@ def prompt_digest(spark, sf_dir):
 
 
 # ---- P22: judge output parsing -----------------------------------------------------
-from ..functions.text import strip_fences  # noqa: E402
 
 # judge text per event: fenced with a json tag (view), bare fence (click), padded
 # with whitespace (signup), cut short (error), plain (purchase)
@@ -371,8 +385,6 @@ def judge_parse(spark, sf_dir):
 
 
 # ---- A5-A8, A13: scoring (labels as verdicts, one case per document source) -----
-from ..functions.scoring import round3_sql  # noqa: E402
-from ..operators.score import detailed_results, score_cases, score_summary  # noqa: E402
 
 _CHECKS_SQL = """
 checks AS (
@@ -450,7 +462,6 @@ def score_summary_q(spark, sf_dir):
 
 
 # ---- J5/J6: cases x trajectories ---------------------------------------------------
-from ..operators.cases import has_trajectory, last_wins, match_cases, missing_cases  # noqa: E402
 
 _TRAJ_SQL = f"""
 WITH {_ctx_sql()},
@@ -504,7 +515,6 @@ def last_case_wins(spark, sf_dir):
 
 
 # ---- A9/P23: scaffold distribution -------------------------------------------------
-from ..operators.report import scaffold_distribution  # noqa: E402
 
 _SCAFFOLD = "CASE conv_id % 4 WHEN 0 THEN 'claudecode' WHEN 1 THEN 'kilo-dev' WHEN 2 THEN 'droid' END"
 
@@ -519,7 +529,6 @@ def scaffold_distribution_q(spark, sf_dir):
 
 
 # ---- J7: as-of attribution -------------------------------------------------------
-from ..operators.attribute import asof_attribute  # noqa: E402
 
 
 @query("session_attribution", """
@@ -536,7 +545,6 @@ def session_attribution(spark, sf_dir):
 
 
 # ---- A3: funnel -------------------------------------------------------------------------
-from ..operators.report import funnel  # noqa: E402
 
 
 @query("funnel", f"""
@@ -558,7 +566,6 @@ def funnel_q(spark, sf_dir):
 
 
 # ---- W6/S9: output chunks -------------------------------------------------------------
-from ..functions.keys import global_row_index  # noqa: E402
 
 
 @query("chunk_sizes", _TRAJ_SQL + """
@@ -572,8 +579,6 @@ def chunk_sizes(spark, sf_dir, chunk_size: int = 10):
 
 
 # ---- the raw-JSON merge pipeline on a log Spark derives from conversations -------
-from ..plans.merge import merge_lines  # noqa: E402
-from ..sources.conversations import conversation_raw_log  # noqa: E402
 
 FIRST_TRY = " (first try)"
 
@@ -640,9 +645,6 @@ def replay_exact(spark, sf_dir):
 
 
 # ---- X1-X3: streaming ------------------------------------------------------------------
-from ..session import scratch_path  # noqa: E402
-from ..streaming.jobs import attribute_stream, incremental_merge as incremental_merge_job  # noqa: E402
-from ..streaming.jobs import ingest_stream, stream_lines  # noqa: E402
 
 _TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -712,7 +714,6 @@ def stream_attribution(spark, sf_dir):
 
 
 # ---- P7/P10: tool definitions ---------------------------------------------------------
-from ..operators.convert import convert_tools, source_tools  # noqa: E402
 
 # provider tool per event: function-typed for view/click (with required), already in
 # source form otherwise (required only for purchases)
@@ -747,7 +748,6 @@ def tools_convert(spark, sf_dir):
 
 
 # ---- E2 + score job end to end: benchmark cases x merged conversations -----------
-from ..plans.score import score_job  # noqa: E402
 
 # checklist of a case: empty when the item text holds a 'z', else two categories
 _CHECKLIST_SPARK = """CASE WHEN instr(text, 'z') > 0 THEN parse_json('{}') ELSE parse_json(

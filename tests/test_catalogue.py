@@ -49,5 +49,5 @@ def test_every_query_has_an_oracle():
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
-    assert df.columns == ["session_id", "call_turn", "n_assistant"]
+    assert df.columns == ["session_id", "n_assistant", "n_messages", "n_generated", "n_first_try"]
     assert not any(isinstance(x, float) and math.isnan(x) for r in df.collect() for x in r)
