@@ -23,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import grouped_cumsum
+from ..functions.keys import DEFAULT_HOT_ROWS, grouped_cumsum
 
 _BIG = 1 << 62
 
 
 def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
-                    session: str = "session_id", order: str = "call_order") -> tuple[DataFrame, DataFrame]:
+                    session: str = "session_id", order: str = "call_order",
+                    hot_rows: int | None = DEFAULT_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rank-join replay.
 
     ``occ``: history assistant messages of kept calls:
@@ -52,10 +53,10 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
     # FIFO ranks with distributed running counts: a context repeated by a
     # third of all calls still spreads over many tasks
     stream = grouped_cumsum(stream, [session, "h"], [F.col(order), F.col("pos")],
-                            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)})
+                            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)}, hot_rows=hot_rows)
     prov = grouped_cumsum(
         providers.select(session, F.col(order).alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h"),
-        [session, "h"], [F.col("src_order")], {"_n": F.lit(1)})
+        [session, "h"], [F.col("src_order")], {"_n": F.lit(1)}, hot_rows=hot_rows)
     counts = prov.groupBy(session, "h").agg(F.count(F.lit(1)).alias("_cnt"))
 
     turns = (stream.where(~F.col("_probe"))

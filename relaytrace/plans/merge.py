@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_all, split_converted
+from ..functions.keys import DEFAULT_HOT_ROWS
 from ..operators.dedup import prefix_dedup
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
 from ..operators.replay import _ORDER_COLS, exact_replay, mark_generation
@@ -65,13 +66,15 @@ def _ctx(calls: DataFrame) -> DataFrame:
             .select("session_id", "call_order", "n_system", F.col("pos").cast("bigint").alias("pos"), "_e.*"))
 
 
-def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True,
+                 hot_rows: int | None = DEFAULT_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(turn flags by session, call_order, pos, src_order) and (final flags)."""
     ctx = _ctx(kept)
     occ = ctx.where((F.col("role") == "assistant") & (F.col("pos") >= F.col("n_system"))).select(
         "session_id", "call_order", "pos", "h", "content_h")
     providers = calls.select("session_id", "call_order", "ctx_gkey", "resp_h")
-    turns, finals = mark_generation(occ, kept.select("session_id", "call_order", "ctx_gkey"), providers)
+    turns, finals = mark_generation(occ, kept.select("session_id", "call_order", "ctx_gkey"), providers,
+                                    hot_rows=hot_rows)
     if not exact:
         return turns.drop("neutral"), finals
     # flags are hashes only: write them once, then look for non-neutral sessions
@@ -96,20 +99,26 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple
 
 def merge_calls(spark: SparkSession, path: str, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True) -> MergeResult:
+                exact: bool = True, persist: bool = True, hot_rows: int | None = DEFAULT_HOT_ROWS) -> MergeResult:
     """S1 scan of every file under ``path`` followed by ``merge_lines``."""
-    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist)
+    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist,
+                       hot_rows)
 
 
 def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True) -> MergeResult:
+                exact: bool = True, persist: bool = True, hot_rows: int | None = DEFAULT_HOT_ROWS) -> MergeResult:
+    """Merge already-read lines (``value, src_file, src_block, src_ord``).
+
+    ``hot_rows``: context groups larger than this are split across tasks in
+    the replay's FIFO ranking (``None`` = always split).
+    """
     calls, rejects = prepare_calls(lines, excluded_models, model_path, persist)
     keys = calls.select("session_id", "call_order", "ctx_dkey", "ctx_gkey", "n_system", "roles", "dkeys",
                         "gkeys", "gshell", "gcontent")
     dctx = keys.select("session_id", "call_order", F.explode("dkeys").alias("dkey"))
     kept_keys = prefix_dedup(dctx, keys).where("kept").drop("kept")
-    turns, finals = replay_flags(calls, kept_keys, exact)
+    turns, finals = replay_flags(calls, kept_keys, exact, hot_rows)
 
     # replacement content of generated turns: the providing call's response blocks
     resp = calls.select("session_id", F.col("call_order").alias("src_order"),

@@ -95,14 +95,21 @@ def conversation_raw_log(conv: DataFrame, retry_when: Column | None = None,
     non-neutral for the replay.  Output: ``value, src_file, src_block,
     src_ord`` like the text scan.
     """
-    log = conversation_call_log(conv)
-    e = log.elements
+    e = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("bigint").alias("pos"), "role", "text")
+    last = (e.where(F.col("role") == "assistant").groupBy("session_id")
+            .agg(F.max("pos").alias("last_call_turn")))
+    # every earlier turn belongs to the context of each later assistant turn
+    seq = F.when(F.col("pos") < F.col("last_call_turn"),
+                 F.sequence(F.col("pos") + 1, F.col("last_call_turn"))).otherwise(F.array().cast("array<bigint>"))
+    spread = e.join(last, "session_id").select("session_id", "pos", "role", "text",
+                                                F.explode(seq).alias("call_turn"))
+    asst_turns = e.where(F.col("role") == "assistant").select("session_id", F.col("pos").alias("call_turn"))
+    ctx = spread.join(asst_turns, ["session_id", "call_turn"])
     blk = F.to_variant_object(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
     msg = F.when(F.col("role") == "assistant",
                  F.to_variant_object(F.struct(F.lit("assistant").alias("role"), blk.alias("content"))))\
         .otherwise(F.to_variant_object(F.struct(F.col("role").alias("role"),
                                                 F.col("text").cast("variant").alias("content"))))
-    ctx = log.ctx.join(e.select("session_id", "pos", "text"), ["session_id", "pos"])
     per_call = (ctx.groupBy("session_id", "call_turn")
                 .agg(F.array_sort(F.collect_list(F.struct(
                     "pos",

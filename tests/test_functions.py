@@ -68,3 +68,17 @@ def test_global_row_index(spark):
     df = spark.range(0, 500).repartition(7).withColumn("k", (F.col("id") * 7919) % 500)
     idx = global_row_index(df, [F.col("k")])
     assert idx.where(F.col("row_index") != F.col("k") + 1).count() == 0
+
+
+def test_grouped_cumsum_hot_group_both_paths(spark):
+    from pyspark.sql import Window
+    from relaytrace.functions.keys import grouped_cumsum
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("g"),
+        F.col("id").alias("o"), (F.col("id") % 5).alias("v"))
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("cs2", F.sum("v").over(w))
+    for hot in (None, 0, 10_000):
+        got = grouped_cumsum(df, ["g"], [F.col("o")], {"cs": F.col("v")}, partitions=7, hot_rows=hot)
+        assert got.join(ref, ["g", "o"]).where("cs != cs2").count() == 0
+        assert got.count() == 6000

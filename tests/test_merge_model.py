@@ -9,8 +9,8 @@ from relaytrace.plans.merge import merge_calls
 from pyspark.sql import functions as F
 
 
-def _spark_rows(spark, path):
-    r = merge_calls(spark, path)
+def _spark_rows(spark, path, hot_rows=2_000_000):
+    r = merge_calls(spark, path, hot_rows=hot_rows)
     js = r.trajectories.select(F.to_json(F.struct("meta", "tools", "messages")).alias("j")).collect()
     return [canon(json.loads(x.j)) for x in js], r
 
@@ -27,3 +27,12 @@ def test_merge_equals_model(spark, tmpdir_run):
         want = [canon(json.loads(json.dumps(x))) for x in merge(lines)]
         assert sorted(map(_key, got)) == sorted(map(_key, want))
         assert len(got) > 0
+
+
+def test_merge_equals_model_with_split_ranking(spark, tmpdir_run):
+    """Same as above with every FIFO ranking group split across tasks."""
+    lines = make_log(seed=11, n_sessions=10)
+    write_log(f"{tmpdir_run}/in", lines)
+    got, _ = _spark_rows(spark, f"{tmpdir_run}/in", hot_rows=None)
+    want = [canon(json.loads(json.dumps(x))) for x in merge(lines)]
+    assert sorted(map(_key, got)) == sorted(map(_key, want))
