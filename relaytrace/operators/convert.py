@@ -122,6 +122,9 @@ def normalize_system(system: Column) -> Column:
             .otherwise(F.array().cast("array<variant>")))
 
 
+_STEPS_CACHE: dict = {}
+
+
 def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS) -> DataFrame:
     """Kept calls -> one converted row each, with ``reason`` set on rejects.
 
@@ -129,7 +132,22 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     ``biz_id``, ``model``, ``max_tokens``, ``gen_map``
     (map<int, struct<generation, sub>> by message index, ``sub`` = the
     replacement content or NULL), ``final_generation``.
+
+    The column expressions only name input columns, so they are built once
+    per SparkContext (thousands of driver-JVM calls) and reused.
     """
+    key = (id(calls.sparkSession.sparkContext), min_assistant_turns)
+    if key not in _STEPS_CACHE:
+        _STEPS_CACHE[key] = _conversion_steps(min_assistant_turns)
+    steps, final = _STEPS_CACHE[key]
+    df = calls
+    for name, col in steps:
+        df = df.withColumn(name, col)
+    return df.select(*final)
+
+
+def _conversion_steps(min_assistant_turns: int):
+    steps: list = []
     req, resp = F.col("request"), F.col("response")
     msgs0 = F.coalesce(vget(req, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     msgs_null = kind(vget(req, "$.messages")) == "VOID"
@@ -151,7 +169,7 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
         return F.struct(m["idx"].alias("idx"), m["role"].alias("role"), m["content"].alias("content"),
                         ck.alias("ck"), blocks.alias("blocks"), m["generation"].alias("generation"))
 
-    df = calls.withColumn("_m", F.transform(F.transform(msgs0, shape), decode)).withColumn("_msgs_null", msgs_null)
+    steps += [("_m", F.transform(F.transform(msgs0, shape), decode)), ("_msgs_null", msgs_null)]
 
     def empty_ok(m):
         # iterating an empty string / empty object / missing content yields nothing
@@ -172,26 +190,26 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
               .when(F.exists("_m", lambda m: asst(m) & (F.size(F.filter(m["blocks"],
                                                                        lambda b: b["t"] == BLOCK_THINKING)) > 1)),
                     "multi_thinking"))
-    df = df.withColumn("_reason", reason)
+    steps.append(("_reason", reason))
 
     # Id -> name pairs from every assistant tool use (non-empty id and name)
     uses = F.transform(F.filter("_m", asst), lambda m: F.filter(F.transform(
         F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TOOL_USE),
         lambda b: F.struct(_str_or(b["v"], "$.id").alias("id"), _str_or(b["v"], "$.name").alias("name"))),
         lambda u: (u["id"] != "") & (u["name"] != "")))
-    df = df.withColumn("_uses", uses)
+    steps.append(("_uses", uses))
     pairs = F.flatten(F.col("_uses"))
     # Call batches of tool-using assistant messages, in order
     batches = F.filter(F.transform("_uses", lambda a: F.transform(a, lambda u: u["id"])), lambda a: F.size(a) > 0)
-    df = df.withColumn("_pairs", pairs).withColumn("_batches", batches)
-    df = df.withColumn("_results", F.transform("_m", lambda m: F.when(
+    steps += [("_pairs", pairs), ("_batches", batches)]
+    steps.append(("_results", F.transform("_m", lambda m: F.when(
         user(m) & (m["ck"] == "ARRAY"),
         F.transform(F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TOOL_RESULT),
                     lambda b: F.struct(_str_or(b["v"], "$.tool_use_id").alias("id"),
                                        F.coalesce(vget(b["v"], "$.content"), _as_variant_str(F.lit("")))
                                        .alias("content"))))
-        .otherwise(F.array().cast("array<struct<id:string,content:variant>>"))))
-    df = df.withColumn("_rb", F.transform("_results", lambda r: F.size(r) > 0))
+        .otherwise(F.array().cast("array<struct<id:string,content:variant>>")))))
+    steps.append(("_rb", F.transform("_results", lambda r: F.size(r) > 0)))
 
     def tool_name(id_: Column) -> Column:
         hit = F.try_element_at(F.filter("_pairs", lambda p: p["id"] == id_), F.lit(-1))
@@ -250,17 +268,17 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
                              F.coalesce(F.col("final_generation"), F.lit(False)) & (F.size(rblocks) > 0),
                              _last_field(rblocks, BLOCK_THINKING, "thinking"), _tool_calls(rblocks)))
     messages = F.concat(sys_msg, F.flatten(F.transform("_m", out_for)), final)
-    df = df.withColumn("messages", messages)
-    df = df.withColumn("n_assistant", F.size(F.filter("messages", lambda m: m["role"] == ROLE_ASSISTANT)))
-    df = df.withColumn("_reason", F.coalesce(F.col("_reason"), F.when(
-        F.col("n_assistant") < min_assistant_turns, F.lit("few_turns"))))
+    steps.append(("messages", messages))
+    steps.append(("n_assistant", F.size(F.filter("messages", lambda m: m["role"] == ROLE_ASSISTANT))))
+    steps.append(("_reason", F.coalesce(F.col("_reason"), F.when(
+        F.col("n_assistant") < min_assistant_turns, F.lit("few_turns")))))
 
     meta = F.struct(F.col("session_id"), F.col("biz_id"), F.col("model"), F.col("max_tokens"),
                     vget(req, "$.metadata").alias("extra"))
-    return df.select(
-        meta.alias("meta"), convert_tools(vget(req, "$.tools", "array<variant>")).alias("tools"),
-        "messages", "n_assistant", "session_id", "call_order", F.col("_reason").alias("reason"),
-        "src_file", "src_ord", F.when(F.col("_reason").isNotNull(), F.col("value")).alias("raw"))
+    final = [meta.alias("meta"), convert_tools(vget(req, "$.tools", "array<variant>")).alias("tools"),
+             "messages", "n_assistant", "session_id", "call_order", F.col("_reason").alias("reason"),
+             "src_file", "src_ord", F.when(F.col("_reason").isNotNull(), F.col("value")).alias("raw")]
+    return steps, final
 
 
 def split_converted(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
