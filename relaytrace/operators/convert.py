@@ -181,7 +181,9 @@ def _conversion_steps(min_assistant_turns: int):
 
     asst = lambda m: m["role"] == ROLE_ASSISTANT
     user = lambda m: m["role"] == ROLE_USER
+    md_kind = kind(vget(req, "$.metadata"))
     reason = (F.when(F.col("_msgs_null"), "bad_block")
+              .when(md_kind.isNotNull() & (md_kind != "OBJECT"), "bad_block")
               .when(F.exists("_m", lambda m: asst(m) & (m["ck"] == "STRING") & ~empty_ok(m)), "assistant_string")
               .when(F.exists("_m", lambda m: asst(m) & ~empty_ok(m) & ~((m["ck"] == "ARRAY") & all_objects(m))),
                     "bad_block")
@@ -274,7 +276,7 @@ def _conversion_steps(min_assistant_turns: int):
         F.col("n_assistant") < min_assistant_turns, F.lit("few_turns")))))
 
     meta = F.struct(F.col("session_id"), F.col("biz_id"), F.col("model"), F.col("max_tokens"),
-                    vget(req, "$.metadata").alias("extra"))
+                    F.coalesce(vget(req, "$.metadata"), F.parse_json(F.lit("{}"))).alias("extra"))
     final = [meta.alias("meta"), convert_tools(vget(req, "$.tools", "array<variant>")).alias("tools"),
              "messages", "n_assistant", "session_id", "call_order", F.col("_reason").alias("reason"),
              "src_file", "src_ord", F.when(F.col("_reason").isNotNull(), F.col("value")).alias("raw")]

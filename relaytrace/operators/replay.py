@@ -137,3 +137,139 @@ def exact_replay(kept: DataFrame, providers: DataFrame) -> DataFrame:
     p = providers.select(*[F.col(c).alias(c) for c in pcols]).alias("p")
     return (k.groupBy("session_id").cogroup(p.groupBy("session_id"))
             .applyInPandas(_replay_session, EXACT_SCHEMA))
+
+
+# ---- E5, distributed: level-frontier replay ------------------------------------------
+#
+# Every occurrence of a history key has the same history length (the key
+# carries it), so FIFO ranks at level L only depend on level-L keys.  Within
+# a session all levels up to the first replacement that changes the history
+# (a non-neutral one) are therefore final after one rank join.  Each round
+# applies the decided replacements - a replacement at position q shifts every
+# later prefix sum by the difference of its two md5 terms - recomputes the
+# keys, ranks again, and moves the session's frontier to its next non-neutral
+# level.  Rounds <= 1 + distinct non-neutral levels of a session; no session
+# is ever gathered in one task.
+
+def _sums(key: "F.Column"):
+    parts = F.split(key, ":")
+    return (F.when(key == "", F.lit(0)).otherwise(parts.getItem(1)).cast("decimal(38,0)"),
+            F.when(key == "", F.lit(0)).otherwise(parts.getItem(2)).cast("decimal(38,0)"))
+
+
+def kept_context_rows(kept: DataFrame) -> DataFrame:
+    """Kept calls (arrays from E4) -> one row per context element with its original sums."""
+    before = F.transform("gkeys", lambda x, i: F.when(i == 0, F.lit("")).otherwise(F.col("gkeys")[i - 1]))
+    z = F.arrays_zip(F.col("roles").alias("role"), F.col("gshell").alias("shell"),
+                     F.col("gcontent").alias("content_h"), before.alias("kb"))
+    rows = kept.select("session_id", "call_order", "n_system", F.size("roles").alias("n"),
+                       F.coalesce(F.try_element_at("gkeys", F.lit(-1)), F.lit("")).alias("kfull"),
+                       F.posexplode(z).alias("pos", "_e"))
+    b1, b2 = _sums(F.col("_e.kb"))
+    f1, f2 = _sums(F.col("kfull"))
+    return rows.select("session_id", "call_order", "n_system", "n", F.col("pos").cast("bigint").alias("pos"),
+                       "_e.role", "_e.shell", "_e.content_h", b1.alias("ob1"), b2.alias("ob2"),
+                       f1.alias("of1"), f2.alias("of2"))
+
+
+def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_rounds: int = 64,
+                    hot_rows: int | None = DEFAULT_HOT_ROWS, exact_fallback=None) -> tuple[DataFrame, DataFrame]:
+    """Exact replay, natively.  ``ctx`` from ``kept_context_rows``; ``kept``:
+    ``session_id, call_order, ctx_gkey, n`` of the kept calls (empty contexts
+    included); ``providers``: ``session_id, call_order, ctx_gkey, resp_h`` of
+    every call.
+
+    Returns ``(turns, finals)`` shaped like ``mark_generation``'s.  Sessions
+    still open after ``max_rounds`` go to ``exact_fallback(sessions)`` (the
+    sequential replay), which returns the same two frames.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.keys import EMPTY_KEY, format_key, term1, term2
+    from ..session import cut_lineage
+
+    def elem_h(shell, content_h):
+        return F.md5(F.concat(shell, F.lit("|"), content_h))
+
+    prov = grouped_cumsum(
+        providers.select("session_id", F.col("call_order").alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h"),
+        ["session_id", "h"], [F.col("src_order")], {"_n": F.lit(1)}, hot_rows=hot_rows)
+    prov = cut_lineage(prov)
+    counts = prov.groupBy("session_id", "h").agg(F.max("_n").alias("_cnt"))
+    spark = ctx.sparkSession
+    decided = spark.createDataFrame([], "session_id string, call_order struct<request_time:bigint,src_file:string,"
+                                        "src_block:bigint,src_ord:bigint>, pos bigint, generation boolean, "
+                                        "src_order struct<request_time:bigint,src_file:string,src_block:bigint,"
+                                        "src_ord:bigint>, sub_h string")
+    ctx = cut_lineage(ctx)
+    f1, f2 = _sums(F.col("ctx_gkey"))
+    kept = cut_lineage(kept.select("session_id", "call_order", "n", f1.alias("of1"), f2.alias("of2")))
+    open_sessions = cut_lineage(kept.select("session_id").distinct().withColumn("_front", F.lit(-1).cast("bigint")))
+    turns_out, finals_out = [], []
+    for _ in range(max_rounds):
+        if open_sessions.isEmpty():
+            break
+        c = ctx.join(open_sessions, "session_id", "left_semi").join(
+            decided.select("session_id", "call_order", "pos", "generation", "sub_h"),
+            ["session_id", "call_order", "pos"], "left")
+        sub = F.col("generation") & F.col("sub_h").isNotNull()
+        c = c.withColumn("_d1", F.when(sub, term1(F.col("pos"), elem_h(F.col("shell"), F.col("sub_h")))
+                                     - term1(F.col("pos"), elem_h(F.col("shell"), F.col("content_h")))).otherwise(0)
+                         .cast("decimal(38,0)"))
+        c = c.withColumn("_d2", F.when(sub, term2(F.col("pos"), elem_h(F.col("shell"), F.col("sub_h")))
+                                     - term2(F.col("pos"), elem_h(F.col("shell"), F.col("content_h")))).otherwise(0)
+                         .cast("decimal(38,0)"))
+        # shifts before each position within the call (a call is one row's worth: bounded window)
+        wc = Window.partitionBy("session_id", "call_order").orderBy("pos")
+        c = (c.withColumn("_cd1", F.sum("_d1").over(wc.rowsBetween(Window.unboundedPreceding, -1)))
+              .withColumn("_cd2", F.sum("_d2").over(wc.rowsBetween(Window.unboundedPreceding, -1))))
+        tot = c.groupBy("session_id", "call_order").agg(F.sum("_d1").alias("_td1"), F.sum("_d2").alias("_td2"))
+        h = F.when(F.col("pos") == 0, F.lit(EMPTY_KEY)).otherwise(format_key(
+            F.col("pos"), F.col("ob1") + F.coalesce(F.col("_cd1"), F.lit(0)),
+            F.col("ob2") + F.coalesce(F.col("_cd2"), F.lit(0))))
+        occ = c.where((F.col("role") == "assistant") & (F.col("pos") >= F.col("n_system"))).select(
+            "session_id", "call_order", "pos", h.alias("h"), "content_h", F.lit(False).alias("_probe"))
+        fk = F.when(F.col("n") == 0, F.lit(EMPTY_KEY)).otherwise(format_key(
+            F.col("n"), F.col("of1") + F.coalesce(F.col("_td1"), F.lit(0)),
+            F.col("of2") + F.coalesce(F.col("_td2"), F.lit(0))))
+        probes = (kept.join(open_sessions, "session_id", "left_semi")
+                  .join(tot, ["session_id", "call_order"], "left")
+                  .select("session_id", "call_order", F.lit(_BIG).cast("bigint").alias("pos"), fk.alias("h"),
+                          F.lit(None).cast("string").alias("content_h"), F.lit(True).alias("_probe")))
+        stream = cut_lineage(grouped_cumsum(
+            occ.unionByName(probes), ["session_id", "h"], [F.col("call_order"), F.col("pos")],
+            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)}, hot_rows=hot_rows))
+        t = (stream.where(~F.col("_probe")).join(prov, ["session_id", "h", "_n"], "left")
+             .select("session_id", "call_order", "pos", F.col("src_order").isNotNull().alias("generation"),
+                     "src_order", F.when(F.col("src_order").isNotNull(), F.col("resp_h")).alias("sub_h"),
+                     (F.col("src_order").isNotNull() & (F.col("resp_h") != F.col("content_h"))).alias("_nn")))
+        t = cut_lineage(t.join(open_sessions, "session_id"))
+        nxt = (t.where(F.col("_nn") & (F.col("pos") > F.col("_front")))
+               .groupBy("session_id").agg(F.min("pos").alias("_new_front")))
+        front = cut_lineage(open_sessions.join(nxt, "session_id", "left"))
+        t = t.join(front.select("session_id", "_new_front"), "session_id")
+        newly = t.where((F.col("pos") > F.col("_front"))
+                        & (F.col("_new_front").isNull() | (F.col("pos") <= F.col("_new_front"))))
+        decided = cut_lineage(decided.unionByName(
+            newly.select("session_id", "call_order", "pos", "generation", "src_order", "sub_h")))
+        done = front.where(F.col("_new_front").isNull()).select("session_id")
+        fin = (stream.where(F.col("_probe")).join(done, "session_id", "left_semi")
+               .join(counts, ["session_id", "h"], "left")
+               .select("session_id", "call_order",
+                       (F.coalesce(F.col("_cnt"), F.lit(0)) > F.col("_n")).alias("final_generation")))
+        finals_out.append(cut_lineage(fin))
+        open_sessions = cut_lineage(front.where(F.col("_new_front").isNotNull())
+                                    .select("session_id", F.col("_new_front").alias("_front")))
+    turns = decided.select(
+        "session_id", "call_order", "pos", "generation", "src_order")
+    finals = finals_out[0] if finals_out else spark.createDataFrame([], "session_id string")
+    for f in finals_out[1:]:
+        finals = finals.unionByName(f)
+    if not open_sessions.isEmpty():
+        if exact_fallback is None:
+            raise RuntimeError("replay did not converge within max_rounds and no fallback was given")
+        rest = open_sessions.select("session_id")
+        ft, ff = exact_fallback(rest)
+        turns = turns.join(rest, "session_id", "left_anti").unionByName(ft)
+        finals = finals.join(rest, "session_id", "left_anti").unionByName(ff)
+    return turns, finals
