@@ -25,7 +25,7 @@ from ..operators.dedup import prefix_dedup
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
 from ..operators.replay import _ORDER_COLS, exact_replay, frontier_replay, kept_context_rows, mark_generation
 from ..session import scratch_path
-from ..sources.calls import canonicalise, parse_calls, read_lines
+from ..sources.calls import canonicalise_all, parse_all, read_lines, split_canonical
 
 
 @dataclass
@@ -50,11 +50,12 @@ def prepare_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
     if lines.rdd.getNumPartitions() < par:
         # a scan already has one partition per split; only thin inputs get spread
         lines = lines.repartition(par)
-    calls, rej1 = parse_calls(lines, excluded_models, model_path)
-    calls, rej2 = canonicalise(calls)
+    # parse and hash every line, write once, then split: a filter on the
+    # computed reason would otherwise be pushed into (and repeat) the parse
+    c = canonicalise_all(parse_all(lines, excluded_models, model_path))
     if persist:
-        calls = materialize(calls, "calls")
-    return calls, rej1.unionByName(rej2)
+        c = materialize(c, "calls")
+    return split_canonical(c)
 
 
 def _ctx(calls: DataFrame) -> DataFrame:

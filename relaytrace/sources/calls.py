@@ -16,13 +16,25 @@ from ..session import ship_package
 
 
 def _kind(v: Column) -> Column:
-    """Top-level JSON kind of a variant: OBJECT, ARRAY, STRING, ... (NULL if missing)."""
+    """Top-level JSON kind of a variant: OBJECT, ARRAY, STRING, ... (NULL if missing).
+
+    Only for small values: ``schema_of_variant`` walks the whole value.
+    """
     return F.when(v.isNotNull(), F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1))
 
 
+def _is_object(v: Column) -> Column:
+    """Top-level object test by a cast (no walk over nested values)."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def _body(v: Column) -> Column:
-    """A body given as an object, or as a JSON string holding one."""
-    return F.when(_kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    """A body given as an object, or as a JSON string holding one.
+
+    Objects and arrays do not cast to a string, so only string (and scalar)
+    bodies are re-parsed; anything that is not an object is rejected later.
+    """
+    return F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,12 +46,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") != "")
 
 
-def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
-                model_path: str = "any") -> tuple[DataFrame, DataFrame]:
-    """S2 + S3 + P1: raw lines -> (calls, rejects).
-
-    ``model_path='meta'`` excludes by ``meta.model`` only; the default also
-    reads ``request_body.model`` (the logger's own field).
+def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any") -> DataFrame:
+    """S2 + S3 + P1 for every line: typed call columns plus ``reason`` (NULL if
+    the line is a good call) and ``excluded`` (model filter).  No filtering
+    happens here: filtering a computed column lets the optimizer copy the
+    whole parse into the predicate, so callers split after writing once.
     """
     v = F.try_parse_json(F.col("value"))
     df = lines.withColumn("_v", v)
@@ -50,53 +61,79 @@ def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
     resp = _body(F.try_variant_get(F.col("_v"), "$.response_body", "variant"))
     rt_v = F.try_variant_get(F.col("_v"), "$.request_time", "variant")
     df = (df.withColumn("_req", req).withColumn("_resp", resp)
-          .withColumn("_sid_kind", _kind(sid_v)).withColumn("_meta_kind", _kind(meta_v))
+          .withColumn("_sid_kind", _kind(sid_v)).withColumn("_meta_obj", _is_object(meta_v))
           .withColumn("_mm_kind", _kind(meta_model_v)).withColumn("_rt_kind", _kind(rt_v)))
+    # a valid JSON text is an object iff its first non-blank character is '{'
+    row_is_object = F.regexp_extract(F.col("value"), r"^\s*(\S)", 1) == "{"
     reason = (F.when(F.col("_v").isNull(), "bad_json")
-              .when(_kind(F.col("_v")) != "OBJECT", "bad_json")
+              .when(~row_is_object, "bad_json")
               .when(F.col("_sid_kind").isNotNull() & (F.col("_sid_kind") != "STRING"), "bad_json")
-              .when(F.col("_meta_kind").isNotNull() & (F.col("_meta_kind") != "OBJECT"), "bad_json")
+              .when(meta_v.isNotNull() & ~F.col("_meta_obj"), "bad_json")
               .when(F.col("_mm_kind").isNotNull() & (F.col("_mm_kind") != "STRING"), "bad_json")
               .when(F.col("_rt_kind").isNotNull() & ~F.col("_rt_kind").isin("BIGINT", "INT", "SMALLINT", "TINYINT",
                                                                           "DECIMAL"), "bad_json")
-              .when((_kind(F.col("_req")) != "OBJECT") | F.col("_req").isNull(), "bad_body")
-              .when((_kind(F.col("_resp")) != "OBJECT") | F.col("_resp").isNull(), "bad_body"))
-    df = df.withColumn("_reason", reason)
+              .when(F.col("_req").isNull() | ~_is_object(F.col("_req")), "bad_body")
+              .when(F.col("_resp").isNull() | ~_is_object(F.col("_resp")), "bad_body"))
     meta_model = F.try_variant_get(meta_v, "$.model", "string")
     req_model = F.try_variant_get(F.col("_req"), "$.model", "string")
     model_for_filter = meta_model if model_path == "meta" else F.coalesce(meta_model, req_model)
-    df = df.withColumn("_excluded", F.col("_reason").isNull() & ~model_allowed(model_for_filter, excluded_models))
-
-    rejects = df.where(F.col("_reason").isNotNull()).select(
-        "src_file", "src_ord", F.lit("parse").alias("stage"), F.col("_reason").alias("reason"),
-        F.col("value").alias("raw"))
-    ok = df.where(F.col("_reason").isNull() & ~F.col("_excluded"))
-    calls = ok.select(
+    out = df.select(
         F.coalesce(F.try_variant_get(F.col("_v"), "$.session_id", "string"), F.lit("")).alias("session_id"),
         F.coalesce(F.try_variant_get(F.col("_v"), "$.biz_id", "string"), F.lit("")).alias("biz_id"),
         F.coalesce(F.try_variant_get(F.col("_v"), "$.request_time", "bigint"), F.lit(0)).alias("request_time"),
         F.coalesce(req_model, F.lit("")).alias("model"),
         F.coalesce(F.try_variant_get(F.col("_req"), "$.max_tokens", "bigint"), F.lit(0)).alias("max_tokens"),
         F.col("_req").alias("request"), F.col("_resp").alias("response"),
-        "value", "src_file", "src_block", "src_ord")
-    calls = calls.withColumn("call_order", F.struct("request_time", "src_file", "src_block", "src_ord"))
+        "value", "src_file", "src_block", "src_ord", reason.alias("reason"),
+        (reason.isNull() & ~model_allowed(model_for_filter, excluded_models)).alias("excluded"))
+    return out.withColumn("call_order", F.struct("request_time", "src_file", "src_block", "src_ord"))
+
+
+def _split_parsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rejects = df.where(F.col("reason").isNotNull()).select(
+        "src_file", "src_ord", F.lit("parse").alias("stage"), "reason", F.col("value").alias("raw"))
+    calls = df.where(F.col("reason").isNull() & ~F.col("excluded")).drop("reason", "excluded")
     return calls, rejects
 
 
-def canonicalise(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """E4 on parsed calls -> (calls with context hashes, rejects)."""
-    ship_package(calls.sparkSession)
-    c = calls.withColumn("_ctx", context_hashes(F.col("value")))
-    rejects = c.where(~F.col("_ctx.ok")).select(
-        "src_file", "src_ord", F.lit("context").alias("stage"), F.col("_ctx.reason").alias("reason"),
-        F.col("value").alias("raw"))
-    good = c.where(F.col("_ctx.ok")).select("*", "_ctx.n_system", "_ctx.roles", "_ctx.dkeys", "_ctx.gkeys",
-                                           "_ctx.gshell", "_ctx.gcontent", "_ctx.resp_h").drop("_ctx")
+def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
+                model_path: str = "any") -> tuple[DataFrame, DataFrame]:
+    """S2 + S3 + P1: raw lines -> (calls, rejects).
+
+    ``model_path='meta'`` excludes by ``meta.model`` only; the default also
+    reads ``request_body.model`` (the logger's own field).
+    """
+    return _split_parsed(parse_all(lines, excluded_models, model_path))
+
+
+def canonicalise_all(parsed: DataFrame) -> DataFrame:
+    """E4 on every parsed row; adds the context hash columns and ``ctx_reason``."""
+    ship_package(parsed.sparkSession)
+    c = parsed.withColumn("_ctx", context_hashes(F.col("value")))
     last = lambda a: F.coalesce(F.try_element_at(F.col(a), F.lit(-1)), F.lit(""))
-    good = good.withColumn("ctx_dkey", last("dkeys")).withColumn("ctx_gkey", last("gkeys"))
+    c = c.select("*", "_ctx.n_system", "_ctx.roles", "_ctx.dkeys", "_ctx.gkeys", "_ctx.gshell", "_ctx.gcontent",
+                 "_ctx.resp_h", F.when(~F.col("_ctx.ok"), F.col("_ctx.reason")).alias("ctx_reason")).drop("_ctx")
+    return c.withColumn("ctx_dkey", last("dkeys")).withColumn("ctx_gkey", last("gkeys"))
+
+
+def split_canonical(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good calls, rejects of both stages) from ``canonicalise_all`` output."""
+    rejects = (c.where(F.col("reason").isNotNull())
+               .select("src_file", "src_ord", F.lit("parse").alias("stage"), "reason", F.col("value").alias("raw"))
+               .unionByName(c.where(F.col("reason").isNull() & ~F.col("excluded") & F.col("ctx_reason").isNotNull())
+                            .select("src_file", "src_ord", F.lit("context").alias("stage"),
+                                    F.col("ctx_reason").alias("reason"), F.col("value").alias("raw"))))
+    good = (c.where(F.col("reason").isNull() & ~F.col("excluded") & F.col("ctx_reason").isNull())
+            .drop("reason", "excluded", "ctx_reason"))
     return good, rejects
 
 
+def canonicalise(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E4 on parsed calls -> (calls with context hashes, rejects)."""
+    c = canonicalise_all(calls.withColumn("reason", F.lit(None).cast("string")).withColumn("excluded", F.lit(False)))
+    return split_canonical(c)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, glob: str | None = None) -> DataFrame:
     """JSONL with an explicit schema (no inference at scale)."""
     r = spark.read
