@@ -27,6 +27,8 @@ UNKNOWN_RUN = "unknown"  # attribution of calls before any announcement
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
+    """Time bucket of a TIMESTAMP or TIMESTAMP_NTZ; only needs to agree on both
+    join sides (the interval test below compares the native values)."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000 * seconds)).cast("bigint")
 
 
@@ -37,18 +39,17 @@ def asof_attribute(calls: DataFrame, announcements: DataFrame, call_ts: str = "t
     order = [F.col(ann_ts)] + [F.col(x) for x in extra]
     ann = global_row_index(announcements.select(ann_ts, ann_id, *extra), order, "_i")
     nxt = ann.select((F.col("_i") - 1).alias("_i"), F.col(ann_ts).alias("_next"))
-    # one-row scalar: the latest call closes the open last interval
-    bound = calls.agg((F.max(F.col(call_ts).cast("timestamp")) + F.expr("INTERVAL 1 SECOND")).alias("_bound"))
+    # one-row scalar: the latest call closes the open last interval.  Values keep
+    # their own type (no time-zone cast), so ordering is exact for NTZ inputs too.
+    bound = calls.agg((F.max(F.col(call_ts)) + F.expr("INTERVAL 1 SECOND")).alias("_bound"))
     iv = (ann.join(nxt, "_i", "left").crossJoin(F.broadcast(bound))
-          .select(F.col(ann_ts).cast("timestamp").alias("_start"),
-                  F.coalesce(F.col("_next").cast("timestamp"),
-                             F.greatest(F.col("_bound"), F.col(ann_ts).cast("timestamp"))).alias("_end"),
+          .select(F.col(ann_ts).alias("_start"),
+                  F.coalesce(F.col("_next"), F.greatest(F.col("_bound"), F.col(ann_ts))).alias("_end"),
                   F.col(ann_id).cast("string").alias("_run")))
     iv = iv.where(F.col("_end") > F.col("_start")).withColumn(
         "_b", F.explode(F.sequence(_bucket(F.col("_start"), bucket_seconds),
                                    _bucket(F.col("_end"), bucket_seconds))))
-    c = calls.withColumn("_cb", _bucket(F.col(call_ts), bucket_seconds)).withColumn(
-        "_cts", F.col(call_ts).cast("timestamp"))
+    c = calls.withColumn("_cb", _bucket(F.col(call_ts), bucket_seconds)).withColumn("_cts", F.col(call_ts))
     cond = (c["_cb"] == iv["_b"]) & (c["_cts"] >= iv["_start"]) & (c["_cts"] < iv["_end"])
     j = c.join(iv, cond, "left")
     return (j.select(*[c[x] for x in calls.columns],

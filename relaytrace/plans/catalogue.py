@@ -669,7 +669,7 @@ def stream_ingest(spark, sf_dir):
         d = df.withColumn("success", F.col("event_type") != "error")
         return successful(d).select(
             "event_id", "user_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+            F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_us"),
             md5_bucket(F.col("user_id").cast("string"), 16).alias("bucket"))
 
     ingest_stream(stream, transform, out, ck, ["bucket"]).awaitTermination()
