@@ -52,10 +52,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local)."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/relaytrace-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/relaytrace-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote (any Hadoop file system).
+
+    Frames returned by the plans read these tables lazily, so call this only
+    after the outputs are written.  Returns the number of folders removed.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        if path.getFileSystem(conf).delete(path, True):
+            n += 1
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

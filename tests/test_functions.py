@@ -82,3 +82,15 @@ def test_grouped_cumsum_hot_group_both_paths(spark):
         got = grouped_cumsum(df, ["g"], [F.col("o")], {"cs": F.col("v")}, partitions=7, hot_rows=hot)
         assert got.join(ref, ["g", "o"]).where("cs != cs2").count() == 0
         assert got.count() == 6000
+
+
+def test_drop_scratch_removes_written_tables(spark):
+    import os
+    from relaytrace.plans.merge import materialize
+    from relaytrace.session import _SCRATCH, drop_scratch
+    drop_scratch(spark)
+    df = materialize(spark.range(5), "scratch-test")
+    assert df.count() == 5
+    path = _SCRATCH[-1]
+    assert drop_scratch(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
