@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import EMPTY_KEY, grouped_cumsum, running_prefix_keys
+from ..functions.keys import EMPTY_KEY, format_key, grouped_cumsum, term1, term2
 
 
 @dataclass
@@ -43,10 +43,18 @@ def conversation_call_log(conv: DataFrame, retry_when: Column | None = None,
     e = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("bigint").alias("pos"),
                     "role", "text")
     e = e.withColumn("elem_h", element_hash(F.col("role"), F.col("text")))
-    e = e.withColumn("_a", F.when(F.col("role") == "assistant", 1).otherwise(0))
-    e = running_prefix_keys(e, ["session_id"], "pos", "elem_h", out_col="key", before_col="key_before")
-    e = grouped_cumsum(e, ["session_id"], [F.col("pos")], {"_a_upto": F.col("_a")})
-    e = e.withColumn("n_asst_before", (F.col("_a_upto") - F.col("_a")).cast("bigint")).drop("_a", "_a_upto")
+    # one distributed running sum gives the prefix keys (two md5 terms) and the
+    # count of earlier assistant turns
+    pos, h = F.col("pos"), F.col("elem_h")
+    e = (e.withColumn("_a", F.when(F.col("role") == "assistant", 1).otherwise(0))
+          .withColumn("_t1", term1(pos, h)).withColumn("_t2", term2(pos, h)))
+    e = grouped_cumsum(e, ["session_id"], [pos], {"_s1": F.col("_t1"), "_s2": F.col("_t2"),
+                                                  "_a_upto": F.col("_a")})
+    e = (e.withColumn("key", format_key(pos + 1, F.col("_s1"), F.col("_s2")))
+          .withColumn("key_before", F.when(pos == 0, F.lit(EMPTY_KEY)).otherwise(
+              format_key(pos, F.col("_s1") - F.col("_t1"), F.col("_s2") - F.col("_t2"))))
+          .withColumn("n_asst_before", (F.col("_a_upto") - F.col("_a")).cast("bigint"))
+          .drop("_a", "_t1", "_t2", "_s1", "_s2", "_a_upto"))
     last = (e.where(F.col("role") == "assistant").groupBy("session_id")
             .agg(F.max("pos").alias("last_call_turn")))
     e = e.join(last, "session_id", "left")
