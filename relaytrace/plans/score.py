@@ -35,8 +35,9 @@ class ScoreResult:
 
 
 def main_trajectories(traj: DataFrame, order_col: str = "file_order") -> DataFrame:
-    """W2 per session over merged rows (``meta, tools, messages`` + ``order_col``)."""
-    rows = traj.select(F.col("meta.session_id").alias("session_id"), "tools", "messages", order_col)
+    """W2 per session over merged rows (``meta`` or ``session_id``, ``tools, messages``, ``order_col``)."""
+    sid = F.col("session_id") if "session_id" in traj.columns else F.col("meta.session_id")
+    rows = traj.select(sid.alias("session_id"), "tools", "messages", order_col)
     rows = rows.where(F.col("session_id").isNotNull() & (F.col("session_id") != ""))
     return main_trajectory(rows, "session_id", order_col, F.size("tools") > 0, F.size("messages"),
                            ["tools", "messages"])

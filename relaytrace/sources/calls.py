@@ -196,6 +196,14 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
         .drop("src_file", "src_block", "src_ord")
 
 
+TRAJECTORY_SCHEMA = (
+    "meta struct<session_id:string, biz_id:string, model:string, max_tokens:bigint, extra:variant>, "
+    "tools array<struct<type:string, function:struct<name:string, description:string, "
+    "parameters:struct<type:string, properties:variant, required:array<string>>>>>, "
+    "messages array<struct<role:string, content:variant, tool_name:string, reasoning_content:string, "
+    "generation:boolean, tool_calls:array<struct<name:string, arguments:variant>>>>")
+
+
 def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> DataFrame:
     """Merged trajectories with a session key and file order.
 
@@ -203,7 +211,7 @@ def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> Dat
     (empty ones ignored).  ``mode='dir'``: the ``*.jsonl`` files directly in
     ``path``; session = file stem.
     """
-    r = spark.read.schema("meta struct<session_id:string>, tools variant, messages variant")
+    r = spark.read.schema(TRAJECTORY_SCHEMA)
     if mode == "dir":
         df = r.option("pathGlobFilter", "*.jsonl").json(path)
         key = file_stem(F.col("_metadata.file_path"))

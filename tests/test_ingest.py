@@ -101,3 +101,26 @@ def test_ingest_calls_stream(spark, tmpdir_run):
     assert [(r.session_id, r.request_time) for r in rows] == [("s", 1)]
     # the ingested lines feed the merge unchanged
     assert merge_calls(spark, f"{tmpdir_run}/in/a", min_assistant_turns=1).trajectories.count() == 1
+
+
+def test_cli_merge_then_score(spark, tmpdir_run):
+    from fixtures import make_log, write_log
+    from relaytrace.cli import main
+    write_log(f"{tmpdir_run}/logs", make_log(seed=9, n_sessions=8))
+    main(["merge", "--input_path", f"{tmpdir_run}/logs", "--output_path", f"{tmpdir_run}/traj",
+          "--chunk_size", "3"])
+    traj = spark.read.json(f"{tmpdir_run}/traj")
+    sessions = [r.sid for r in traj.select(F.col("meta.session_id").alias("sid")).distinct().collect()]
+    assert sessions
+    with open(f"{tmpdir_run}/cases.jsonl", "w") as fh:
+        for sid in sessions + ["nope"]:
+            fh.write(json.dumps({"instance_id": sid, "checklist": {"A": {"checks": [{"check_id": "c"}]}}}) + "\n")
+    with open(f"{tmpdir_run}/resp.jsonl", "w") as fh:
+        for sid in sessions:
+            fh.write(json.dumps({"instance_id": sid, "response": json.dumps(
+                {"A": {"checks": [{"check_id": "c", "result": "success"}]}})}) + "\n")
+    main(["score", "--trajectories", f"{tmpdir_run}/traj", "--data", f"{tmpdir_run}/cases.jsonl",
+          "--output", f"{tmpdir_run}/report", "--responses", f"{tmpdir_run}/resp.jsonl"])
+    summary = spark.read.json(f"{tmpdir_run}/report/summary").first()
+    assert summary.total == len(sessions) and summary.pass_count == len(sessions)
+    assert [r.instance_id for r in spark.read.json(f"{tmpdir_run}/report/missing").collect()] == ["nope"]
