@@ -168,9 +168,18 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     return MergeResult(traj, rejects.unionByName(rej3), calls, kept_keys)
 
 
-def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, single_file: bool = False) -> None:
-    """JSONL sink; at most ``chunk_size`` rows per file."""
-    w = traj.select("meta", "tools", "messages")
+def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, single_file: bool = False,
+                       ordered: bool = False, num_buckets: int = 100) -> None:
+    """JSONL sink; at most ``chunk_size`` rows per file.
+
+    ``ordered`` (W7) writes in (session bucket, session, call order) order -
+    a range-partitioned sort, so files are ordered too; unordered by default.
+    """
+    w = traj
+    if ordered:
+        from ..functions.keys import md5_bucket
+        w = w.orderBy(md5_bucket(F.col("session_id"), num_buckets), "session_id", "call_order")
+    w = w.select("meta", "tools", "messages")
     if single_file:
         w = w.coalesce(1)
     w.write.mode("overwrite").option("maxRecordsPerFile", chunk_size).json(out)

@@ -109,6 +109,9 @@ def test_cli_merge_then_score(spark, tmpdir_run):
     write_log(f"{tmpdir_run}/logs", make_log(seed=9, n_sessions=8))
     main(["merge", "--input_path", f"{tmpdir_run}/logs", "--output_path", f"{tmpdir_run}/traj",
           "--chunk_size", "3"])
+    import glob
+    parts = [p for p in glob.glob(f"{tmpdir_run}/traj/*.json")]
+    assert all(sum(1 for _ in open(p)) <= 3 for p in parts)
     traj = spark.read.json(f"{tmpdir_run}/traj")
     sessions = [r.sid for r in traj.select(F.col("meta.session_id").alias("sid")).distinct().collect()]
     assert sessions
