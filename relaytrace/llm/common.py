@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words may hold; it starts anew beyond that.
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 20
 
 
 def vocab_path(vocab: str) -> str:

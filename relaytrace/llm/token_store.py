@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,34 +46,51 @@ class _WordIds(dict):
     """Serialised ids of words as the tokenizer gives them, remembered.
 
     The tokenizer drops white space and merges within words only, so the ids of
-    a text are those of its words in turn.  Unknown words are encoded together,
-    parted by a special token, which the tokenizer cuts out before all else."""
+    a text are those of its words in turn.  Unknown words are encoded together
+    with a symbol of one id between each two; words with that symbol alone."""
 
     def __init__(self, vocab: str):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(vocab_path(vocab))
-        self.special = sorted(self.tok.get_added_tokens_decoder().items())
-        self.cut_id, cut = self.special[0]
-        self.cut = cut.content
-        self.odd = re.compile("|".join(re.escape(t.content) for _, t in self.special))
+        self.stems: dict[str, bytes] = {"": b""}
+        self.cut, self.cut_id = next((c, ids[0]) for c in "^~`|#*" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
 
     def learn(self, words: set[str]) -> None:
-        odd = [w for w in words if self.odd.search(w)]
+        """Most words are a stem and closing marks, which the tokenizer parts as
+        well; capitals are lower-cased by it anyway.  So few stems are new."""
+        parts = {}
+        for w in words:
+            stem = w.rstrip(".,;:!?")
+            low = stem.lower()
+            if low and max(low) <= "\u024f" and low[-1].isalpha():
+                parts[w] = (low, w[len(stem):])
+            else:
+                parts[w] = (w, "")
+        self.ask({p for two in parts.values() for p in two}.difference(self.stems))
+        stems = self.stems
+        self.update({w: stems[a] + stems[b] for w, (a, b) in parts.items()})
+
+    def ask(self, words: set[str]) -> None:
+        cut = self.cut
+        odd = [w for w in words if cut in w]
         for w in odd:
-            self[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            self.stems[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         plain = list(words.difference(odd))
         for lo in range(0, len(plain), 2000):
             some = plain[lo:lo + 2000]
-            ids = np.array(self.tok.encode_batch_fast([self.cut.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([f" {cut} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.cut_id)
-            for w, a, b in zip(some, [0, *(at + 1)], [*at, len(ids)], strict=True):
-                self[w] = ids[a:b].tobytes()
+            data, edges = ids.tobytes(), [-1, *at.tolist(), len(ids)]
+            for w, a, b in zip(some, edges, edges[1:], strict=False):
+                self.stems[w] = data[4 * a + 4:4 * b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self) > MEMO_ENTRIES:
             self.clear()
+        if len(self.stems) > MEMO_ENTRIES:
+            self.stems = {"": b""}
         self.learn(set().union(*words).difference(self))
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
