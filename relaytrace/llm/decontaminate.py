@@ -14,6 +14,7 @@ items), so what a task receives stays bounded.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ THRESHOLD = 0.4
 #: and answer each, or of both together.
 NGRAM, EACH, TOGETHER = 5, 0.5, 0.6
 PASSAGE_WORDS = 64
-POSTING_BLOCK = 16
+#: Items of a block, for which the index keeps each term's largest impact.
+ITEM_BLOCK = 4
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 
 _WORD = re.compile(r"\w+")
@@ -67,8 +69,8 @@ def _grams(w: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Inverted index of a block of items; postings by item, in blocks with
-    their largest impact."""
+    """Inverted index of test items: postings by item, and the largest impact of
+    each term in each block of items."""
 
     def __init__(self, items: list[Item], n_items: int, mean_len: float, threshold: float = THRESHOLD):
         self.items, self.threshold = items, threshold
@@ -91,85 +93,84 @@ class Index:
                 posts[t].append((at, x / whole))
         self.docs = [[d for d, _ in p] for p in posts]
         self.impact = [[x for _, x in p] for p in posts]
-        self.block_max = [[max(x[i:i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for x in self.impact]
-        self.most = np.array([max(x, default=0.0) for x in self.impact])
         self.window = max(PASSAGE_WORDS, 2 * longest)
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items whose score reaches the threshold, by block-max WAND."""
-        floor, out = self.threshold - 1e-9, []
-        cur = [[self.docs[t][0], 0, t] for t in terms]  # item, place in the list, term
-        most, docs, block_max = self.most, self.docs, self.block_max
-
-        def seek(c: list[int], to: int) -> bool:
-            lst = docs[c[2]]
-            at = c[1]
-            while at < len(lst) and lst[at] < to:
-                # leap over whole blocks that end before the item
-                end = at - at % POSTING_BLOCK + POSTING_BLOCK
-                at = end if end <= len(lst) and lst[end - 1] < to else at + 1
-            if at >= len(lst):
-                return False
-            c[0], c[1] = lst[at], at
-            return True
-
+        # each term's blocks of items and its largest impact in each, end to end
+        self.n_blocks = -(-len(items) // ITEM_BLOCK)
+        maxima = [{} for _ in posts]
+        for top, p in zip(maxima, posts, strict=True):
+            for d, x in p:
+                top[d // ITEM_BLOCK] = max(x, top.get(d // ITEM_BLOCK, 0.0))
+        self.first = np.cumsum([0, *map(len, maxima)])
+        self.block = np.array([b for top in maxima for b in top], np.int64)
+        self.block_max = np.array([x for top in maxima for x in top.values()])
+        self.most = [max(x, default=0.0) for x in self.impact]
+
+    def passages(self, terms: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Passages (word ranges), each with the blocks of items whose maxima
+        over the passage's terms add up to the threshold."""
+        n, step = len(terms), self.window // 2
+        last = max(0, -(-n // step) - 2)  # passages start every half window; the last ends with the text
+        many = max(1, 2_000_000 // self.n_blocks)
+        for w0 in range(0, last + 1, many):
+            w1 = min(w0 + many, last + 1)
+            at = np.arange(w0 * step, min(n, (w1 + 1) * step))
+            at = at[terms[at] > 0]
+            half = at // step
+            pairs = [(h[keep] - w0) * len(self.docs) + terms[at[keep]]
+                     for h in (half, half - 1) for keep in [(h >= w0) & (h < w1)]]
+            pairs = np.unique(np.concatenate(pairs))
+            win, term = np.divmod(pairs, len(self.docs))
+            n_of = self.first[term + 1] - self.first[term]
+            entry = np.repeat(self.first[term] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
+            bound = np.bincount(np.repeat(win, n_of) * self.n_blocks + self.block[entry], self.block_max[entry])
+            hit = np.flatnonzero(bound >= self.threshold - 1e-9)
+            for w in np.unique(hit // self.n_blocks):
+                lo = int(w0 + w) * step
+                yield lo, min(n, lo + self.window), (hit[hit // self.n_blocks == w] % self.n_blocks).tolist()
+
+    def search(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """The items of a block whose score reaches the threshold, by WAND: lists
+        in the order of their next item, the first place where their block
+        maxima add up to the threshold is the pivot, all before it leap there."""
+        floor, end, out = self.threshold - 1e-9, (block + 1) * ITEM_BLOCK, []
+        docs, impact = self.docs, self.impact
+
+        def leap(place: int, term: int, to: int) -> list | None:
+            at = bisect.bisect_left(docs[term], to, place)
+            return [docs[term][at], at, term] if at < len(docs[term]) and docs[term][at] < end else None
+
+        cur = [c for t in terms if (c := leap(0, t, block * ITEM_BLOCK))]
+        top = {c[2]: max(impact[c[2]][c[1]:bisect.bisect_left(docs[c[2]], end, c[1])]) for c in cur}
         while cur:
             cur.sort()
-            total, pivot = 0.0, -1
-            for i, c in enumerate(cur):
-                total += most[c[2]]
+            total, pivot = 0.0, None
+            for c in cur:
+                total += top[c[2]]
                 if total >= floor:
-                    pivot = i
+                    pivot = c[0]
                     break
-            if pivot < 0:
+            if pivot is None:
                 break
-            item = cur[pivot][0]
-            while pivot + 1 < len(cur) and cur[pivot + 1][0] == item:
-                pivot += 1
-            # the blocks in which the lists up to the pivot would hold the item
-            bound, stop = 0.0, cur[pivot + 1][0] if pivot + 1 < len(cur) else len(self.items)
-            for c in cur[:pivot + 1]:
-                lst, at = docs[c[2]], c[1] // POSTING_BLOCK
-                while (at + 1) * POSTING_BLOCK <= len(lst) and lst[(at + 1) * POSTING_BLOCK - 1] < item:
-                    at += 1
-                if at < len(block_max[c[2]]):
-                    bound += block_max[c[2]][at]
-                    stop = min(stop, lst[min((at + 1) * POSTING_BLOCK, len(lst)) - 1] + 1)
-            if bound < floor:
-                to = max(stop, item + 1)
-                cur = [c for i, c in enumerate(cur) if i > pivot or seek(c, to)]
-            elif cur[0][0] == item:
-                score = sum(self.impact[c[2]][c[1]] for c in cur[:pivot + 1])
+            if cur[0][0] == pivot:
+                here = [c for c in cur if c[0] == pivot]
+                score = sum(impact[c[2]][c[1]] for c in here)
                 if score >= floor:
-                    out.append((item, score))
-                cur = [c for i, c in enumerate(cur) if i > pivot or seek(c, item + 1)]
-            else:
-                cur = [c for i, c in enumerate(cur) if i > pivot or c[0] >= item or seek(c, item)]
+                    out.append((pivot, score))
+                pivot += 1
+            cur = [x for c in cur if (x := c if c[0] >= pivot else leap(c[1], c[2], pivot))]
         return out
 
-    def passages(self, terms: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Passages (word ranges) that could reach the threshold at all."""
-        n, size, step = len(terms), self.window, self.window // 2
-        bound = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        if bound[-1] < self.threshold - 1e-9:
-            return
-        starts = np.arange(0, max(n - size, 0) + step, step)
-        starts = starts[(starts == 0) | (starts + step < n)]
-        ends = np.minimum(starts + size, n)
-        for at in np.flatnonzero(bound[ends] - bound[starts] >= self.threshold - 1e-6):
-            yield int(starts[at]), int(ends[at])
-
     def matches(self, text: str) -> list[dict]:
         """Verified leaks of a whole text: the best passage for each item."""
         w = words(text)
         get = self.term.get
         terms = np.array([get(x, 0) for x in w], np.int64)
         best: dict[int, dict] = {}
-        for lo, hi in self.passages(terms):
-            query = [int(t) for t in np.unique(terms[lo:hi]) if t]
-            if self.most[query].sum() < self.threshold - 1e-9:
-                continue
-            found = self.search(query)
+        if not len(terms) or sum(map(self.most.__getitem__, terms.tolist())) < self.threshold - 1e-9:
+            return []
+        for lo, hi, blocks in self.passages(terms):
+            query = sorted(set(terms[lo:hi].tolist()) - {0})
+            found = [hit for b in blocks for hit in self.search(query, b)]
             if not found:
                 continue
             seen: dict[int, set] = {}
