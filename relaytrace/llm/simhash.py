@@ -308,7 +308,10 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows that share this id, one), with the columns of ``df`` as they are.  A
     group whose ids are all null keeps one row."""
     found = near_duplicates(df, id_col, text_col, shingle, distance)
+
+    def key(c: str) -> Column:  # never null, so one exchange serves the join and the last step
+        return F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
+
     mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    stay = found.where(mine).select(F.col(id_col).alias("_stay")).distinct()
-    kept = df.join(stay, df[id_col].eqNullSafe(stay["_stay"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stay = found.where(mine).select(key(id_col).alias("_same_id")).distinct()
+    return df.withColumn("_same_id", key(id_col)).join(stay, "_same_id", "left_semi").dropDuplicates(["_same_id"]).drop("_same_id")
