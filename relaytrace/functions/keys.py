@@ -108,12 +108,17 @@ def global_row_index(df: DataFrame, order_cols: list, index_col: str = "row_inde
     position in partition).  Rows per partition (one small row each) become
     offsets that are broadcast back: no task or the driver holds the data,
     and the offsets table is bounded by the partition count.
+
+    The numbered rows are materialised once.  Planned twice, the two sorts
+    could differ (pruned columns, own samples) and ids would not line up.
     """
+    from ..session import cut_lineage
     mask = (1 << 33) - 1
     local = (df.sort(*order_cols)
              .withColumn("_mid", F.monotonically_increasing_id())
              .withColumn("_part", F.shiftright(F.col("_mid"), 33))
              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(mask)) + 1))
+    local = cut_lineage(local)
     counts = local.groupBy("_part").agg(F.max("_local").alias("_n"))
     wo = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).select("_part", "_off")
@@ -122,20 +127,15 @@ def global_row_index(df: DataFrame, order_cols: list, index_col: str = "row_inde
             .drop("_mid", "_part", "_local", "_off"))
 
 
-DEFAULT_HOT_ROWS = 2_000_000  # a group above this many rows is split across tasks
-
-
 def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list, sums: dict,
-                   partitions: int | None = None, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """Running sums within groups that stay correct and parallel for hot groups.
 
     ``sums`` maps an output column to a numeric Column; each output is the
     sum of its value over the rows of the group up to and including the
     current one in ``order_cols`` order (a total order within the group).
 
-    A plain window puts a whole group in one task.  The largest group is
-    measured first; up to ``hot_rows`` rows a plain window is used
-    (``hot_rows=None`` always splits).  Otherwise the rows are
+    A plain window would put a whole group in one task.  The rows are
     range-partitioned by ``(group, order)``, so a group holding a third of
     all rows spans many partitions; each partition sums locally per group,
     and the per-(partition, group) totals - at most one row per partition
@@ -147,14 +147,6 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list, sums:
     """
     spark = df.sparkSession
     names = list(sums)
-    if hot_rows is not None:
-        # measure first (one partial-aggregated job): without a hot group a
-        # plain window is cheaper; with one, split it
-        largest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-        if largest is None or largest <= hot_rows:
-            w = (Window.partitionBy(*group_cols).orderBy(*order_cols)
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            return df.select("*", *[F.sum(sums[k]).over(w).alias(k) for k in names])
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select("*", *[sums[k].alias(f"_v_{k}") for k in names])
     d = d.repartitionByRange(n, *[F.col(c) for c in group_cols], *order_cols).withColumn(

@@ -26,8 +26,9 @@ def call_judge(prompts: DataFrame, scorer: Scorer, id_col: str = "instance_id",
                persist: bool = True) -> DataFrame:
     """``id, prompt`` -> ``id, response, judge_error``.
 
-    ``partitions`` bounds how many judge calls run at once.  A scorer error
-    fails only the cases of its batch (``judge_error`` set, response NULL).
+    ``partitions`` bounds how many judge calls run at once.  The scorer gets
+    one prompt a call, so an error fails only its own case (``judge_error``
+    set, response NULL); no answer (None) is an error as well.
     """
     ship_package(prompts.sparkSession)
     src = prompts.select(F.col(id_col).cast("string").alias(id_col), prompt_col)
@@ -36,15 +37,18 @@ def call_judge(prompts: DataFrame, scorer: Scorer, id_col: str = "instance_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, texts = pdf[id_col].tolist(), pdf[prompt_col].tolist()
-            try:
-                out = list(scorer(texts))
-                if len(out) != len(texts):
-                    raise ValueError(f"scorer returned {len(out)} responses for {len(texts)} prompts")
-                err = [None] * len(texts)
-            except Exception as e:  # noqa: BLE001 - a judge failure is data
-                out, err = [None] * len(texts), [f"{type(e).__name__}: {e}"] * len(texts)
-            yield pd.DataFrame({id_col: ids, "response": out, "judge_error": err})
+            out, err = [], []
+            for text in pdf[prompt_col].tolist():
+                try:
+                    answer = list(scorer([text]))
+                    if len(answer) != 1 or answer[0] is None:
+                        raise ValueError("scorer gave no single response to a prompt")
+                    out.append(answer[0])
+                    err.append(None)
+                except Exception as e:  # noqa: BLE001 - a judge failure is data
+                    out.append(None)
+                    err.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({id_col: pdf[id_col].tolist(), "response": out, "judge_error": err}, dtype="object")
 
     res = src.mapInPandas(run, f"{id_col} string, response string, judge_error string")
     return cut_lineage(res) if persist else res
@@ -106,7 +110,8 @@ def parse_verdicts(responses: DataFrame, id_col: str = "instance_id",
                F.try_variant_get(F.col("_it"), "$.result", "string")).alias("result"))
 
     st = base.join(bad_cases, id_col, "left")
-    zero_ok = ((F.col("_kind") == "NONE")
+    none = F.col(text_col).isNull()  # no answer at all fails the case
+    zero_ok = (((F.col("_kind") == "NONE") & ~none)
                | ((F.col("_kind") == "OBJECT") & F.map_contains_key(F.col("_obj"), "error"))
                | ((F.col("_kind") == "ARRAY") & F.coalesce(has_error_elem, F.lit(False)))
                | ((F.col("_kind") == "STRING") & F.coalesce(str_val.contains("error"), F.lit(False))))
@@ -116,6 +121,7 @@ def parse_verdicts(responses: DataFrame, id_col: str = "instance_id",
         (zero_ok | good_obj).alias("success"),
         F.when(zero_ok, F.lit(True)).otherwise(F.lit(False)).alias("zero_reward"),
         F.when(zero_ok | good_obj, F.lit(None).cast("string"))
+         .when(none, F.lit("judge gave no response"))
          .when(F.col("_kind") == "OBJECT", F.lit("verdict categories must hold objects with a list of check objects"))
          .otherwise(F.concat(F.lit("verdict must be a JSON object, got "), F.lower(F.col("_kind")))).alias("error"))
     ok_ids = status.where(F.col("success") & ~F.col("zero_reward")).select(id_col)

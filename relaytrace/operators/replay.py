@@ -14,8 +14,8 @@ replay is a rank join: the n-th occurrence of ``h`` in replay order takes
 the n-th call with context ``h``.  Occurrences and calls are numbered with
 ``row_number`` over ``(session, h)``; the final-response test is a running
 count of occurrences at a probe row placed after the call's own history.
-Sessions where some replacement changes the hash take the exact sequential
-path (``exact_replay``, ``applyInPandas`` over hashes only).
+Sessions where some replacement changes the hash are replayed exactly by
+levels (``frontier_replay``), as distributed rounds of the same rank join.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import DEFAULT_HOT_ROWS, grouped_cumsum
+from ..functions.keys import grouped_cumsum
 
 _BIG = 1 << 62
 
 
 def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
-                    session: str = "session_id", order: str = "call_order",
-                    hot_rows: int | None = DEFAULT_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                    session: str = "session_id", order: str = "call_order") -> tuple[DataFrame, DataFrame]:
     """Rank-join replay.
 
     ``occ``: history assistant messages of kept calls:
@@ -53,10 +52,10 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
     # FIFO ranks with distributed running counts: a context repeated by a
     # third of all calls still spreads over many tasks
     stream = grouped_cumsum(stream, [session, "h"], [F.col(order), F.col("pos")],
-                            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)}, hot_rows=hot_rows)
+                            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)})
     prov = grouped_cumsum(
         providers.select(session, F.col(order).alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h"),
-        [session, "h"], [F.col("src_order")], {"_n": F.lit(1)}, hot_rows=hot_rows)
+        [session, "h"], [F.col("src_order")], {"_n": F.lit(1)})
     counts = prov.groupBy(session, "h").agg(F.count(F.lit(1)).alias("_cnt"))
 
     turns = (stream.where(~F.col("_probe"))
@@ -73,72 +72,6 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
     return turns, finals
 
 
-# ---- E5: exact sequential replay for non-neutral sessions ---------------------------
-
-_ORDER_COLS = ["request_time", "src_file", "src_block", "src_ord"]
-EXACT_SCHEMA = ("session_id string, request_time bigint, src_file string, src_block bigint, src_ord bigint, "
-                "pos bigint, generation boolean, src_request_time bigint, src_src_file string, "
-                "src_src_block bigint, src_src_ord bigint")
-
-
-def _replay_session(kept, prov):
-    """Plain-Python replay of one session over hashes only (no payloads)."""
-    import pandas as pd
-
-    from ..functions.canonical import gen_element_hash
-    from ..functions.keys import EMPTY_KEY, extend_key
-
-    prov = prov.sort_values(_ORDER_COLS, kind="stable")
-    queues: dict[str, list] = {}
-    for r in prov.itertuples(index=False):
-        queues.setdefault(r.ctx_gkey, []).append(r)
-    used = {h: 0 for h in queues}
-    out = []
-    for c in kept.sort_values(_ORDER_COLS, kind="stable").itertuples(index=False):
-        key = EMPTY_KEY
-        roles, shells, contents = list(c.roles), list(c.gshell), list(c.gcontent)
-        for p, role in enumerate(roles):
-            content_h = contents[p]
-            if p >= c.n_system and role == "assistant":
-                q = queues.get(key, [])
-                n = used.get(key, 0)
-                if n < len(q):
-                    src = q[n]
-                    used[key] = n + 1
-                    content_h = src.resp_h
-                    out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, p, True,
-                                src.request_time, src.src_file, src.src_block, src.src_ord))
-                else:
-                    out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, p, False,
-                                None, None, None, None))
-            key = extend_key(key, p, gen_element_hash(shells[p], content_h))
-        left = len(queues.get(key, [])) - used.get(key, 0)
-        out.append((c.session_id, c.request_time, c.src_file, c.src_block, c.src_ord, -1, left > 0,
-                    None, None, None, None))
-    cols = [x.split()[0] for x in EXACT_SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=cols)
-
-
-def exact_replay(kept: DataFrame, providers: DataFrame) -> DataFrame:
-    """E5: sequential replay per session via cogrouped ``applyInPandas``.
-
-    ``kept``: session_id, order columns, n_system, roles, gshell, gcontent.
-    ``providers``: session_id, order columns, ctx_gkey, resp_h.
-    Only hashes cross into Python; row ``pos = -1`` carries the final flag.
-    This path is bounded by one session's hashes and only runs for sessions
-    where some replacement changed the history (non-neutral).
-    """
-    from ..session import ship_package
-    ship_package(kept.sparkSession)
-    kcols = ["session_id", *_ORDER_COLS, "n_system", "roles", "gshell", "gcontent"]
-    pcols = ["session_id", *_ORDER_COLS, "ctx_gkey", "resp_h"]
-    # fresh attributes on both sides: the two frames share lineage
-    k = kept.select(*[F.col(c).alias(c) for c in kcols]).alias("k")
-    p = providers.select(*[F.col(c).alias(c) for c in pcols]).alias("p")
-    return (k.groupBy("session_id").cogroup(p.groupBy("session_id"))
-            .applyInPandas(_replay_session, EXACT_SCHEMA))
-
-
 # ---- E5, distributed: level-frontier replay ------------------------------------------
 #
 # Every occurrence of a history key has the same history length (the key
@@ -172,16 +105,15 @@ def kept_context_rows(kept: DataFrame) -> DataFrame:
                        f1.alias("of1"), f2.alias("of2"))
 
 
-def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_rounds: int = 64,
-                    hot_rows: int | None = DEFAULT_HOT_ROWS, exact_fallback=None) -> tuple[DataFrame, DataFrame]:
+def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact replay, natively.  ``ctx`` from ``kept_context_rows``; ``kept``:
     ``session_id, call_order, ctx_gkey, n`` of the kept calls (empty contexts
     included); ``providers``: ``session_id, call_order, ctx_gkey, resp_h`` of
     every call.
 
-    Returns ``(turns, finals)`` shaped like ``mark_generation``'s.  Sessions
-    still open after ``max_rounds`` go to ``exact_fallback(sessions)`` (the
-    sequential replay), which returns the same two frames.
+    Returns ``(turns, finals)`` shaped like ``mark_generation``'s.  Every
+    round moves the frontier of each open session on by a level at least, so
+    the loop ends.
     """
     from pyspark.sql import Window
 
@@ -193,7 +125,7 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_r
 
     prov = grouped_cumsum(
         providers.select("session_id", F.col("call_order").alias("src_order"), F.col("ctx_gkey").alias("h"), "resp_h"),
-        ["session_id", "h"], [F.col("src_order")], {"_n": F.lit(1)}, hot_rows=hot_rows)
+        ["session_id", "h"], [F.col("src_order")], {"_n": F.lit(1)})
     prov = cut_lineage(prov)
     counts = prov.groupBy("session_id", "h").agg(F.max("_n").alias("_cnt"))
     spark = ctx.sparkSession
@@ -205,10 +137,8 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_r
     f1, f2 = _sums(F.col("ctx_gkey"))
     kept = cut_lineage(kept.select("session_id", "call_order", "n", f1.alias("of1"), f2.alias("of2")))
     open_sessions = cut_lineage(kept.select("session_id").distinct().withColumn("_front", F.lit(-1).cast("bigint")))
-    turns_out, finals_out = [], []
-    for _ in range(max_rounds):
-        if open_sessions.isEmpty():
-            break
+    finals_out = []
+    while not open_sessions.isEmpty():
         c = ctx.join(open_sessions, "session_id", "left_semi").join(
             decided.select("session_id", "call_order", "pos", "generation", "sub_h"),
             ["session_id", "call_order", "pos"], "left")
@@ -238,7 +168,7 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_r
                           F.lit(None).cast("string").alias("content_h"), F.lit(True).alias("_probe")))
         stream = cut_lineage(grouped_cumsum(
             occ.unionByName(probes), ["session_id", "h"], [F.col("call_order"), F.col("pos")],
-            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)}, hot_rows=hot_rows))
+            {"_n": F.when(~F.col("_probe"), 1).otherwise(0)}))
         t = (stream.where(~F.col("_probe")).join(prov, ["session_id", "h", "_n"], "left")
              .select("session_id", "call_order", "pos", F.col("src_order").isNotNull().alias("generation"),
                      "src_order", F.when(F.col("src_order").isNotNull(), F.col("resp_h")).alias("sub_h"),
@@ -250,7 +180,8 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_r
         t = t.join(front.select("session_id", "_new_front"), "session_id")
         newly = t.where((F.col("pos") > F.col("_front"))
                         & (F.col("_new_front").isNull() | (F.col("pos") <= F.col("_new_front"))))
-        decided = cut_lineage(decided.unionByName(
+        # only the new rows are written; the frames of all rounds are read as one
+        decided = decided.unionByName(cut_lineage(
             newly.select("session_id", "call_order", "pos", "generation", "src_order", "sub_h")))
         done = front.where(F.col("_new_front").isNull()).select("session_id")
         fin = (stream.where(F.col("_probe")).join(done, "session_id", "left_semi")
@@ -265,11 +196,4 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame, max_r
     finals = finals_out[0] if finals_out else spark.createDataFrame([], "session_id string")
     for f in finals_out[1:]:
         finals = finals.unionByName(f)
-    if not open_sessions.isEmpty():
-        if exact_fallback is None:
-            raise RuntimeError("replay did not converge within max_rounds and no fallback was given")
-        rest = open_sessions.select("session_id")
-        ft, ff = exact_fallback(rest)
-        turns = turns.join(rest, "session_id", "left_anti").unionByName(ft)
-        finals = finals.join(rest, "session_id", "left_anti").unionByName(ff)
     return turns, finals

@@ -15,17 +15,18 @@ def main_trajectory(rows: DataFrame, key: str, order: str, has_tools: Column | s
     """One row per ``key``.
 
     Among rows with tools the one with most messages wins (earliest on a
-    tie); without any tool-bearing row the last row wins.  Implemented as a
-    ``max_by`` aggregate, so it combines map-side and never gathers a
-    group in one task.
+    tie); without any tool-bearing row the last row wins.  ``order`` is any
+    orderable column (a struct of file, block and line, say).  Two ``min_by`` /
+    ``max_by`` aggregates, so it combines map-side and never gathers a group
+    in one task.
     """
     ht = F.col(has_tools) if isinstance(has_tools, str) else has_tools
     nm = F.col(n_msgs) if isinstance(n_msgs, str) else n_msgs
     o = F.col(order)
-    rank = F.struct(ht.alias("t"), F.when(ht, nm).otherwise(F.lit(0)).alias("n"),
-                    F.when(ht, -o).otherwise(o).alias("o"))
     payload = F.struct(*[F.col(c) for c in keep])
-    return (rows.groupBy(key).agg(F.max_by(payload, rank).alias("_m"))
+    most = F.when(ht, F.struct((-nm).alias("n"), o.alias("o")))  # rows without an order are left out
+    best = F.coalesce(F.min_by(payload, most), F.max_by(payload, F.when(F.coalesce(~ht, F.lit(True)), o)))
+    return (rows.groupBy(key).agg(best.alias("_m"))
             .select(key, *[F.col(f"_m.{c}").alias(c) for c in keep]))
 
 

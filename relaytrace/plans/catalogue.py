@@ -269,7 +269,7 @@ def main_trajectory_q(spark, sf_dir):
                     (F.col("session_id") % 10).alias("case_key"),
                     (F.col("ctx_len") + 1).alias("n_msgs"),
                     F.coalesce(F.col("has_tools"), F.lit(False)).alias("has_tools"),
-                    (F.col("session_id") * 1000 + F.col("call_turn")).alias("file_order")))
+                    F.struct("session_id", "call_turn").alias("file_order")))
     return (main_trajectory(rows, "case_key", "file_order", "has_tools", "n_msgs",
                             ["conv_id", "call_turn", "n_msgs", "has_tools"])
             .select(*_big("case_key", "conv_id", "call_turn", "n_msgs"), "has_tools"))
@@ -516,7 +516,7 @@ def last_case_wins(spark, sf_dir):
 
 # ---- A9/P23: scaffold distribution -------------------------------------------------
 
-_SCAFFOLD = "CASE conv_id % 4 WHEN 0 THEN 'claudecode' WHEN 1 THEN 'kilo-dev' WHEN 2 THEN 'droid' END"
+_SCAFFOLD = "CASE conv_id % 4 WHEN 0 THEN 'claudecode' WHEN 1 THEN 'tool-a' WHEN 2 THEN 'tool-b' END"
 
 
 @query("scaffold_distribution", f"""

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_all, split_converted
-from ..functions.keys import DEFAULT_HOT_ROWS
 from ..operators.dedup import prefix_dedup
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
-from ..operators.replay import _ORDER_COLS, exact_replay, frontier_replay, kept_context_rows, mark_generation
+from ..operators.replay import frontier_replay, kept_context_rows, mark_generation
 from ..session import scratch_path
 from ..sources.calls import canonicalise_all, parse_all, read_lines, split_canonical
 
@@ -46,10 +45,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def prepare_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
                   model_path: str = "any", persist: bool = True) -> tuple[DataFrame, DataFrame]:
     """Lines (``value, src_file, src_block, src_ord``) -> hashed calls + rejects."""
-    par = lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < par:
-        # a scan already has one partition per split; only thin inputs get spread
-        lines = lines.repartition(par)
     # parse and hash every line, write once, then split: a filter on the
     # computed reason would otherwise be pushed into (and repeat) the parse
     c = canonicalise_all(parse_all(lines, excluded_models, model_path))
@@ -67,23 +62,17 @@ def _ctx(calls: DataFrame) -> DataFrame:
             .select("session_id", "call_order", "n_system", F.col("pos").cast("bigint").alias("pos"), "_e.*"))
 
 
-def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True,
-                 hot_rows: int | None = DEFAULT_HOT_ROWS, mode: str = "frontier",
-                 max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """(turn flags by session, call_order, pos, src_order) and (final flags).
 
-    Neutral sessions take the one-pass rank join.  The others are replayed
-    exactly: ``mode='frontier'`` (default) by the distributed level-frontier
-    replay, falling back to the sequential per-session replay only for
-    sessions still open after ``max_rounds``; ``mode='sequential'`` uses the
-    per-session replay directly.
+    Neutral sessions take the one-pass rank join; the others are replayed
+    exactly by the distributed level-frontier replay.
     """
     ctx = _ctx(kept)
     occ = ctx.where((F.col("role") == "assistant") & (F.col("pos") >= F.col("n_system"))).select(
         "session_id", "call_order", "pos", "h", "content_h")
     providers = calls.select("session_id", "call_order", "ctx_gkey", "resp_h")
-    turns, finals = mark_generation(occ, kept.select("session_id", "call_order", "ctx_gkey"), providers,
-                                    hot_rows=hot_rows)
+    turns, finals = mark_generation(occ, kept.select("session_id", "call_order", "ctx_gkey"), providers)
     if not exact:
         return turns.drop("neutral"), finals
     # flags are hashes only: write them once, then look for non-neutral sessions
@@ -94,55 +83,30 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True,
     turns_n = turns.join(bad, "session_id", "left_anti").drop("neutral")
     finals_n = finals.join(bad, "session_id", "left_anti")
 
-    def sequential(sessions: DataFrame):
-        """E5 fallback for sessions the frontier replay did not finish (hashes only)."""
-        kx = kept.join(sessions, "session_id", "left_semi").select(
-            "session_id", "call_order.*", "n_system", "roles", "gshell", "gcontent")
-        px = calls.join(sessions, "session_id", "left_semi").select("session_id", "call_order.*", "ctx_gkey",
-                                                                    "resp_h")
-        ex = exact_replay(kx, px)
-        order = F.struct(*[F.col(c) for c in _ORDER_COLS]).alias("call_order")
-        src = F.when(F.col("src_request_time").isNotNull(), F.struct(
-            F.col("src_request_time").alias("request_time"), F.col("src_src_file").alias("src_file"),
-            F.col("src_src_block").alias("src_block"), F.col("src_src_ord").alias("src_ord"))).alias("src_order")
-        return (ex.where(F.col("pos") >= 0).select("session_id", order, "pos", "generation", src),
-                ex.where(F.col("pos") < 0).select("session_id", order, F.col("generation").alias("final_generation")))
-
-    if mode == "sequential":
-        ex_turns, ex_finals = sequential(bad)
-    else:
-        kb = kept.join(bad, "session_id", "left_semi")
-        ex_turns, ex_finals = frontier_replay(
-            kept_context_rows(kb), kb.select("session_id", "call_order", "ctx_gkey", F.size("roles").alias("n")),
-            calls.join(bad, "session_id", "left_semi").select("session_id", "call_order", "ctx_gkey", "resp_h"),
-            max_rounds=max_rounds, hot_rows=hot_rows, exact_fallback=sequential)
+    kb = kept.join(bad, "session_id", "left_semi")
+    ex_turns, ex_finals = frontier_replay(
+        kept_context_rows(kb), kb.select("session_id", "call_order", "ctx_gkey", F.size("roles").alias("n")),
+        calls.join(bad, "session_id", "left_semi").select("session_id", "call_order", "ctx_gkey", "resp_h"))
     return turns_n.unionByName(ex_turns), finals_n.unionByName(ex_finals)
 
 
 def merge_calls(spark: SparkSession, path: str, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True, hot_rows: int | None = DEFAULT_HOT_ROWS,
-                replay_mode: str = "frontier", max_rounds: int = 64) -> MergeResult:
+                exact: bool = True, persist: bool = True) -> MergeResult:
     """S1 scan of every file under ``path`` followed by ``merge_lines``."""
-    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist,
-                       hot_rows, replay_mode, max_rounds)
+    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist)
 
 
 def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True, hot_rows: int | None = DEFAULT_HOT_ROWS,
-                replay_mode: str = "frontier", max_rounds: int = 64) -> MergeResult:
-    """Merge already-read lines (``value, src_file, src_block, src_ord``).
-
-    ``hot_rows``: context groups larger than this are split across tasks in
-    the replay's FIFO ranking (``None`` = always split).
-    """
+                exact: bool = True, persist: bool = True) -> MergeResult:
+    """Merge already-read lines (``value, src_file, src_block, src_ord``)."""
     calls, rejects = prepare_calls(lines, excluded_models, model_path, persist)
     keys = calls.select("session_id", "call_order", "ctx_dkey", "ctx_gkey", "n_system", "roles", "dkeys",
                         "gkeys", "gshell", "gcontent")
     dctx = keys.select("session_id", "call_order", F.explode("dkeys").alias("dkey"))
     kept_keys = prefix_dedup(dctx, keys).where("kept").drop("kept")
-    turns, finals = replay_flags(calls, kept_keys, exact, hot_rows, replay_mode, max_rounds)
+    turns, finals = replay_flags(calls, kept_keys, exact)
 
     # replacement content of generated turns: the providing call's response blocks
     resp = calls.select("session_id", F.col("call_order").alias("src_order"),

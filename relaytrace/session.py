@@ -14,38 +14,39 @@ def get_session(app: str = "relaytrace", master: str | None = None,
     """Return the active session or build one tuned for this workload.
 
     On a cluster the master and most settings come from the submitter; the
-    values below only fill gaps.  AQE stays on so that partition counts
-    coalesce at runtime and skewed joins split.
+    values below only fill gaps: a setting that was submitted stays.  AQE stays
+    on so that partition counts coalesce at runtime and skewed joins split.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
-    cpus = os.environ.get("BENCH_CPUS")
-    if shuffle_partitions is None:
-        shuffle_partitions = int(cpus) if cpus else 8
-    b = (b.config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.sql.variant.allowDuplicateKeys", "true"))
-    return b.getOrCreate()
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    spark = b.getOrCreate()
+    fill = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+            "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.variant.allowDuplicateKeys": "true"}
+    if shuffle_partitions is not None:
+        fill["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    given = spark.sparkContext.getConf()
+    for key, value in fill.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared file system; it is read from the
-    session.  Only when it is unset (local tests) a private folder is made.
+    session.  Only in local mode, where driver and executors are one process,
+    a private folder is made when it is unset; elsewhere that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder on a shared file system")
         d = tempfile.mkdtemp(prefix="relaytrace-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

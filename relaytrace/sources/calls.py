@@ -146,8 +146,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, glob:
 
 
 def file_stem(path_col: Column) -> Column:
-    """file name without directory and ``.jsonl`` suffix."""
-    return F.regexp_extract(path_col, r"([^/]*)\.jsonl$", 1)
+    """file name without directory and ``.jsonl`` suffix; Spark gives paths
+    percent-encoded, names come back decoded."""
+    stem = F.regexp_extract(path_col, r"([^/]*)\.jsonl$", 1)
+    return F.coalesce(F.try_url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))), stem)
 
 
 def encode_calls(calls: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.cases import last_wins
     if path.endswith(".parquet"):
         raw = spark.read.parquet(path).withColumn("src_file", F.col("_metadata.file_path")) \
-            .withColumn("src_ord", F.monotonically_increasing_id())
+            .withColumn("src_block", F.col("_metadata.file_block_start")).withColumn("src_ord", F.monotonically_increasing_id())
     else:
         lines = read_lines(spark, path)
         v = F.try_parse_json(F.col("value"))
@@ -220,5 +222,6 @@ def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> Dat
         key = F.col("meta.session_id")
     return df.select(key.alias("session_id"), "tools", "messages",
                      F.col("_metadata.file_path").alias("src_file"),
-                     F.monotonically_increasing_id().alias("file_order")).where(
+                     F.struct(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block_start"),
+                              F.monotonically_increasing_id().alias("ord")).alias("file_order")).where(
         F.col("session_id").isNotNull() & (F.col("session_id") != ""))

@@ -62,15 +62,22 @@ def incremental_merge(spark: SparkSession, lines: DataFrame, state_dir: str, out
         # idempotent: a replayed epoch overwrites its own folder
         staged.write.mode("overwrite").partitionBy("bucket").parquet(f"{raw_dir}/epoch={epoch}")
         s = df.sparkSession
-        touched = s.read.parquet(f"{raw_dir}/epoch={epoch}").select("bucket").distinct()
+        # at most num_buckets numbers; as a literal list they prune the scan
+        touched = [r["bucket"] for r in s.read.parquet(f"{raw_dir}/epoch={epoch}").select("bucket").distinct().collect()]
         everything = s.read.option("basePath", raw_dir).parquet(raw_dir)
-        lines_now = everything.join(touched, "bucket", "left_semi")
+        lines_now = everything.where(F.col("bucket").isin(touched))
         res = merge_lines(lines_now.select("value", "src_file", "src_block", "src_ord"),
                           min_assistant_turns=min_assistant_turns)
         traj = res.trajectories.withColumn("bucket", md5_bucket(F.col("session_id"), num_buckets))
         (traj.select("bucket", "meta", "tools", "messages", "n_assistant", "session_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(out))
+        # a bucket whose sessions all went (late data may reject them) must not keep its old rows
+        left = {r["bucket"] for r in traj.select("bucket").distinct().collect()}
+        for b in touched:
+            if b not in left:
+                path = s._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/bucket={b}")
+                path.getFileSystem(s._jsc.hadoopConfiguration()).delete(path, True)
 
     w = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

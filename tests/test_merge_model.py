@@ -9,8 +9,8 @@ from relaytrace.plans.merge import merge_calls
 from pyspark.sql import functions as F
 
 
-def _spark_rows(spark, path, hot_rows=2_000_000, **kw):
-    r = merge_calls(spark, path, hot_rows=hot_rows, **kw)
+def _spark_rows(spark, path, **kw):
+    r = merge_calls(spark, path, **kw)
     js = r.trajectories.select(F.to_json(F.struct("meta", "tools", "messages")).alias("j")).collect()
     return [canon(json.loads(x.j)) for x in js], r
 
@@ -29,25 +29,6 @@ def test_merge_equals_model(spark, tmpdir_run):
         assert len(got) > 0
 
 
-def test_merge_equals_model_with_split_ranking(spark, tmpdir_run):
-    """Same as above with every FIFO ranking group split across tasks."""
-    lines = make_log(seed=11, n_sessions=10)
-    write_log(f"{tmpdir_run}/in", lines)
-    got, _ = _spark_rows(spark, f"{tmpdir_run}/in", hot_rows=None)
-    want = [canon(json.loads(json.dumps(x))) for x in merge(lines)]
-    assert sorted(map(_key, got)) == sorted(map(_key, want))
-
-
-def test_merge_equals_model_all_replay_modes(spark, tmpdir_run):
-    """Sequential replay, and the frontier replay cut after one round (fallback)."""
-    lines = make_log(seed=7, n_sessions=14)
-    write_log(f"{tmpdir_run}/in", lines)
-    want = sorted(map(_key, [canon(json.loads(json.dumps(x))) for x in merge(lines)]))
-    for kw in ({"replay_mode": "sequential"}, {"replay_mode": "frontier", "max_rounds": 1}):
-        got, _ = _spark_rows(spark, f"{tmpdir_run}/in", **kw)
-        assert sorted(map(_key, got)) == want, kw
-
-
 def test_frontier_replay_needs_three_rounds(spark, tmpdir_run):
     """A replacement at level 1 makes the history match a later retried context,
     whose replacement is again non-neutral (level 3): rounds 1, 2, 3."""
@@ -67,11 +48,9 @@ def test_frontier_replay_needs_three_rounds(spark, tmpdir_run):
              call(30, [u0, a("a1"), u1], "b1"), call(40, [u0, a("a1"), u1], "b2")]
     write_log(f"{tmpdir_run}/in", lines, n_files=1)
     want = sorted(map(_key, [canon(json.loads(json.dumps(x))) for x in merge(lines, min_turns=1)]))
-    for kw in ({"replay_mode": "frontier"}, {"replay_mode": "sequential"}):
-        r = merge_calls(spark, f"{tmpdir_run}/in", min_assistant_turns=1, **kw)
-        js = r.trajectories.select(F.to_json(F.struct("meta", "tools", "messages")).alias("j")).collect()
-        got = sorted(map(_key, [canon(json.loads(x.j)) for x in js]))
-        assert got == want, kw
+    r = merge_calls(spark, f"{tmpdir_run}/in", min_assistant_turns=1)
+    js = r.trajectories.select(F.to_json(F.struct("meta", "tools", "messages")).alias("j")).collect()
+    assert sorted(map(_key, [canon(json.loads(x.j)) for x in js])) == want
     flags = [m.get("generation") for t in merge(lines, min_turns=1) for m in t["messages"]
              if m["role"] == "assistant"]
     assert False in flags and True in flags
