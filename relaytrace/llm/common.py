@@ -27,6 +27,17 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text_col))
 
 
+def hash_sample(df: DataFrame, cols: list[str], most: int, total: int | None = None) -> DataFrame:
+    """At most ``most`` rows of ``df``, picked by the hash of ``cols``.
+
+    A cut of the hash by the row count comes first, so the one task that takes
+    the rows reads about that many, however many partitions there are."""
+    total = df.count() if total is None else total
+    if total > most:
+        df = df.where(F.pmod(F.xxhash64(*cols, F.lit(11)), F.lit(1 << 40)) < F.lit(int(most / total * (1 << 40)) + 1))
+    return df.orderBy(F.xxhash64(*cols), *cols).limit(most)
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined in the array's order."""
     return F.array_join(

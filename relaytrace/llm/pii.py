@@ -22,13 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaytrace.llm.boosting import Boosted, fit
-from relaytrace.llm.common import narrow
+from relaytrace.llm.common import hash_sample, narrow
 
 KINDS = ("email", "ip", "card", "phone", "other")
-#: The trees are fitted on the candidates of at most so many documents (those
-#: with the smallest hash of their id) of at most so many bytes, and on at most
-#: so many candidates.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_CANDIDATES = 5000, 16384, 20_000
+#: The trees are fitted on the candidates of at most so many documents (picked
+#: by hash) of at most so many bytes, and on at most so many candidates.
+SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_CANDIDATES = 20_000, 16384, 20_000
 #: Held-out precision that the calibrated threshold guarantees.
 PRECISION = 0.97
 
@@ -136,8 +135,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Boos
     """Fit and calibrate the trees on a bounded sample of ``df``; without both
     sorts of candidates in it the model selects nothing."""
     src = narrow(df, id_col, text_col)
-    some = src.where((F.octet_length(text_col) <= SAMPLE_DOC_BYTES) & F.rlike(F.col(text_col), F.lit(f"@|{HINTS['number']}")))
-    some = some.orderBy(F.xxhash64(id_col), text_col).limit(SAMPLE_DOCS)
+    some = hash_sample(src.where(F.octet_length(text_col) <= SAMPLE_DOC_BYTES), [id_col, text_col], SAMPLE_DOCS, total=src.count())
     t = F.col(text_col)
     found = let(base_spans(t), lambda base: F.transform(candidates(t), lambda c: F.struct(
         F.array(*features(c)).alias("x"), _overlaps(c, base).alias("y"), c["value"].alias("v"))))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaytrace.llm.common import narrow
+from relaytrace.llm.common import hash_sample, narrow
 from relaytrace.llm.components import components
 from relaytrace.session import scratch_path, ship_package
 
@@ -220,7 +220,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, sample:
     spark = fps.sparkSession
     ship_package(spark)
     total = fps.count()
-    some = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    some = np.array([r[0] for r in hash_sample(fps.select("fp"), ["fp"], sample, total).collect()], np.int64).view(np.uint64)
     plan = [(i, np.uint64(sum(1 << (63 - b) for b in g)), _flips(g, t)) for i, (g, t) in enumerate(allot(some, total, distance))]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

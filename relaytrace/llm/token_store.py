@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from relaytrace.llm import files
-from relaytrace.llm.common import MEMO_ENTRIES, narrow, vocab_path
+from relaytrace.llm.common import MEMO_ENTRIES, hash_sample, narrow, vocab_path
 from relaytrace.session import scratch_path, ship_package
 
 VOCAB = "word_bpe_49k.json"
 END_ID = 2
-#: The dictionary is fitted on at most so many documents (those with the
-#: smallest hash of their id) of at most so many bytes each.
+#: The dictionary is fitted on at most so many documents (picked by hash) of at
+#: most so many bytes each.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES = 2000, 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
@@ -114,7 +114,7 @@ def train_dictionary(df: DataFrame, id_col: str, text_col: str, encoder: Callabl
     The sample is picked by Spark and fitted in one task: at most
     ``SAMPLE_DOCS * SAMPLE_DOC_BYTES`` bytes of text whatever the input."""
     short = df.where(F.octet_length(text_col).between(1, SAMPLE_DOC_BYTES))
-    sample = short.orderBy(F.xxhash64(id_col), text_col).limit(SAMPLE_DOCS).select(text_col)
+    sample = hash_sample(short, [id_col, text_col], SAMPLE_DOCS, total=df.count()).select(text_col)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
