@@ -31,6 +31,7 @@ ROLE_SYSTEM, ROLE_USER, ROLE_ASSISTANT, ROLE_TOOL = "system", "user", "assistant
 BLOCK_TEXT, BLOCK_THINKING, BLOCK_TOOL_USE, BLOCK_TOOL_RESULT = "text", "thinking", "tool_use", "tool_result"
 TOOL_TYPE = "function"
 PARAMS_TYPE = "object"
+META_KEYS = ("max_tokens", "session_id", "biz_id", "model")
 DEFAULT_MIN_ASSISTANT_TURNS = 3
 # ------------------------------------------------------------------------------------
 
@@ -122,6 +123,14 @@ def normalize_system(system: Column) -> Column:
             .otherwise(F.array().cast("array<variant>")))
 
 
+def overlaid_meta(meta: Column) -> Column:
+    """``meta`` as one variant object, the caller's metadata as its keys;
+    where keys clash the call's own win."""
+    own = F.create_map(*(x for k in META_KEYS for x in (F.lit(k), meta[k].cast("variant"))))
+    given = F.coalesce(vget(meta["extra"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.to_variant_object(F.map_concat(F.map_filter(given, lambda k, _: ~k.isin(*META_KEYS)), own))
+
+
 _STEPS_CACHE: dict = {}
 
 

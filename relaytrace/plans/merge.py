@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_all, split_converted
+from ..operators.convert import DEFAULT_MIN_ASSISTANT_TURNS, convert_all, overlaid_meta, split_converted
 from ..operators.dedup import prefix_dedup
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
 from ..operators.replay import frontier_replay, kept_context_rows, mark_generation
@@ -134,7 +134,8 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
 
 def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, single_file: bool = False,
                        ordered: bool = False, num_buckets: int = 100) -> None:
-    """JSONL sink; at most ``chunk_size`` rows per file.
+    """JSONL sink; at most ``chunk_size`` rows per file, the caller's
+    metadata overlaid into ``meta``.
 
     ``ordered`` (W7) writes in (session bucket, session, call order) order -
     a range-partitioned sort, so files are ordered too; unordered by default.
@@ -143,7 +144,7 @@ def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, singl
     if ordered:
         from ..functions.keys import md5_bucket
         w = w.orderBy(md5_bucket(F.col("session_id"), num_buckets), "session_id", "call_order")
-    w = w.select("meta", "tools", "messages")
+    w = w.select(overlaid_meta(F.col("meta")).alias("meta"), "tools", "messages")
     if single_file:
         w = w.coalesce(1)
     w.write.mode("overwrite").option("maxRecordsPerFile", chunk_size).json(out)

@@ -199,7 +199,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 TRAJECTORY_SCHEMA = (
-    "meta struct<session_id:string, biz_id:string, model:string, max_tokens:bigint, extra:variant>, "
+    "meta variant, "
     "tools array<struct<type:string, function:struct<name:string, description:string, "
     "parameters:struct<type:string, properties:variant, required:array<string>>>>>, "
     "messages array<struct<role:string, content:variant, tool_name:string, reasoning_content:string, "
@@ -211,7 +211,8 @@ def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> Dat
 
     ``mode='file'``: every file under ``path``; session = ``meta.session_id``
     (empty ones ignored).  ``mode='dir'``: the ``*.jsonl`` files directly in
-    ``path``; session = file stem.
+    ``path``; session = file stem.  ``meta`` is a variant with all keys of the
+    file, the caller's own among them.
     """
     r = spark.read.schema(TRAJECTORY_SCHEMA)
     if mode == "dir":
@@ -219,8 +220,8 @@ def read_trajectories(spark: SparkSession, path: str, mode: str = "file") -> Dat
         key = file_stem(F.col("_metadata.file_path"))
     else:
         df = r.option("recursiveFileLookup", "true").json(path)
-        key = F.col("meta.session_id")
-    return df.select(key.alias("session_id"), "tools", "messages",
+        key = F.try_variant_get(F.col("meta"), "$.session_id", "string")
+    return df.select(key.alias("session_id"), "meta", "tools", "messages",
                      F.col("_metadata.file_path").alias("src_file"),
                      F.struct(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block_start"),
                               F.monotonically_increasing_id().alias("ord")).alias("file_order")).where(
