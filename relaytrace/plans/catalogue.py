@@ -751,9 +751,9 @@ def tools_convert(spark, sf_dir):
 
 # checklist of a case: empty when the item text holds a 'z', else two categories
 _CHECKLIST_SPARK = """CASE WHEN instr(text, 'z') > 0 THEN parse_json('{}') ELSE parse_json(
-  '{"SP": {"description": "system rules", "checks": [{"check_id": "c1", "check_type": "compliance"},
-                                                   {"check_id": "c2", "check_type": "understanding"}]},
-    "Tool schema": {"description": "tools", "checks": [{"check_id": "c3", "check_type": "implementation"}]}}') END"""
+  '{"house style": {"description": "rules of the house", "checks": [{"check_id": "c1", "check_type": "tone"},
+                                                   {"check_id": "c2", "check_type": "scope"}]},
+    "call form": {"description": "tools", "checks": [{"check_id": "c3", "check_type": "form"}]}}') END"""
 
 
 def stub_judge(prompts: list[str]) -> list[str]:
@@ -766,9 +766,9 @@ def stub_judge(prompts: list[str]) -> list[str]:
     for p in prompts:
         n = p.count('"assistant_turn_index":')
         res = lambda ok: "success" if ok else "fail"
-        verdict = {"SP": {"checks": [{"check_id": "c1", "check_type": "compliance", "result": res(n >= 4)},
-                                     {"check_id": "c2", "check_type": "understanding", "result": res(n % 2 == 1)}]},
-                   "Tool schema": {"checks": [{"check_id": "c3", "check_type": "implementation", "result": "fail"}]}}
+        verdict = {"house style": {"checks": [{"check_id": "c1", "check_type": "tone", "result": res(n >= 4)},
+                                     {"check_id": "c2", "check_type": "scope", "result": res(n % 2 == 1)}]},
+                   "call form": {"checks": [{"check_id": "c3", "check_type": "form", "result": "fail"}]}}
         import json
         body = json.dumps(verdict)
         if n == 5:

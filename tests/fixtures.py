@@ -93,6 +93,18 @@ def make_log(seed: int = 7, n_sessions: int = 12) -> list[str]:
     return lines
 
 
+def canon(o):
+    """JSON as a VARIANT prints it: sorted keys, no null fields, integral floats as ints."""
+    match o:
+        case dict():
+            return {k: canon(o[k]) for k in sorted(o) if o[k] is not None}
+        case list():
+            return [canon(x) for x in o]
+        case float() if o.is_integer():
+            return int(o)
+    return o
+
+
 def write_log(dirpath: str, lines: list[str], n_files: int = 3) -> None:
     import os
     os.makedirs(dirpath, exist_ok=True)

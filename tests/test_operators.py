@@ -67,21 +67,21 @@ def test_asof_attribute(spark):
 def _golden_checks(spark):
     # 5 categories, 32 checks, 30 successes (13/14, 3/3, 5/6, 4/4, 5/5)
     rows = []
-    spec = [("SP", 14, 1), ("System reminder", 3, 0), ("User query", 6, 1), ("Agents.md", 4, 0), ("Tool schema", 5, 0)]
-    types = ["compliance"] * 26 + ["understanding"] * 5 + ["implementation"]
+    spec = [("style", 14, 1), ("limits", 3, 0), ("wish", 6, 1), ("house", 4, 0), ("calls", 5, 0)]
+    types = ["tone"] * 26 + ["scope"] * 5 + ["form"]
     i = 0
     for cat, n, fails in spec:
         for j in range(n):
             rows.append(("case-1", cat, f"{cat}-{j}", types[i], "fail" if j < fails else "success"))
             i += 1
-    # the failing implementation check and one compliance failure
+    # the failing form check and one tone failure
     return spark.createDataFrame(rows, "instance_id string, category string, check_id string, check_type string, result string")
 
 
 def test_golden_score_shape(spark):
     checks = _golden_checks(spark)
-    checks = checks.withColumn("result", F.when(F.col("check_type") == "implementation", "fail")
-                               .when((F.col("category") == "User query") & (F.col("check_id") == "User query-0"), "success")
+    checks = checks.withColumn("result", F.when(F.col("check_type") == "form", "fail")
+                               .when((F.col("category") == "wish") & (F.col("check_id") == "wish-0"), "success")
                                .otherwise(F.col("result")))
     status = spark.createDataFrame([("case-1", True, None)], "instance_id string, success boolean, error string")
     s = score_cases(status, checks).first()
@@ -90,7 +90,7 @@ def test_golden_score_shape(spark):
     assert (summ.total, summ.success_count, summ.avg_reward, summ.pass_count) == (1, 1, 0.938, 0)
     d = {(r.level, r.name): (r.success, r.fail) for r in detailed_results(checks).collect()}
     assert d[("total", None)] == (30, 2)
-    assert d[("check_type", "implementation")] == (0, 1)
+    assert d[("check_type", "form")] == (0, 1)
 
 
 def test_parse_verdicts_statuses(spark):

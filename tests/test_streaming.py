@@ -3,8 +3,7 @@
 import json
 import os
 
-from fixtures import make_log
-from model import canon
+from fixtures import canon, make_log
 from pyspark.sql import functions as F
 
 from relaytrace.plans.merge import merge_calls
