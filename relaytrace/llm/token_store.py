@@ -13,6 +13,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,10 +41,12 @@ LEVEL = 3
 
 _MAGIC = b"TOKZ0001"
 _FOOTER = "<QQ8s"  # place of the index, documents, magic
+_LETTERS = re.compile("[a-z]+")
+_MARKS = ".,;:!?$%&#*)"  # no special token ends with one
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u8")])
 
 
-class _WordIds(dict):
+class _WordIds:
     """Serialised ids of words as the tokenizer gives them, remembered.
 
     The tokenizer drops white space and merges within words only, so the ids of
@@ -53,15 +57,21 @@ class _WordIds(dict):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(vocab_path(vocab))
+        # plain dicts: a set is compared with one by look-ups, with anything else by walking it all
+        self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
         self.cut, self.cut_id = next((c, ids[0]) for c in "^~`|#*" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
+        # what neither the normaliser nor the pre-tokenizer changes can go straight to the model
+        letters, t = string.ascii_lowercase, self.tok
+        kept = t.normalizer is None or t.normalizer.normalize_str(letters) == letters
+        self.direct = kept and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(letters) == [(letters, (0, 26))]
 
     def learn(self, words: set[str]) -> None:
         """Most words are a stem and closing marks, which the tokenizer parts as
         well; capitals are lower-cased by it anyway.  So few stems are new."""
         parts = {}
         for w in words:
-            stem = w.rstrip(".,;:!?")
+            stem = w.rstrip(_MARKS)
             low = stem.lower()
             if low and max(low) <= "\u024f" and low[-1].isalpha():
                 parts[w] = (low, w[len(stem):])
@@ -69,14 +79,19 @@ class _WordIds(dict):
                 parts[w] = (w, "")
         self.ask({p for two in parts.values() for p in two}.difference(self.stems))
         stems = self.stems
-        self.update({w: stems[a] + stems[b] for w, (a, b) in parts.items()})
+        self.known.update({w: stems[a] + stems[b] for w, (a, b) in parts.items()})
 
     def ask(self, words: set[str]) -> None:
-        cut = self.cut
-        odd = [w for w in words if cut in w]
-        for w in odd:
-            self.stems[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = list(words.difference(odd))
+        cut, tokenize = self.cut, self.tok.model.tokenize
+        plain = []
+        for w in words:
+            if self.direct and _LETTERS.fullmatch(w):
+                ids = [t.id for t in tokenize(w)]
+                self.stems[w] = struct.pack(f"<{len(ids)}I", *ids)
+            elif cut in w:
+                self.stems[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(w)
         for lo in range(0, len(plain), 2000):
             some = plain[lo:lo + 2000]
             ids = np.array(self.tok.encode_batch_fast([f" {cut} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -87,12 +102,13 @@ class _WordIds(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
+        known = self.known
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
         if len(self.stems) > MEMO_ENTRIES:
             self.stems = {"": b""}
-        self.learn(set().union(*words).difference(self))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        self.learn(set().union(*words).difference(known))
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
 @functools.lru_cache(maxsize=2)
