@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.keys import grouped_cumsum
+from .convert import vget
 from ..functions.text import (ASSISTANT_CONTENT_LIMIT, CONTENT_MARKER, REASONING_LIMIT,
                               REASONING_MARKER, TOOL_CONTENT_LIMIT, middle_truncate)
 
@@ -39,25 +44,51 @@ def assistant_turn_index(msgs: DataFrame, part: list[str], order: str, role: str
     return out_df.withColumn(out, F.when(is_a, F.col("_na") - 1)).drop("_na")
 
 
-def truncate_message(m: Column) -> Column:
-    """P19 on one converted message struct (role, content, reasoning_content, ...).
+def _cut_variant(v: Column, limit: int) -> Column:
+    """A string variant cut in the middle, any other value as it is."""
+    is_text = F.schema_of_variant(v) == "STRING"
+    return F.when(is_text, middle_truncate(vget(v, "$", "string"), limit, CONTENT_MARKER).cast("variant")).otherwise(v)
+
+
+def _cut_blocks(content: Column, limit: int) -> Column:
+    """List content with the string text of every text block cut on its own."""
+    def one(block: Column) -> Column:
+        fields = vget(block, "$", "map<string,variant>")
+        text = F.schema_of_variant(vget(block, "$.text")) == "STRING"
+        cut = F.to_variant_object(F.transform_values(
+            fields, lambda k, x: F.when(k == "text", _cut_variant(x, limit)).otherwise(x)))
+        return F.when((vget(block, "$.type", "string") == "text") & text, cut).otherwise(block)
+
+    return F.to_variant_object(F.transform(vget(content, "$", "array<variant>"), one))
 
-    Tool content over 5,000 chars and assistant content / reasoning over
-    50,000 chars keep their head and tail around a marker.  Non-string
-    (list) content is left as it is.
+
+def truncate_message(m: Column, tool_limit: int = TOOL_CONTENT_LIMIT, assistant_limit: int = ASSISTANT_CONTENT_LIMIT,
+                     reasoning_limit: int = REASONING_LIMIT) -> Column:
+    """P19 on one converted message struct (role, variant content, reasoning_content, ...).
+
+    Tool content and assistant content that are strings, each text block of an
+    assistant's list content, and reasoning keep their head and tail around a
+    marker when over their limit.  List content of other roles is left as it is.
     """
-    role = m["role"]
-    content = m["content"]
+    role, content = m["role"], m["content"]
+    is_list = vget(content, "$", "array<variant>").isNotNull()
     return m.withField(
         "content",
-        F.when(role == "tool", middle_truncate(content, TOOL_CONTENT_LIMIT, CONTENT_MARKER))
-         .when(role == "assistant", middle_truncate(content, ASSISTANT_CONTENT_LIMIT, CONTENT_MARKER))
+        F.when(role == "tool", _cut_variant(content, tool_limit))
+         .when((role == "assistant") & is_list, _cut_blocks(content, assistant_limit))
+         .when(role == "assistant", _cut_variant(content, assistant_limit))
          .otherwise(content)).withField(
         "reasoning_content",
-        F.when(role == "assistant", middle_truncate(m["reasoning_content"], REASONING_LIMIT, REASONING_MARKER))
+        F.when(role == "assistant", middle_truncate(m["reasoning_content"], reasoning_limit, REASONING_MARKER))
          .otherwise(m["reasoning_content"]))
 
 
+@F.pandas_udf(StringType())
+def indented_json(texts: pd.Series) -> pd.Series:
+    """A JSON text over several lines, keys in their own order (one small text a case)."""
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2))
+
+
 def index_assistant_turns(messages: Column) -> Column:
     """W3/P20 inside a row: number assistant messages 0.. (NULL elsewhere)."""
     flags = F.transform(messages, lambda m: F.when(m["role"] == "assistant", 1).otherwise(0))

@@ -330,8 +330,8 @@ WITH lines AS (
   FROM conversations GROUP BY conv_id),
 p AS (
   SELECT l.conv_id, concat_ws(chr(10), {_sql_lit(PROMPT_HEADER)}, {_sql_lit(TOOLS_TAG)}, '', {_sql_lit(MESSAGES_TAG)},
-         l.msgs, {_sql_lit(CHECKLIST_TAG)}, b.text, {_sql_lit(PROMPT_FOOTER)}) AS prompt
-  FROM lines l JOIN benchmark b ON b.item_id = l.conv_id)
+         l.msgs, {_sql_lit(CHECKLIST_TAG)}, coalesce(b.text, ''), {_sql_lit(PROMPT_FOOTER)}) AS prompt
+  FROM lines l LEFT JOIN benchmark b ON b.item_id = l.conv_id)
 SELECT conv_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM p
 """)
 def prompt_digest(spark, sf_dir):
@@ -342,7 +342,7 @@ def prompt_digest(spark, sf_dir):
     traj = (conv.groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), line.alias("line")))).alias("_m"))
             .select("conv_id", F.array_join(F.transform("_m", lambda x: x["line"]), "\n").alias("msgs")))
-    p = traj.join(bench, traj["conv_id"] == bench["item_id"]).select(
+    p = traj.join(bench, traj["conv_id"] == bench["item_id"], "left").select(
         "conv_id", render_prompt(F.lit(""), F.col("msgs"), F.col("text")).alias("prompt"))
     return p.select(F.col("conv_id").cast("bigint"), F.md5("prompt").alias("prompt_md5"),
                     F.length("prompt").cast("bigint").alias("prompt_chars"))

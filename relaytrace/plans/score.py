@@ -21,7 +21,8 @@ from ..operators.cases import match_cases, missing_cases
 from ..operators.judge import Scorer, call_judge, parse_verdicts
 from ..operators.score import detailed_results, score_cases, score_summary
 from ..plans.merge import materialize
-from ..operators.select import index_assistant_turns, main_trajectory, render_prompt, truncate_message
+from ..session import ship_package
+from ..operators.select import index_assistant_turns, indented_json, main_trajectory, render_prompt, truncate_message
 
 
 @dataclass
@@ -45,7 +46,11 @@ def main_trajectories(traj: DataFrame, order_col: str = "file_order") -> DataFra
 
 def build_prompts(cases: DataFrame, main: DataFrame, id_col: str = "instance_id",
                   checklist_col: str = "checklist") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """J5 + P19-P21 -> (prompts of judgeable cases, pre-judge failures, missing cases)."""
+    """J5 + P19-P21 -> (prompts of judgeable cases, pre-judge failures, missing cases).
+
+    The checklist is shown indented; its keys keep their own order where the
+    cases carry its text (``<checklist_col>_text``), else they are sorted."""
+    ship_package(cases.sparkSession)
     matched = match_cases(cases, main, id_col, "session_id")
     missing = missing_cases(cases, main, id_col, "session_id").select(id_col)
     ck = F.col(checklist_col)
@@ -54,10 +59,10 @@ def build_prompts(cases: DataFrame, main: DataFrame, id_col: str = "instance_id"
     no_checklist = matched.where(empty).select(
         id_col, F.lit(False).alias("success"), F.lit("case has no checklist").alias("error"))
     ok = matched.where(~empty)
-    msgs = F.transform(index_assistant_turns(F.col("messages")), truncate_message)
+    msgs = F.transform(index_assistant_turns(F.col("messages")), lambda m: truncate_message(m))
     prompt = render_prompt(F.array_join(F.transform("tools", lambda t: F.to_json(t)), "\n"),
                            F.array_join(F.transform(msgs, lambda m: F.to_json(m)), "\n"),
-                           F.to_json(ck))
+                           indented_json(F.col(text) if (text := f"{checklist_col}_text") in cases.columns else F.to_json(ck)))
     return ok.select(id_col, prompt.alias("prompt")), no_checklist, missing
 
 

@@ -174,7 +174,8 @@ CASES_SCHEMA = ("instance_id string, user_query array<string>, system_prompt str
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """S5 + S6: task cases from JSONL (or parquet), duplicate ids -> last line wins.
 
-    The checklist is kept as VARIANT (parsed from its JSON text).
+    The checklist of a JSONL case is kept as VARIANT, and as its own text,
+    whose keys have the order of the file.
     """
     from ..operators.cases import last_wins
     if path.endswith(".parquet"):
@@ -192,6 +193,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
             F.try_variant_get(v, "$.workspace_abs_path", "string").alias("workspace_abs_path"),
             F.try_variant_get(v, "$.scaffold", "struct<name:string,version:string>").alias("scaffold"),
             F.try_variant_get(v, "$.checklist", "variant").alias("checklist"),
+            F.get_json_object("value", "$.checklist").alias("checklist_text"),
             "src_file", "src_block", "src_ord")
     raw = raw.where(F.col("instance_id").isNotNull())
     return last_wins(raw, "instance_id", ["src_file", "src_block", "src_ord"]) \
