@@ -11,7 +11,8 @@ from relaytrace.operators.filters import exclude_models
 from relaytrace.operators.judge import call_judge, parse_verdicts
 from relaytrace.operators.report import bucket_counts, distinct_sessions, funnel, scaffold_distribution
 from relaytrace.operators.score import detailed_results, score_cases, score_summary
-from relaytrace.operators.select import main_trajectory
+from relaytrace.functions.text import CONTENT_MARKER, REASONING_MARKER
+from relaytrace.operators.select import indented_json, main_trajectory, truncate_message
 
 
 def test_prefix_dedup_rules(spark):
@@ -136,3 +137,26 @@ def test_reports(spark):
     cases = spark.createDataFrame([("x",), (None,), ("claudecode",)], "name string")
     assert {r.scaffold: r.n_cases for r in scaffold_distribution(cases, F.col("name")).collect()} == \
         {"x": 1, "claudecode": 2}
+
+
+def test_truncation_follows_the_kind_of_content(spark):
+    def cut(role, content, **limits):
+        df = spark.createDataFrame([(role, json.dumps(content), "r" * 12)], "role string, c string, reasoning_content string")
+        m = F.struct("role", F.parse_json("c").alias("content"), "reasoning_content")
+        row = df.select(truncate_message(m, 4, 6, 10).alias("m")).select(F.to_json("m.content").alias("c"), "m.reasoning_content").first()
+        return json.loads(row.c), row.reasoning_content
+
+    whole = "r" * 12
+    assert cut("tool", "abcdef") == ("ab" + CONTENT_MARKER + "ef", whole)
+    assert cut("tool", ["abcdef"]) == (["abcdef"], whole)
+    assert cut("user", "abcdefgh") == ("abcdefgh", whole)
+    blocks = [{"type": "text", "text": "abcdefgh", "n": 1}, {"type": "image", "text": "abcdefgh"}, {"type": "text", "text": 12345678}, "abcdefgh"]
+    got, reasoning = cut("assistant", blocks)
+    assert got == [{"type": "text", "text": "abc" + CONTENT_MARKER + "fgh", "n": 1}, *blocks[1:]]
+    assert reasoning == "r" * 5 + REASONING_MARKER + "r" * 5
+
+
+def test_indented_checklist_keeps_its_keys_in_order(spark):
+    df = spark.createDataFrame([('{"z":{"checks":[1]},"a":"é"}',), (None,)], "t string")
+    got = [r.t for r in df.select(indented_json("t").alias("t")).collect()]
+    assert got == ['{\n  "z": {\n    "checks": [\n      1\n    ]\n  },\n  "a": "é"\n}', None]
