@@ -285,16 +285,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = scratch_path(spark, "fingerprints")
     src.select(id_col, fingerprint_column(F.col(text_col), shingle).alias("fp")).write.parquet(at)
     rows = spark.read.parquet(at)
+    named = _with_least(rows.groupBy("fp").agg(F.min(id_col).alias("first")), distance)
+    ids = named.groupBy("least").agg(F.min("first").alias("component_id"))
+    of_fp = named.join(ids, "least").select("fp", "component_id")
+    return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
+
+
+def _with_least(distinct: DataFrame, distance: int) -> DataFrame:
+    """Distinct fingerprints (column ``fp``, others pass) with ``least``, the
+    smallest fingerprint of their component."""
+    spark = distinct.sparkSession
     at = scratch_path(spark, "distinct-fingerprints")
-    rows.groupBy("fp").agg(F.min(id_col).alias("first")).write.parquet(at)
+    distinct.write.parquet(at)
     fps = spark.read.parquet(at)
     at = scratch_path(spark, "links")
     links(fps, distance).distinct().write.parquet(at)
     comps = components(spark.read.parquet(at)).withColumnRenamed("node", "fp")
-    named = fps.join(comps, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
-    ids = named.groupBy("least").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(ids, "least").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    return fps.join(comps, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -304,14 +311,28 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                distance: int = DISTANCE) -> DataFrame:
-    """One row of each group of near duplicates: that of its smallest id (of
-    rows that share this id, one), with the columns of ``df`` as they are.  A
-    group whose ids are all null keeps one row."""
-    found = near_duplicates(df, id_col, text_col, shingle, distance)
+    """One row of each group of near duplicates, with the columns of ``df`` as
+    they are: that of its smallest id, null ids last (of several texts under
+    this id, one).  Ids need not be unique: a row is known by its id and the
+    SHA-256 of its text, so every group, also one whose ids are all null, keeps
+    exactly one row.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
 
     def key(c: str) -> Column:  # never null, so one exchange serves the join and the last step
         return F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
 
-    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
-    stay = found.where(mine).select(key(id_col).alias("_same_id")).distinct()
-    return df.withColumn("_same_id", key(id_col)).join(stay, "_same_id", "left_semi").dropDuplicates(["_same_id"]).drop("_same_id")
+    def digest(c: str) -> Column:
+        return F.unhex(F.sha2(F.coalesce(F.col(f"`{c}`"), F.lit("")), 256))
+
+    src = narrow(df, id_col, text_col)
+    at = scratch_path(spark, "fingerprints")
+    src.select(F.col(id_col).alias("id"), key(id_col).alias("_same_id"), digest(text_col).alias("_same_text"),
+               fingerprint_column(F.col(text_col), shingle).alias("fp")).write.parquet(at)
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "_same_id", "_same_text")
+    named = _with_least(spark.read.parquet(at).groupBy("fp").agg(F.min(row).alias("first")), distance)
+    stay = named.groupBy("least").agg(F.min("first").alias("first")).select("first._same_id", "first._same_text")
+    same = ["_same_id", "_same_text"]
+    rows = df.withColumn("_same_id", key(id_col)).withColumn("_same_text", digest(text_col))
+    return rows.join(stay, same, "left_semi").dropDuplicates(same).drop(*same)

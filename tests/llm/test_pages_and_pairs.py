@@ -188,6 +188,17 @@ def test_keep_first(spark):
     assert simhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_every_group(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.getrandbits(32)}" for _ in range(60)) for _ in range(8)]
+    # null ids: unrelated texts, a copied text, a copy of a numbered one; one id with two texts, one of them a copy
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (3, text[3]),
+            (5, text[4]), (5, text[5]), (4, text[5]), (5, text[6]), (6, text[6]), (9, text[7]), (9, text[7])]
+    df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id bigint, text string, fp string")
+    out = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(df.repartition(5)).collect()), key=str)
+    assert out == sorted([(None, text[0]), (None, text[1]), (None, text[2]), (3, text[3]), (5, text[4]), (4, text[5]), (5, text[6]), (9, text[7])], key=str)
+
+
 # ---- pipeline ---------------------------------------------------------------
 
 def test_pipeline_decisions(spark):
