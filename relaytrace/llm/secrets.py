@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, and a token-efficiency test.
 
 The patterns find assignments, access keys and hex runs.  The test then looks
-at every other unbroken run of key characters: random strings take many tokens
-for few characters under a tiktoken vocabulary, natural words and identifiers
-take few.  Known digests and identifiers (UUIDs, hex digests in upper case,
-numbers, paths and addresses, names in snake, kebab or camel case whose parts
-are words) are left out first.
+at what they leave of every unbroken run of key characters: random strings take
+many tokens for few characters under a tiktoken vocabulary, natural words and
+identifiers take few.  UUIDs, hex digests in upper case and numbers are left
+out first.  A run is cut into parts at + / = _ and -, and each part is judged
+by its own ratio, so a name or path before a key does not hide it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from relaytrace.llm.common import narrow
 from relaytrace.session import ship_package
 
 VOCAB = "byte_bpe_50k.tiktoken"
-#: A run is a secret at or below so many characters a token ...
+#: Characters a token at or below which a string is a secret ...
 RATIO = 2.0
 #: ... if it has at least so many characters.
 LEAST = 20
+#: Longest part between dense ones that may be efficient by chance.
+GAP = 4
 
 # the fixed patterns of the scan
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -35,13 +37,12 @@ KINDS = ("assign", "access", "hex", "token")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:"
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
-    r"|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"  # digest in upper case
-    r"|[0-9+/_=-]+"  # numbers, rulers
-    r"|/?(?:[A-Za-z]*[a-z]{2}[A-Za-z]*/)+[A-Za-z]*/?"  # path of words
-    r"|[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*"  # word, CamelCase
-    r"|[A-Za-z]+(?:[_-][A-Za-z]+)*[_-]?[0-9]{0,8}"  # words joined by _ or -, or in capitals, with a number
-)
+    r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"  # digest in upper case
+    r")(?![A-Za-z0-9])")
+_PART = re.compile(r"[A-Za-z0-9]+")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,17 +54,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def _left(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of a stretch."""
+    for a, b in taken:
+        if start < a < end:
+            yield start, a
+        if a < end:
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def _tokens(part: str, vocab: str) -> int:
+    """Tokens of a part; words in capitals count as in small letters, if that is fewer."""
+    encode = encoding(vocab).encode_ordinary
+    n = len(encode(part))
+    return min(n, len(encode(part.lower()))) if part.isalpha() and part.isupper() else n
+
+
 def token_spans(text: str, taken: list[tuple[str, int, int]], vocab: str = VOCAB, ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    """Runs that the token-efficiency test exposes, apart from ``taken`` spans."""
+    """Stretches that the token-efficiency test exposes, apart from ``taken`` spans.
+
+    A part is dense if it is more than one token, with at most ``ratio``
+    characters a token.  A secret runs from a dense part to a dense part of a
+    run, short parts between them included, and is as dense as a whole; the =
+    that end a run belong to it."""
     out = []
+    taken = sorted((a, b) for _, a, b in taken)
     for m in _RUN.finditer(text):
-        run = m[0]
-        if any(a < m.end() and m.start() < b for _, a, b in taken) or _KNOWN.fullmatch(run):
-            continue
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) and not (re.search(r"[a-z][A-Z].*[a-z][A-Z]", run) and re.search(r"[+/=]", run)):
-            continue
-        if len(run) <= ratio * len(encoding(vocab).encode_ordinary(run)):
-            out.append(("token", *m.span()))
+        free = [(a, b) for a, b in taken if a < m.end() and m.start() < b]
+        free = sorted(free + [k.span() for k in _KNOWN.finditer(text, *m.span())])
+        for start, end in _left(*m.span(), free):
+            if end - start < LEAST:
+                continue
+            parts = [(*p.span(), _tokens(p[0], vocab)) for p in _PART.finditer(text, start, end)]
+            groups: list[list[tuple[int, int, int]]] = [[]]
+            between: list[tuple[int, int, int]] = []
+            for a, b, n in parts:
+                if n > 1 and b - a <= ratio * n:
+                    groups[-1] += [*between, (a, b, n)]
+                    between = []
+                elif b - a > GAP:
+                    groups.append([])
+                    between = []
+                elif groups[-1]:
+                    between.append((a, b, n))
+            for group in filter(None, groups):
+                a, b = group[0][0], group[-1][1]
+                if b - a < LEAST or not _LETTER.search(text, a, b) or sum(q - p for p, q, _ in group) > ratio * sum(n for _, _, n in group):
+                    continue
+                if not text[b:end].strip("="):
+                    b = end
+                out.append(("token", a, b))
     return out
 
 

@@ -146,6 +146,27 @@ def test_secrets(spark, odd, none):
     assert joined == "assign:0:19"
 
 
+def test_secrets_of_letters_and_inside_runs():
+    def tokens(t):
+        return [t[a:b] for kind, a, b, _ in secrets.find(t) if kind == "token"]
+
+    rng = random.Random(9)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (lower, mixed, mixed[26:]):  # a few random strings look like words
+        keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+        assert sum(tokens(f"a {key}.") == [key] for key in keys) >= 190
+    key = "kqzXvbWpLmRtYhGdSjFc42"
+    for t in ("key {} end", "/internationalization/localization/configuration/{}/information", "application_configuration_information_identifier_{}",
+              "information={}", "Authorization-Information-Localization-{}", "123e4567-e89b-12d3-a456-426614174000/{}"):
+        found = tokens(t.format(key))
+        assert found == [key], t
+    assert tokens("0123456789abcdef0123_" + key) == [key]
+    assert tokens("sent Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA== here") == ["Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA=="]
+    for clean in ("usr/local/lib/python/site-packages", "information_about_2024_report", "OPTIMIZED_BYTECODE_SUFFIXES", "erberbeeinheitkeiter", "do_not_use_it_as_is_if_on_it", "a_b_c_d_e_f_g_h_i_j_k_l",
+                  "2024-01-02-03-04-05-06", "InformationAboutConfiguration2024", "D41D8CD98F00B204E9800998ECF8427E/information"):
+        assert not tokens(clean), clean
+
+
 # ---- quality ----------------------------------------------------------------
 
 def brute_counts(t):
