@@ -2,8 +2,9 @@
 
 Every node of the DOM gets a link-adjusted density of characters per tag; its
 density sum is the sum over its children.  The node with the largest sum is
-the article; the lowest density on the path from there to the body is the
-threshold that tells content from notices inside the selected subtree.
+the article, or the <article> or <main> around it.  Without such an element
+the thinnest node on the path from the body to the densest one is the threshold
+for the whole body: all blocks at or above it are kept in page order.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ NOT_NAMES = frozenset(
     "consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification pagination pager paywall popup promo promoted promotion related replies reply respond share "
     "sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Whole class or id names of page headers (an article's own header stays).
 NOT_HEADERS = frozenset("header site-header page-header top-header main-header global-header".split())
@@ -168,8 +170,70 @@ def _densities(order: list[Node], body: Node) -> None:
         x.total = sum(k.density for k in x.kids if not isinstance(k, str) and not k.skip)
 
 
-def _blocks(top: Node, threshold: float) -> list[str]:
-    """Texts of the blocks below ``top`` in page order."""
+def _select(body: Node, path: list[Node], threshold: float) -> dict[int, list[Node | str]]:
+    """Kids to keep of every node that is not kept whole, by the node's id.
+
+    A block counts as dense by its density or, since that grows with a block's
+    length, by its characters outside links a tag against the path's least.
+    Blocks without links between two kept ones, and a heading before one,
+    are kept with them; a thin block is looked into."""
+    plain = min((x.chars - x.link_chars) / max(x.tags, 1) for x in path)
+    on_path = {id(x) for x in path}
+    chosen: dict[int, list[Node | str]] = {}
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        # a unit is a block, or text and inline elements between blocks
+        units: list[list[Node | str]] = []
+        inline = False
+        for k in x.kids:
+            if not isinstance(k, str) and k.skip:
+                continue
+            block = not isinstance(k, str) and (k.tag in BLOCK or id(k) in on_path)
+            if block or not inline:
+                units.append([])
+            units[-1].append(k)
+            inline = not block
+        state = []  # 2: kept, 1: no links, 0: neither
+        for unit in units:
+            nodes = [k for k in unit if not isinstance(k, str)]
+            chars = sum(len(_SPACE.sub(" ", k).strip()) if isinstance(k, str) else k.chars for k in unit)
+            links = sum(k.link_chars for k in nodes)
+            one = len(unit) == 1 and bool(nodes) and (nodes[0].tag in BLOCK or id(nodes[0]) in on_path)
+            tags = nodes[0].tags if one else sum(k.tags + 1 for k in nodes)
+            dense = one and (id(nodes[0]) in on_path or nodes[0].density >= threshold) or (chars - links) / max(tags, 1) >= plain
+            state.append(2 if chars and dense else 0 if links else 1)
+        kept = [i for i, s in enumerate(state) if s == 2]
+        out: list[Node | str] = []
+        for i, unit in enumerate(units):
+            first = unit[0]
+            node = None if isinstance(first, str) else first
+            near = bool(kept) and kept[0] < i < kept[-1] and state[i] == 1
+            title = node is not None and node.tag in HEADINGS and any(
+                state[j] == 2 for j in range(i + 1, len(units)) if all(_blank(units[h]) or _heading(units[h]) for h in range(i + 1, j)))
+            if state[i] == 2 or near or title or _blank(unit):
+                out += unit
+                if node is not None and id(node) in on_path and node is not path[0]:
+                    stack.append(node)
+            elif node is not None and node.tag in BLOCK and node.chars:
+                out.append(node)
+                stack.append(node)
+        chosen[id(x)] = out
+    return chosen
+
+
+def _blank(unit: list[Node | str]) -> bool:
+    return not any(k.strip() if isinstance(k, str) else k.chars for k in unit)
+
+
+def _heading(unit: list[Node | str]) -> bool:
+    return not isinstance(unit[0], str) and unit[0].tag in HEADINGS
+
+
+def _blocks(top: Node, threshold: float, chosen: dict[int, list[Node | str]] | None = None) -> list[str]:
+    """Texts of the blocks below ``top`` in page order; ``chosen`` has the kids
+    of nodes that are not kept whole."""
+    chosen = chosen or {}
     out: list[str] = []
     buf: list[str] = []
 
@@ -188,11 +252,11 @@ def _blocks(top: Node, threshold: float) -> list[str]:
             flush()
         elif x.tag == "br":
             buf.append(" ")
-        elif not x.skip and not (x is not top and _aside(x, threshold)):
+        elif not x.skip and not (x is not top and id(x) not in chosen and _aside(x, threshold)):
             if x.tag in BLOCK:
                 flush()
                 stack.append((x, True))
-            stack.extend((k, False) for k in reversed(x.kids))
+            stack.extend((k, False) for k in reversed(chosen.get(id(x), x.kids)))
     flush()
     return out
 
@@ -223,18 +287,14 @@ def main_text(page: str) -> str:
         x = x.parent
         path.append(x)
     named = next((x for x in path if x.tag in ("article", "main")), None)
-    # the body-path threshold: what is denser than the thinnest node on the way belongs to the article
+    # the body-path threshold: what is as dense as the thinnest node on the way belongs to the article
     threshold = min(x.density for x in path)
     if named is not None:
-        top = named
-    else:
-        # siblings on the way up that hold as dense text are part of it
-        while top is not body and top.parent.tag not in ("body", "html", "#root") and \
-                all(k.density >= threshold for k in top.parent.kids if not isinstance(k, str) and not k.skip and k.chars):
-            top = top.parent
-        if top.tag in ("h1", "h2", "h3", "p", "b", "i", "em", "strong", "span", "a") and top is not body:
-            top = top.parent
-    return "\n".join(_blocks(top, threshold))
+        return "\n".join(_blocks(named, threshold))
+    # a line's inline parts and paragraphs are not told apart
+    while len(path) > 1 and (path[0].tag not in BLOCK or path[0].tag in HEADINGS or path[0].tag == "p"):
+        del path[0]
+    return "\n".join(_blocks(body, threshold, _select(body, path, threshold) if len(path) > 1 else None))
 
 
 def page_text(html_col: Column) -> Column:

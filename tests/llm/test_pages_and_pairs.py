@@ -74,6 +74,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def paragraphs(a, b):
+    return [f"Sentence {i} of it, in plain words that go on for a while. " * 4 for i in range(a, b)]
+
+
+def tagged(some):
+    return "".join(f"<p>{x}</p>" for x in some)
+
+
+def lines(*some):
+    return "\n".join(x.strip() for x in some)
+
+
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Entry number {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("cuts", [(0, 2, 5), (0, 1, 9), (0, 1, 2, 10), (0, 6, 8), (0, 3, 4, 5, 9)])
+@pytest.mark.parametrize("menu", ["", MENU])
+def test_main_text_of_sections_in_the_body(cuts, menu):
+    some = paragraphs(0, cuts[-1])
+    sections = [f"<h2>Part {i}</h2><div>{tagged(some[a:b])}</div>" for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    want = lines(*(x for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for x in (f"Part {i}", *some[a:b])))
+    for page in (f"<body>{menu}{''.join(sections)}<div class=footer>(c) Someone</div></body>", f"<body><div>{menu}</div><div id=page><div>{''.join(sections)}</div></div>{menu}</body>"):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<body>{''.join(sections[:1])}<p>Short.</p>{''.join(sections[1:])}</body>").count("Short.") == 1
+    if len(cuts) == 3:
+        assert html_text.main_text(f"<body>{menu}{''.join(sections)}<div>(c) Someone</div></body>") == want
+
+
 def test_extract_odd_rows(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<p>a</p>", "t"), (2, "u", deep, "t"), (3, "u", "<p>" + "w " * 100_000, "t")],
