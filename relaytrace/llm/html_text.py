@@ -4,7 +4,9 @@ Every node of the DOM gets a link-adjusted density of characters per tag; its
 density sum is the sum over its children.  The node with the largest sum is
 the article, or the <article> or <main> around it.  Without such an element
 the thinnest node on the path from the body to the densest one is the threshold
-for the whole body: all blocks at or above it are kept in page order.
+for the whole body: all blocks at or above it are kept in page order.  Blocks
+whose class or id names menus, adverts or notices, and forms, are left out,
+unless they hold the article.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ ITEM_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
              "option": ({"option"}, {"select", "datalist"})}
 #: Elements and ARIA roles that are never article text.
 NOT_TEXT = frozenset(
-    "head script style noscript template nav aside footer form button select option input textarea iframe object embed "
+    "head script style noscript template nav aside footer button select option input textarea iframe object embed "
     "svg canvas audio video map dialog menu xmp noembed noframes title".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark menus, adverts, notices and reader comments.
@@ -44,6 +46,15 @@ NOT_NAMES = frozenset(
     "consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification pagination pager paywall popup promo promoted promotion related replies reply respond share "
     "sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Those of them that name text of its own, which may be longer than the article.
+OWN_TEXT = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist consent cookie cookies disclaimer "
+    "disqus footer gdpr newsletter notice notices notification promo promoted promotion related replies reply respond "
+    "signup sponsor sponsored subscribe".split())
+#: Words of a name that turn what follows: has-sidebar is no sidebar.
+TURNS = frozenset("has no with".split())
+#: Characters outside such a block from which the page has an article besides it.
+OUTSIDE = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Whole class or id names of page headers (an article's own header stays).
@@ -56,10 +67,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "skip", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, soft: str = ""):
+        # soft: left out for its name alone, "layout" or "text"
+        self.tag, self.parent, self.skip, self.soft = tag, parent, skip or bool(soft), "" if skip else soft
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -78,12 +90,36 @@ def _unwanted(tag: str, attrs: str, within_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id") and tag not in ("body", "html", "article", "main") and \
-                (any(x.lower() in NOT_NAMES for x in _NAME.findall(value)) or NOT_HEADERS & set(value.lower().split())):
-            return True
     return False
 
 
+def _names(value: str) -> set[str]:
+    """Words of class or id names, without those that has, no or with turns."""
+    out = set()
+    for name in value.split():
+        for x in _NAME.findall(name):
+            if x.lower() in TURNS:
+                break
+            out.add(x.lower())
+    return out
+
+
+def _soft(tag: str, attrs: str) -> str:
+    """Whether the tag or its names make an element unwanted, unless it holds the article."""
+    if tag in ("body", "html", "article", "main"):
+        return ""
+    found = "layout" if tag == "form" else ""
+    for m in _ATTR.finditer(attrs) if attrs else ():
+        if m[1].lower() in ("class", "id"):
+            value = html.unescape(m[2] or m[3] or m[4] or "")
+            names = _names(value) & NOT_NAMES
+            if names & OWN_TEXT:
+                return "text"
+            if names or NOT_HEADERS & set(value.lower().split()):
+                found = "layout"
+    return found
+
+
 def parse(page: str) -> Node:
     """A forgiving DOM: unknown end tags are ignored, open elements end where HTML implies it."""
     root = node = Node("#root", None, False)
@@ -121,7 +157,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        kid = Node(tag, node, _unwanted(tag, m[3], articles > 0))
+        kid = Node(tag, node, _unwanted(tag, m[3], articles > 0), _soft(tag, m[3]))
         node.kids.append(kid)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -135,6 +171,44 @@ def parse(page: str) -> Node:
     return root
 
 
+def _restore(body: Node) -> None:
+    """Soft nodes that hold the article are wanted after all: layout with more
+    of the text outside links than all wanted nodes, or with the only article
+    element and half as much, and anything else if next to nothing is outside."""
+    order, above, stack = [], {}, [(body, body)]
+    while stack:
+        x, over = stack.pop()
+        order.append(x)
+        if x.soft:
+            above.setdefault(id(over), []).append(x)
+            over = x
+        stack.extend((k, over) for k in x.kids if not isinstance(k, str) and (not k.skip or k.soft))
+    if not above:
+        return
+    own: dict[int, tuple[int, bool]] = {}  # characters, and whether an article has some, without soft nodes below
+    full: dict[int, tuple[int, bool]] = {}  # with layout below
+    for x in reversed(order):
+        here = sum(len(_SPACE.sub(" ", k).strip()) for k in x.kids if isinstance(k, str))
+        kids = [k for k in x.kids if not isinstance(k, str) and id(k) in own and k.tag != "a"]
+        for of, some in ((own, [k for k in kids if not k.soft]), (full, [k for k in kids if k.soft != "text"])):
+            chars = here + sum(of[id(k)][0] for k in some)
+            of[id(x)] = (chars, x.tag in ("article", "main") and chars > 0 or any(of[id(k)][1] for k in some))
+    outside, article = own[id(body)]
+    soft = above.get(id(body), [])
+
+    def only(x: Node) -> bool:
+        return x.soft == "layout" and full[id(x)][1] and not article and 2 * full[id(x)][0] > outside
+
+    while True:
+        found = [x for x in soft if only(x) or full[id(x)][0] > outside and (x.soft == "layout" or outside < OUTSIDE)]
+        if not found:
+            return
+        x = max(found, key=lambda x: (only(x), full[id(x)][0]))
+        x.skip = False
+        outside, article = outside + own[id(x)][0], article or own[id(x)][1]
+        soft = [k for k in soft if k is not x] + above.get(id(x), [])
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters, tags and their share in links, from the leaves up."""
     order, stack = [], [root]
@@ -266,11 +340,22 @@ def _aside(x: Node, threshold: float) -> bool:
     return x.tag in BLOCK and x.density < threshold and x.link_tags > 1 and 2 * x.link_chars > x.chars
 
 
+def _body(root: Node) -> Node:
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == "body":
+            return x
+        stack.extend(k for k in x.kids if not isinstance(k, str) and not k.skip)
+    return root
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if the page has no text."""
     root = parse(page)
+    body = _body(root)
+    _restore(body)
     order = _measure(root)
-    body = next((x for x in order if x.tag == "body"), root)
     below = set()
     stack = [body]
     while stack:

@@ -102,6 +102,26 @@ def test_main_text_of_sections_in_the_body(cuts, menu):
         assert html_text.main_text(f"<body>{menu}{''.join(sections)}<div>(c) Someone</div></body>") == want
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<div class=no-sidebar>", "</div>"), ("<div class='page with-nav'>", "</div>"), ("<div class='post social-post'>", "</div>"),
+    ("<div id=widget-area-main>", "</div>"), ("<form action=/>", "</form>"), ("<form><div class=toolbar-page><div class=sidebar-wrap>", "</div></div></form>")])
+@pytest.mark.parametrize("tag", ["article", "main", "div", ""])
+def test_main_text_within_wrappers(open_, close, tag):
+    some = paragraphs(0, 4)
+    inner = f"<{tag}>{tagged(some)}</{tag}>" if tag else tagged(some)
+    page = f"<body><div class=nav>{MENU}</div>{open_}{inner}<div class=sidebar><p>Read this as well</p></div>{close}<div class=footer>(c) Someone</div></body>"
+    assert html_text.main_text(page) == lines(*some)
+
+
+def test_main_text_leaves_notices_and_comments_out():
+    some, other = paragraphs(0, 2), paragraphs(2, 9)
+    for name in ("comments", "cookie-notice", "related", "newsletter"):
+        for body in (f"<article>{tagged(some)}</article>", f"<div class=post>{tagged(some)}</div>"):
+            for inner in (tagged(other), "".join(f"<article>{tagged([x])}</article>" for x in other)):
+                assert html_text.main_text(f"<body>{body}<div class={name}>{inner}</div></body>") == lines(*some)
+    assert html_text.main_text(f"<body><article>{tagged(some)}</article><div class=sidebar><article>{tagged(other[:1])}</article></div><form>{tagged(other[:1])}</form></body>") == lines(*some)
+
+
 def test_extract_odd_rows(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<p>a</p>", "t"), (2, "u", deep, "t"), (3, "u", "<p>" + "w " * 100_000, "t")],
