@@ -3,7 +3,8 @@
 The ratio raw / compressed bytes of a text says how repetitive it is.  The
 whole document and every fixed chunk of it have a band of ratios; the band of
 the whole depends on its length, as short texts compress less.  Repetitive
-text lies above the band, random or encoded text below.
+text lies above the band, random or encoded text below.  One chunk outside
+its band rejects a document.
 """
 
 from __future__ import annotations
@@ -39,10 +40,8 @@ class Bands(NamedTuple):
     #: (least, most) for a chunk.
     chunk: tuple[float, float] = (1.35, 5.0)
     chunk_bytes: int = 4096
-    #: A last chunk that is shorter than this is left to the whole's band.
+    #: A last chunk that is shorter than this is judged with the one before it.
     chunk_least: int = 1024
-    #: Share of chunks outside their band that rejects a document.
-    share: float = 0.2
     level: int = 3
 
 
@@ -69,21 +68,20 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def in_bands(data: bytes, squeeze: zstandard.ZstdCompressor, bands: Bands = Bands()) -> bool:
-    """The bands' verdict on a text; an empty one is outside."""
+    """The bands' verdict on a text: the whole and every chunk inside; an empty one is outside."""
     if not data:
         return False
     ratio = len(data) / len(squeeze.compress(data))
     _, least, most = next(b for b in reversed(bands.whole) if len(data) >= b[0])
     if not least <= ratio <= most:
         return False
-    step, bad, n = bands.chunk_bytes, 0, 0
-    for at in range(0, len(data), step):
-        chunk = data[at:at + step]
-        if len(chunk) < bands.chunk_least or len(chunk) == len(data):
-            continue
-        n += 1
-        bad += not bands.chunk[0] <= len(chunk) / len(squeeze.compress(chunk)) <= bands.chunk[1]
-    return bad <= bands.share * n
+    starts = list(range(0, len(data), bands.chunk_bytes))
+    if len(starts) > 1 and len(data) - starts[-1] < bands.chunk_least:
+        starts.pop()
+    if len(starts) == 1:
+        return True
+    chunks = (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True))
+    return all(bands.chunk[0] <= len(chunk) / len(squeeze.compress(chunk)) <= bands.chunk[1] for chunk in chunks)
 
 
 VERDICT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"

@@ -199,6 +199,29 @@ def test_quality_counts_and_bands(spark, odd, none):
     assert quality.rules(none).count() == 0
 
 
+def test_one_bad_chunk_rejects():
+    import base64
+    squeeze = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(10)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(14_000)).encode()
+    blob = base64.b64encode(rng.randbytes(9000))
+    for size in (5, 8, 16):
+        text = prose[:size * 4096]
+        assert quality.in_bands(text, squeeze) and quality.in_bands(text + prose[:500], squeeze)
+        for at in range(size):
+            bad = text[:at * 4096] + blob[:4096] + text[(at + 1) * 4096:]
+            assert not quality.in_bands(bad, squeeze)
+            assert not quality.in_bands(text[:at * 4096] + blob[:8192] + text[at * 4096:], squeeze)
+    # a short tail and the chunk before it are one
+    ratio = lambda x: len(x) / len(squeeze.compress(x))
+    ends = [(prose[:k] + blob[:4096 - k], blob[5000:6000]) for k in range(0, 4096, 16)]
+    ends = [(chunk, tail) for chunk, tail in ends if ratio(chunk) >= quality.Bands().chunk[0] > ratio(chunk + tail)]
+    assert ends
+    for chunk, tail in ends:
+        assert quality.in_bands(prose[:5 * 4096] + chunk, squeeze) and not quality.in_bands(prose[:5 * 4096] + chunk + tail, squeeze)
+
+
 # ---- decontamination --------------------------------------------------------
 
 def make_items(rng, n):
