@@ -658,10 +658,9 @@ def stream_ingest(spark, sf_dir):
     """Events as JSONL files -> stream -> keep successes, decode -> parquet."""
     ev = read_table(spark, sf_dir, "events")
     src = scratch_path(spark, "events-jsonl")
-    ev.repartition(4).write.option("timestampNTZFormat", _TS_FMT).json(src)
+    ev.write.option("timestampNTZFormat", _TS_FMT).json(src)
     out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ck")
-    stream = (spark.readStream.schema(_EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("timestampNTZFormat", _TS_FMT).json(src))
+    stream = spark.readStream.schema(_EVENTS_SCHEMA).option("timestampNTZFormat", _TS_FMT).json(src)
 
     def transform(df):
         from ..operators.filters import successful
@@ -678,7 +677,7 @@ def stream_ingest(spark, sf_dir):
 
 @query("incremental_merge", _PIPE_SQL)
 def incremental_merge_q(spark, sf_dir):
-    """The derived call log arrives as three files, the last one late."""
+    """The derived call log arrives as three folders of files, the last one late."""
     conv = read_table(spark, sf_dir, "conversations")
     lines = conversation_raw_log(conv).withColumn("_turn", F.col("src_ord") / 2)
     src = scratch_path(spark, "calls-jsonl")
@@ -687,8 +686,8 @@ def incremental_merge_q(spark, sf_dir):
     state, out, ck = (scratch_path(spark, "merge-state"), scratch_path(spark, "merge-out"),
                       scratch_path(spark, "merge-ck"))
     for i, (name, cond) in enumerate(parts):
-        lines.where(cond).select("value").coalesce(1).write.text(f"{src}/{name}")
-        if i >= 1:  # first run sees a+b, the late file c triggers a second run
+        lines.where(cond).select("value").write.text(f"{src}/{name}")
+        if i >= 1:  # first run sees a+b, the late folder c triggers a second run
             q = incremental_merge_job(spark, stream_lines(spark, f"{src}/*"), state, out, ck)
             q.awaitTermination()
     return _traj_summary(spark.read.parquet(out))
@@ -703,11 +702,11 @@ def stream_attribution(spark, sf_dir):
     """A stream of calls attributed as-of to the (static) announcements."""
     ev = read_table(spark, sf_dir, "events")
     src = scratch_path(spark, "calls-stream")
-    (ev.where(F.col("event_type") != "signup").select("event_id", "ts").repartition(3)
+    (ev.where(F.col("event_type") != "signup").select("event_id", "ts")
      .write.option("timestampNTZFormat", _TS_FMT).json(src))
     ann = ev.where(F.col("event_type") == "signup").select("ts", F.col("user_id").alias("instance_id"), "event_id")
     out, ck = scratch_path(spark, "attr-out"), scratch_path(spark, "attr-ck")
-    stream = (spark.readStream.schema("event_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema("event_id bigint, ts timestamp_ntz")
               .option("timestampNTZFormat", _TS_FMT).json(src))
     attribute_stream(stream, ann, out, ck, ann_tiebreak="event_id").awaitTermination()
     return spark.read.parquet(out).select(F.col("event_id").cast("bigint"), "instance_id")

@@ -29,3 +29,24 @@ def test_incremental_merge_equals_batch(spark, tmpdir_run):
     streamed = _rows(spark.read.parquet(out))
     batch = _rows(merge_calls(spark, src).trajectories)
     assert streamed == batch and len(batch) > 0
+
+
+def test_derived_call_log_is_written_by_several_tasks(spark, tmpdir_run, monkeypatch):
+    from relaytrace.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "scratch_path", lambda _, name: f"{tmpdir_run}/{name}")
+    sf = "/root/testdata/sf0.001"
+    log = catalogue.conversation_raw_log
+    monkeypatch.setattr(catalogue, "conversation_raw_log", lambda conv: log(conv).repartition(6))
+    got = catalogue.QUERIES["incremental_merge"](spark, sf)
+    for part in "abc":
+        files = [f for f in os.listdir(f"{tmpdir_run}/calls-jsonl/{part}") if f.startswith("part-")]
+        assert len(files) > 1, part
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet/**/*.parquet'"
+                if os.path.isdir(f"{sf}/conversations.parquet") else f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["incremental_merge"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
