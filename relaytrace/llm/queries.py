@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaytrace.llm import bpe, decontaminate, html_text, pii, quality, secrets, simhash, token_counts, token_store, warc
+from relaytrace.llm import bpe, collocation, decontaminate, html_text, pii, quality, secrets, simhash, token_counts, token_store, warc
 from relaytrace.llm.common import joined_spans
 from relaytrace.sources.tables import read_table
 
@@ -72,9 +72,13 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_benchmark_leaks, op3_token_counts, op4_personal_data, op5_token_files, op6_warc_archives,
-    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups)}
+    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups, op11_collocations)}
 
 #: DuckDB's SQL for the same rows, where SQL can express them.
 ORACLE_SQL = {
@@ -87,4 +91,33 @@ ORACLE_SQL = {
                CASE WHEN f.first IS DISTINCT FROM d.page_id THEN f.first END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
     """,
+    "op11_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+             p AS (SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM d),
+             q AS (SELECT d, p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+             v AS (SELECT d, p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM q),
+             l AS (SELECT lang, w AS g1, g1 || ' ' || lead(w, 1) OVER o AS g2, g2 || ' ' || lead(w, 2) OVER o AS g3,
+                          g3 || ' ' || lead(w, 3) OVER o AS g4, g4 || ' ' || lead(w, 4) OVER o AS g5
+                   FROM v WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+             g AS MATERIALIZED (SELECT lang, m, phrase, CAST(count(*) AS BIGINT) AS f
+                   FROM (SELECT lang, unnest([1, 2, 3, 4, 5]) AS m, unnest([g1, g2, g3, g4, g5]) AS phrase FROM l)
+                   WHERE phrase IS NOT NULL GROUP BY ALL),
+             n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+             c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE m > 1 AND f >= 100),
+             f AS MATERIALIZED (SELECT lang || chr(10) || phrase AS part, f FROM g WHERE f >= 100),
+             t AS MATERIALIZED (SELECT c.lang, phrase, a, n, k, c.lang || chr(10) || array_to_string(ws[1:k], ' ') AS head,
+                                       c.lang || chr(10) || array_to_string(ws[k + 1:], ' ') AS tail
+                                FROM c JOIN n ON n.lang = c.lang JOIN (SELECT unnest([1, 2, 3, 4]) AS k) AS ks ON k < c.m),
+             s AS (SELECT lang, phrase, a, k, x.f AS l, y.f AS r, n,
+                          CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+                   FROM t JOIN f AS x ON x.part = head JOIN f AS y ON y.part = tail),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             e AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:j], ' ') AS phrase, c.a
+                   FROM c JOIN (SELECT unnest([1, 2, 3, 4]) AS i) AS b1 ON i < c.m
+                   JOIN (SELECT unnest([2, 3, 4, 5]) AS j) AS b2 ON j > i AND j <= c.m AND j - i + 1 < c.m),
+             o AS (SELECT * FROM b WHERE (lang, phrase, a) NOT IN (SELECT b.lang, b.phrase, b.a FROM b JOIN e ON e.lang = b.lang AND e.phrase = b.phrase WHERE 100 * e.a >= 100 * b.a))
+        SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+        FROM o QUALIFY rank <= 2000
+    """,
 }
