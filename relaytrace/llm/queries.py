@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaytrace.llm import bpe, collocation, decontaminate, html_text, pii, quality, secrets, simhash, token_counts, token_store, warc
+from relaytrace.llm import bpe, collocation, decontaminate, html_text, licenses, pii, quality, secrets, simhash, token_counts, token_store, warc
 from relaytrace.llm.common import joined_spans
 from relaytrace.sources.tables import read_table
 
@@ -76,9 +76,23 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+
+    def labels(matches: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    starts = F.transform(base, lambda m: m["first"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_benchmark_leaks, op3_token_counts, op4_personal_data, op5_token_files, op6_warc_archives,
-    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups, op11_collocations)}
+    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups, op11_collocations, op13_licenses)}
 
 #: DuckDB's SQL for the same rows, where SQL can express them.
 ORACLE_SQL = {
