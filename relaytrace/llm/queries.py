@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaytrace.llm import bpe, collocation, decontaminate, html_text, licenses, pii, quality, secrets, simhash, token_counts, token_store, warc
+from relaytrace.llm import bpe, collocation, decontaminate, hard_negatives, html_text, licenses, pii, quality, secrets, simhash, token_counts, token_store, warc
 from relaytrace.llm.common import joined_spans
 from relaytrace.sources.tables import read_table
 
@@ -76,6 +76,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("matches", lambda m: m["base"])
@@ -92,7 +98,7 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_round_trip, op2_benchmark_leaks, op3_token_counts, op4_personal_data, op5_token_files, op6_warc_archives,
-    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups, op11_collocations, op13_licenses)}
+    op7_secrets, op8_quality_rules, op9_main_text, op10_simhash_groups, op11_collocations, op12_hard_negatives, op13_licenses)}
 
 #: DuckDB's SQL for the same rows, where SQL can express them.
 ORACLE_SQL = {
@@ -134,4 +140,20 @@ ORACLE_SQL = {
         SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
         FROM o QUALIFY rank <= 2000
     """,
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same,
+                          CAST(list_sum(list_transform(list_zip(a.vec, r.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                   FROM v AS a JOIN v AS r ON a.id % 100 = 0 AND a.id <> r.id),
+             p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+    """,
 }
