@@ -10,20 +10,24 @@ share is counted once.
 N-grams are then counted inside the distinct chunks, weighted by the parse
 frequency.  The window is one word shorter than the longest phrase, so every
 phrase lies whole inside the chunk in which it starts ahead of the overlap, and
-is counted there alone.  Phrases grow word by word: a phrase is counted only
-where both of its shorter parts may be frequent, which a bit table of hashes
-tells (it may let a rare phrase through, never lose a frequent one).  The
-counts themselves are of the phrases, not of hashes.  The table has a fixed
-largest size and is the only thing that is broadcast.
+is counted there alone.  Most phrases are rare, so words and then pairs of
+frequent words are first counted by hash; bit tables of the frequent hashes
+(which may let a rare one through, never lose a frequent one) then tell where
+phrases can be frequent.  The counts that are returned are of the phrases
+themselves, not of hashes.  The tables have a fixed largest size and are the
+only thing that is broadcast.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,38 +67,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for r in (_R, _RINV):
+        x = np.full(size, r)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
 class Words:
     """The words of some texts, in order, joined by single spaces in ``buf``.
 
     ``at`` and ``end`` are their places there, ``piece`` and ``text`` the piece
     and the text that they stand in, ``h`` a hash of each word."""
 
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    def __init__(self, texts: pa.Array):
+        joined = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.binary()), pa.scalar(b"\n", pa.binary()))
+        _, offsets, chars = joined.buffers()
+        ends = np.frombuffer(offsets, np.int32)[joined.offset:joined.offset + len(joined) + 1]
+        data = np.frombuffer(chars, np.uint8)[ends[0]:ends[-1]] if len(joined) else np.zeros(0, np.uint8)
+        #: Byte before the end of each text, a space where a chunk goes on.
+        self.tail = data[np.maximum(ends[1:] - ends[0] - 2, 0)]
         kind = _CLASS[data]
         word = kind == 0
-        edge = np.diff(word.view(np.int8), prepend=np.int8(0))
-        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[start]
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        self.text = np.searchsorted(begins, start, side="right") - 1
+        edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
+        start, stop = edge[::2], edge[1::2]
+        size = stop - start
+        breaks = np.flatnonzero(kind == 2)
+        self.piece = np.searchsorted(breaks, start)
+        per_text = np.diff(np.searchsorted(start, ends - ends[0]))
+        self.text = np.repeat(np.arange(len(joined)), per_text)
+        #: Words from each on to its text's end.
+        self.left = np.repeat(np.cumsum(per_text), per_text) - np.arange(len(start))
         word[stop] = True
         clean = _LOWER[data]
         clean[stop] = 0x20
-        clean = clean[word]
-        size = stop - start
+        self.clean = clean[word]
         self.end = np.cumsum(size + 1) - 1
         self.at = self.end - size
-        self.buf = clean.tobytes()
-        if len(clean):
+        if len(start):
             with np.errstate(over="ignore"):
-                up = np.full(len(clean), _R)
-                up[0] = 1
-                up = np.cumprod(up)
-                down = np.full(len(clean), _RINV)
-                down[0] = 1
-                down = np.cumprod(down)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((clean.astype(np.uint64) + np.uint64(1)) * up)])
+                up, down = (x[:len(self.clean)] for x in _powers(1 << (len(self.clean) - 1).bit_length()))
+                total = np.zeros(len(self.clean) + 1, np.uint64)
+                np.cumsum((self.clean + np.uint64(1)) * up, out=total[1:])
                 self.h = _mix((total[self.end] - total[self.at]) * down[self.at] + size.astype(np.uint64))
         else:
             self.h = np.zeros(0, np.uint64)
@@ -102,10 +119,19 @@ class Words:
     def __len__(self) -> int:
         return len(self.at)
 
-    def phrases(self, first: np.ndarray, last: np.ndarray, more: np.ndarray | int = 0) -> list[bytes]:
+    def phrases(self, first: np.ndarray, last: np.ndarray, more: np.ndarray | int = 0) -> pa.Array:
         """The words from ``first`` to ``last``, and the space after them where ``more`` is 1."""
-        buf = self.buf
-        return [buf[a:b] for a, b in zip(self.at[first].tolist(), (self.end[last] + more).tolist(), strict=True)]
+        buf = self.clean.tobytes()
+        return pa.array([buf[a:b] for a, b in zip(self.at[first].tolist(), (self.end[last] + more).tolist(), strict=True)], pa.binary())
+
+    def ids(self) -> tuple[np.ndarray, int]:
+        """Numbers that equal words share, and how many there are."""
+        keep = np.ones(len(self.clean), bool)
+        keep[self.end] = False
+        sizes = np.zeros(len(self) + 1, np.int32)
+        np.cumsum(self.end - self.at, out=sizes[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(sizes), pa.py_buffer(self.clean[keep])]).dictionary_encode()
+        return words.indices.to_numpy().astype(np.int64), len(words.dictionary)
 
 
 def chunk_bounds(w: Words, window: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,29 +153,41 @@ def chunk_bounds(w: Words, window: int, period: int) -> tuple[np.ndarray, np.nda
     return first, nxt + np.where(on, window, 0), on
 
 
-def _blocks(texts: Iterator[tuple], block: int) -> Iterator[list[tuple]]:
-    """Rows whose first column is a text, by ``block`` bytes; a longer text is cut
-    at the first piece end after each ``block`` bytes."""
-    some: list[tuple] = []
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is a text, by about ``block`` bytes; a longer text
+    is cut at the first piece end after each ``block`` bytes."""
+    some: list[pa.RecordBatch] = []
     size = 0
-    for text, *rest in texts:
-        at = 0
-        while len(text) - at > block and (m := _END.search(text, at + block)):
-            yield [(text[at:m.end()], *rest)]
-            at = m.end()
-        some.append((text[at:] if at else text, *rest))
-        size += len(some[-1][0])
-        if size >= block:
-            yield some
+    for batch in batches:
+        batch = batch.set_column(0, "text", batch.column(0).cast(pa.binary()))
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(int(np.searchsorted(total, total[lo] + block - size)), lo + 1)
+            hi = min(hi, batch.num_rows)
+            if hi == lo + 1 and total[hi] - total[lo] > block:
+                yield from _cut(batch.slice(lo, 1), block)
+            else:
+                some.append(batch.slice(lo, hi - lo))
+                size += int(total[hi] - total[lo])
+            if size >= block:
+                yield pa.concat_batches(some)
+                some, size = [], 0
+            lo = hi
+        if some and sum(b.num_rows for b in some) >= 1 << 17:  # many empty texts
+            yield pa.concat_batches(some)
             some, size = [], 0
     if some:
-        yield some
+        yield pa.concat_batches(some)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        cols = [c.cast(pa.binary()).to_pylist() if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns]
-        yield from zip(*cols, strict=True)
+def _cut(row: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+    text, at = row.column(0)[0].as_py(), 0
+    while at < len(text):
+        m = _END.search(text, at + block) if len(text) - at > block else None
+        end = m.end() if m else len(text)
+        yield row.set_column(0, "text", pa.array([text[at:end]], pa.binary()))
+        at = end
 
 
 def parse(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST,
@@ -163,16 +201,15 @@ def parse(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest
     src = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{lang_col}`"), F.lit(_UND)).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(_rows(batches), block):
-            w = Words([t for t, _ in rows])
+        for rows in _blocks(batches, block):
+            w = Words(rows.column(0))
             if not len(w):
                 continue
             first, end, on = chunk_bounds(w, longest - 1, period)
-            langs = pa.array([lang for _, lang in rows], pa.binary()).take(pa.array(w.text[first]))
-            seen = pa.table({"lang": langs, "chunk": pa.array(w.phrases(first, end - 1, on.astype(np.int64)), pa.binary())})
+            seen = pa.table({"lang": rows.column(1).take(pa.array(w.text[first])), "chunk": w.phrases(first, end - 1, on.astype(np.int64))})
             got = seen.group_by(["lang", "chunk"], use_threads=False).aggregate([([], "count_all")])
             for b in got.to_batches(max_chunksize=1 << 16):
-                yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), b.column("chunk").cast(pa.string()), b.column("count_all")], ["lang", "chunk", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("chunk").cast(pa.string()), b.column("count_all")], ["lang", "chunk", "n"])
 
     return src.mapInArrow(run, "lang string, chunk string, n bigint").groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
 
@@ -189,93 +226,117 @@ def _gram_hashes(w: Words, salt: np.ndarray, words: int) -> np.ndarray:
         return _mix(h)
 
 
-def _salts(langs: list[bytes], text: np.ndarray) -> np.ndarray:
-    of = {x: np.uint64(int.from_bytes(x[:7].ljust(7, b"\0"), "big") + len(x)) for x in set(langs)}
-    return _mix(np.array([of[x] for x in langs], np.uint64))[text]
+def _salts(langs: pa.Array, text: np.ndarray) -> np.ndarray:
+    """A number of each word's language."""
+    codes = langs.dictionary_encode()
+    of = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in codes.dictionary.to_pylist()]
+    return np.array(of, np.uint64)[codes.indices.to_numpy()][text]
 
 
-def _ranked(code: np.ndarray, by: int, more: np.ndarray) -> tuple[np.ndarray, int]:
-    """Codes of pairs (code, more), small enough to be paired again."""
-    code = code * by + more
-    if len(code) and int(code.max()) > 1 << 38:
-        _, code = np.unique(code, return_inverse=True)
-    return code, (int(code.max()) + 1 if len(code) else 1)
+def _known(table: tuple[bytes, int], hashes: np.ndarray) -> np.ndarray:
+    raw, size = table
+    bits = np.frombuffer(raw, np.uint8)
+    slot = hashes & np.uint64(size - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_grams(dictionary: DataFrame, words: int, table: tuple[bytes, int] | None, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """``(lang, phrase, n)``: exact counts of the phrases of ``words`` words inside
-    the chunks of ``dictionary``, of those alone whose two parts one word
-    shorter stand in the bit ``table`` (bytes, number of bits)."""
-    spark = dictionary.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(table) if table else None
+def _starting(w: Words, words: int, longest: int) -> np.ndarray:
+    """Whether a phrase of so many words starts at each place of a chunk and is counted there."""
+    on = (w.tail == 0x20)[w.text]
+    return (w.left >= words) & ~(on & (w.left < longest))
+
+
+def count_hashes(dictionary: DataFrame, words: int, table: tuple[bytes, int] | None, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """``(h, n)``: occurrences by hash of the phrases of ``words`` words, of those
+    alone whose words all stand in the bit ``table``."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(table) if table else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None
-        if shared:
-            raw, size = shared.value
-            bits, mask = np.frombuffer(raw, np.uint8), np.uint64(size - 1)
-        for rows in _blocks(_rows(batches), block):
-            w = Words([c for c, _, _ in rows])
-            n = len(w) - words + 1
-            if n <= 0:
-                continue
-            goes_on = np.array([c.endswith(b" ") for c, _, _ in rows])
-            left = np.searchsorted(w.text, w.text, side="right") - np.arange(len(w))  # words to the chunk's end
-            live = (left[:n] >= words) & ~(goes_on[w.text[:n]] & (left[:n] < longest))
-            if bits is not None:
-                slot = _gram_hashes(w, _salts([x for _, x, _ in rows], w.text), words - 1) & mask
-                known = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                live &= known[:n] & known[1:n + 1]
+        for rows in _blocks(batches, block):
+            w = Words(rows.column(0))
+            salt = _salts(rows.column(1), w.text)
+            h = _gram_hashes(w, salt, words)
+            live = _starting(w, words, longest)[:len(h)]
+            if shared:
+                known = _known(shared.value, _gram_hashes(w, salt, 1))
+                for j in range(words):
+                    live &= known[j:len(h) + j]
             at = np.flatnonzero(live)
-            if not len(at):
+            weight = rows.column(2).to_numpy()[w.text[at]]
+            codes = pa.array(h[at].view(np.int64)).dictionary_encode()
+            total = _weighted(codes.indices.to_numpy(), weight, len(codes.dictionary))
+            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(total)], ["h", "n"])
+
+    src = dictionary.select("chunk", "lang", "n")
+    return src.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _weighted(codes: np.ndarray, weight: np.ndarray, many: int) -> np.ndarray:
+    """Exact sums of whole weights by code (bincount's doubles hold 2**53)."""
+    high, low = np.divmod(weight, 1 << 26)
+    out = np.bincount(codes, weights=low, minlength=many).astype(np.int64)
+    return out + (np.bincount(codes, weights=high, minlength=many).astype(np.int64) << 26) if high.any() else out
+
+
+def count_phrases(dictionary: DataFrame, tables: dict[int, tuple[bytes, int]], longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """``(lang, phrase, words, n)``: exact counts of the phrases of 1 to ``longest``
+    words inside the chunks of ``dictionary``, of those alone whose words (one) or
+    pairs of neighbouring words (more) all stand in the bit tables 1 and 2."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        for rows in _blocks(batches, block):
+            w = Words(rows.column(0))
+            if not len(w):
                 continue
-            langs = pa.array([x for _, x, _ in rows], pa.binary()).dictionary_encode()
-            code, by = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.text[at]], len(langs.dictionary)
-            # exact ids of the words, by an array of the words without the spaces
-            spell = np.frombuffer(w.buf, np.uint8)
-            keep = np.ones(len(spell), bool)
-            keep[w.end] = False
-            sizes = np.zeros(len(w) + 1, np.int32)
-            np.cumsum(w.end - w.at, out=sizes[1:])
-            ids = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(sizes), pa.py_buffer(spell[keep])]).dictionary_encode()
-            ids, many = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(ids.dictionary)
-            for j in range(words):
-                code, by = _ranked(code, many, ids[at + j])
-            order = np.argsort(code, kind="stable")
-            sorted_code = code[order]
-            heads = np.flatnonzero(np.append(True, sorted_code[1:] != sorted_code[:-1]))
-            weight = np.array([k for _, _, k in rows], np.int64)[w.text[at]][order]
-            totals = np.add.reduceat(weight, heads)
-            pick = at[order[heads]]
-            out_lang = langs.take(pa.array(w.text[pick])).dictionary_decode().cast(pa.string())
-            out = pa.table({"lang": out_lang, "phrase": pa.array(w.phrases(pick, pick + words - 1), pa.binary()).cast(pa.string()), "n": totals})
-            yield from out.to_batches(max_chunksize=1 << 16)
+            salt = _salts(rows.column(1), w.text)
+            langs = rows.column(1).dictionary_encode()
+            lang, weights = langs.indices.to_numpy().astype(np.int64)[w.text], rows.column(2).to_numpy()[w.text]
+            ids, many = w.ids()
+            pairs = _known(tables[2], _gram_hashes(w, salt, 2)) if 2 in tables else np.zeros(0, bool)
+            live = _known(tables[1], _gram_hashes(w, salt, 1))
+            # numbers of the phrases so far, exact: equal if and only if the phrases are
+            code = lang * many + ids
+            for words in range(1, longest + 1):
+                if words > 1:
+                    n = len(w) - words + 1
+                    if n <= 0 or 2 not in tables:
+                        break
+                    # the phrase without its last word is live as well, so its number is set
+                    live = live[:n] & pairs[words - 2:words - 2 + n]
+                place = np.flatnonzero(live)
+                if not len(place):
+                    break
+                if words > 1:
+                    code[place] = code[place] * many + ids[place + words - 1]
+                found = pa.array(code[place]).dictionary_encode()
+                dense = found.indices.to_numpy()
+                code = np.zeros(len(w), np.int64)
+                code[place] = dense
+                ok = _starting(w, words, longest)[place]
+                total = _weighted(dense[ok], weights[place[ok]], len(found.dictionary))
+                one = np.zeros(len(found.dictionary), np.int64)
+                one[dense] = place  # some place of each
+                pick = one[total > 0]
+                out = pa.table({"lang": langs.dictionary.take(pa.array(lang[pick])), "phrase": w.phrases(pick, pick + words - 1).cast(pa.string()),
+                                "words": np.full(len(pick), words, np.int32), "n": total[total > 0]})
+                yield from out.to_batches(max_chunksize=1 << 16)
 
     src = dictionary.select("chunk", "lang", "n")
-    return src.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    got = src.mapInArrow(run, "lang string, phrase string, words int, n bigint")
+    return got.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
 
 
-def bit_table(frequent: DataFrame, words: int, rows: int, most: int = TABLE_BITS) -> tuple[bytes, int]:
-    """Bit table of the hashes of frequent phrases, about sixteen bits each and
-    never over ``most`` bits, which bounds what reaches the driver."""
+def bit_table(hashes: DataFrame, rows: int, most: int = TABLE_BITS) -> tuple[bytes, int]:
+    """Bit table of hashes (column ``h``), about sixteen bits each and never over
+    ``most`` bits, which bounds what reaches the driver and the tasks."""
     size = 1 << 10
     while size < min(16 * rows, most):
         size *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            langs = b.column(0).cast(pa.binary()).to_pylist()
-            w = Words(b.column(1).cast(pa.binary()).to_pylist())
-            head = np.flatnonzero(np.append(True, w.text[1:] != w.text[:-1]))
-            slot = (_gram_hashes(w, _salts(langs, w.text), words)[head] & np.uint64(size - 1)).astype(np.int64)
-            bit = (np.int64(1) << (slot & 63))
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(bit)], ["at", "bits"])
-
-    found = frequent.select("lang", "phrase").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    got = found.toArrow()
+    slot = F.col("h").bitwiseAND(F.lit(size - 1))
+    found = hashes.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast((h & {size - 1}) & 63 as int))").alias("bit"))
+    got = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(size >> 6, np.int64)
     table[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return table.astype("<i8").tobytes(), size
@@ -296,19 +357,15 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     spaces = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "), F.lit("")))
     starts = F.when(F.endswith("chunk", F.lit(" ")), spaces - (longest - 1)).otherwise(spaces + 1)
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("n") * starts).alias("n"))
-    out, table = [], None
-    for words in range(1, longest + 1):
-        found = written(count_grams(dictionary, words, table, longest, block).where(F.col("n") >= least), f"phrases{words}")
-        out.append(found.withColumn("words", F.lit(words)))
+    tables: dict[int, tuple[bytes, int]] = {}
+    for words in (1, 2):
+        found = written(count_hashes(dictionary, words, tables.get(1), longest, block).where(F.col("n") >= least).select("h"), f"hashes{words}")
         rows = found.count()
+        if rows or words == 1:
+            tables[words] = bit_table(found, rows)
         if not rows:
             break
-        if words < longest:
-            table = bit_table(found, words, rows)
-    frequent = out[0]
-    for x in out[1:]:
-        frequent = frequent.unionByName(x)
-    return frequent, totals
+    return written(count_phrases(dictionary, tables, longest, block).where(F.col("n") >= least), "phrases"), totals
 
 
 def _wide(name: str):

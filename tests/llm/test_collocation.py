@@ -79,11 +79,21 @@ def test_scores_past_64_bits(spark):
     assert num.selectExpr("num div den AS s").first()["s"] == 1000 * a * n // (a * (a + 7))
 
 
-def test_bit_table_keeps_every_phrase(spark):
-    """A table far too small still holds every frequent phrase."""
-    rows = [("en", f"w{i} v{i % 7}") for i in range(500)]
-    raw, size = collocation.bit_table(spark.createDataFrame(rows, "lang string, phrase string"), 2, 500, most=1 << 10)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-    w = collocation.Words([p.encode() for _, p in rows])
-    slot = collocation._gram_hashes(w, collocation._salts([b"en"] * len(rows), w.text), 2)[::2] & np.uint64(size - 1)
-    assert size == 1 << 10 and bits[slot.astype(np.int64)].all()
+def test_bit_table_keeps_every_hash(spark):
+    """A table far too small still holds every hash, negative ones too."""
+    hashes = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 500)
+    table = collocation.bit_table(spark.createDataFrame([(int(h),) for h in hashes], "h bigint"), 500, most=1 << 10)
+    assert table[1] == 1 << 10 and collocation._known(table, hashes.view(np.uint64)).all()
+
+
+def test_weights_past_doubles():
+    w = np.array([2**53 + 1, 5, 2**60 + 3, 7], np.int64)
+    assert collocation._weighted(np.array([0, 1, 0, 1]), w, 2).tolist() == [2**53 + 2**60 + 4, 12]
+
+
+def test_small_tables_change_no_count(spark, monkeypatch):
+    """Bit tables that let nearly everything through leave the result as it is."""
+    rows = mixed(11, 40)
+    df = spark.createDataFrame([(None, t, lang, "n", "c", "p") for t, lang in rows], ROWS)
+    monkeypatch.setattr(collocation.bit_table, "__defaults__", (64,))
+    assert sorted(map(tuple, collocation.collocations(df, least=4).collect())) == sorted(brute(rows, 4))
