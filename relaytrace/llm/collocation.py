@@ -42,7 +42,7 @@ TOP = 2000
 #: One window in so many ends a chunk.
 PERIOD = 8
 #: Bytes of text that a task looks at together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Largest size of the bit table (bits): 8 MB.
 TABLE_BITS = 1 << 26
 #: First stage of the top list deals a language to so many groups.
@@ -67,7 +67,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for r in (_R, _RINV):
@@ -109,9 +109,11 @@ class Words:
         self.at = self.end - size
         if len(start):
             with np.errstate(over="ignore"):
-                up, down = (x[:len(self.clean)] for x in _powers(1 << (len(self.clean) - 1).bit_length()))
+                up, down = (x[:len(self.clean)] for x in _powers(max(BLOCK + (BLOCK >> 1), 1 << (len(self.clean) - 1).bit_length() if len(self.clean) > BLOCK else 0)))
                 total = np.zeros(len(self.clean) + 1, np.uint64)
-                np.cumsum((self.clean + np.uint64(1)) * up, out=total[1:])
+                np.multiply(self.clean, up, out=total[1:])
+                total[1:] += up  # a zero byte counts as well
+                np.cumsum(total, out=total)
                 self.h = _mix((total[self.end] - total[self.at]) * down[self.at] + size.astype(np.uint64))
         else:
             self.h = np.zeros(0, np.uint64)
