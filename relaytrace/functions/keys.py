@@ -167,3 +167,41 @@ def grouped_cumsum(df: DataFrame, group_cols: list[str], order_cols: list, sums:
         out = out.withColumn(k, F.col(f"_l_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0)))
     drop = ["_gpart"] + [f"_{p}_{k}" for k in names for p in ("v", "l", "o")]
     return out.drop(*drop)
+
+
+def grouped_last(df: DataFrame, group_cols: list[str], order_cols: list[str], lasts: dict,
+                 partitions: int | None = None) -> DataFrame:
+    """Last non-null value so far within groups, parallel for hot groups too.
+
+    ``lasts`` maps an output column to a Column; each output is its value in the
+    last row of the group, up to and including the current one in
+    ``order_cols`` order, in which it is not null.  The non-additive sibling of
+    ``grouped_cumsum``: rows are range-partitioned by (group, order), each
+    partition scans its own part of a group, and what the parts end with - one
+    row per partition for any group - is scanned again to give every part the
+    value that the parts before it carry over.  ``order_cols`` should be a total
+    order; equal rows may end on either side of a partition's edge.
+    """
+    spark = df.sparkSession
+    names = list(lasts)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) for c in order_cols]
+    d = df.select("*", *[lasts[k].alias(f"_v_{k}") for k in names])
+    d = d.repartitionByRange(n, *[F.col(c) for c in group_cols], *order).withColumn("_gpart", F.spark_partition_id())
+    wl = (Window.partitionBy("_gpart", *group_cols).orderBy(*order)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    for k in names:
+        d = d.withColumn(f"_l_{k}", F.last(f"_v_{k}", ignorenulls=True).over(wl))
+    # one materialisation for both branches, as in grouped_cumsum
+    from ..session import cut_lineage
+    d = cut_lineage(d.drop(*[f"_v_{k}" for k in names]))
+    ends = d.groupBy("_gpart", *group_cols).agg(*[
+        F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.struct(*order))).alias(f"_e_{k}") for k in names])
+    wo = Window.partitionBy(*group_cols).orderBy("_gpart").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_gpart", *group_cols, *[F.last(f"_e_{k}", ignorenulls=True).over(wo).alias(f"_c_{k}") for k in names])
+    if not group_cols:
+        carry = F.broadcast(carry)  # one row per partition
+    out = d.join(carry, ["_gpart", *group_cols], "left")
+    for k in names:
+        out = out.withColumn(k, F.coalesce(F.col(f"_l_{k}"), F.col(f"_c_{k}")))
+    return out.drop("_gpart", *[f"_{p}_{k}" for k in names for p in ("l", "c")])

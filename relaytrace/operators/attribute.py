@@ -4,53 +4,44 @@ Each call belongs to the most recent announcement at or before it; calls
 before the first announcement get ``unknown``; the last announcement stays
 open.
 
-Distributed form: announcements become half-open intervals
-``[ts, next_ts)`` (next via a distributed global index, not a global
-window; the last one closes just after the latest call), each interval is
-exploded onto the fixed-width time buckets it touches, and calls equi-join
-on their bucket plus the interval test.  Every call matches at most one
-interval; the interval side grows with the announcement count and the
-covered time span only; a hot bucket is split by AQE's skew-join handling,
-and AQE broadcasts the interval side only when its measured size allows.
+Calls and announcements become one time-ordered sequence, in which a call takes
+the last announcement before it: ``grouped_last``, a distributed scan.  The
+sequence is range-partitioned by time, so n rows cost one sort of n rows however
+many calls and announcements fall into one minute; no pair of a call and an
+announcement is ever formed.  Calls of one instant may span partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import global_row_index
+from ..functions.keys import grouped_last
 
 # ---- fixed values ----------------------------------------------------------------
 UNKNOWN_RUN = "unknown"  # attribution of calls before any announcement
 # ----------------------------------------------------------------------------------
 
 
-def _bucket(ts: Column, seconds: int) -> Column:
-    """Time bucket of a TIMESTAMP or TIMESTAMP_NTZ; only needs to agree on both
-    join sides (the interval test below compares the native values)."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000 * seconds)).cast("bigint")
-
-
 def asof_attribute(calls: DataFrame, announcements: DataFrame, call_ts: str = "ts",
                    ann_ts: str = "ts", ann_id: str = "instance_id", ann_tiebreak: str | None = None,
-                   bucket_seconds: int = 3600, out_col: str = "instance_id") -> DataFrame:
-    extra = [ann_tiebreak] if ann_tiebreak else []
-    order = [F.col(ann_ts)] + [F.col(x) for x in extra]
-    ann = global_row_index(announcements.select(ann_ts, ann_id, *extra), order, "_i")
-    nxt = ann.select((F.col("_i") - 1).alias("_i"), F.col(ann_ts).alias("_next"))
-    # one-row scalar: the latest call closes the open last interval.  Values keep
-    # their own type (no time-zone cast), so ordering is exact for NTZ inputs too.
-    bound = calls.agg((F.max(F.col(call_ts)) + F.expr("INTERVAL 1 SECOND")).alias("_bound"))
-    iv = (ann.join(nxt, "_i", "left").crossJoin(F.broadcast(bound))
-          .select(F.col(ann_ts).alias("_start"),
-                  F.coalesce(F.col("_next"), F.greatest(F.col("_bound"), F.col(ann_ts))).alias("_end"),
-                  F.col(ann_id).cast("string").alias("_run")))
-    iv = iv.where(F.col("_end") > F.col("_start")).withColumn(
-        "_b", F.explode(F.sequence(_bucket(F.col("_start"), bucket_seconds),
-                                   _bucket(F.col("_end"), bucket_seconds))))
-    c = calls.withColumn("_cb", _bucket(F.col(call_ts), bucket_seconds)).withColumn("_cts", F.col(call_ts))
-    cond = (c["_cb"] == iv["_b"]) & (c["_cts"] >= iv["_start"]) & (c["_cts"] < iv["_end"])
-    j = c.join(iv, cond, "left")
-    return (j.select(*[c[x] for x in calls.columns],
-                     F.coalesce(iv["_run"], F.lit(UNKNOWN_RUN)).alias(out_col)))
+                   out_col: str = "instance_id", partitions: int | None = None) -> DataFrame:
+    """``calls`` with ``out_col``, the id of the last announcement at or before each.
+
+    Of announcements at one instant the last by ``ann_tiebreak`` (else by id)
+    counts.  A call without a time is ``unknown``; an announcement without a time
+    or id is none.  Both time columns need the same type."""
+    tie = F.col(ann_tiebreak) if ann_tiebreak else F.col(ann_id).cast("string")
+    tie_type = announcements.select(tie.alias("t")).schema["t"].dataType
+    call_type = calls.schema
+    seq_calls = calls.select(
+        F.col(call_ts).alias("_ts"), F.lit(1).alias("_kind"), F.lit(None).cast(tie_type).alias("_tie"),
+        F.monotonically_increasing_id().alias("_spread"), F.lit(None).cast("string").alias("_run"),
+        F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("_call"))
+    seq_ann = announcements.where(F.col(ann_ts).isNotNull() & F.col(ann_id).isNotNull()).select(
+        F.col(ann_ts).alias("_ts"), F.lit(0).alias("_kind"), tie.alias("_tie"), F.lit(0).cast("bigint").alias("_spread"),
+        F.col(ann_id).cast("string").alias("_run"), F.lit(None).cast(call_type).alias("_call"))
+    # an announcement comes before the calls of its own instant
+    seq = grouped_last(seq_calls.unionByName(seq_ann), [], ["_ts", "_kind", "_tie", "_spread"], {"_last": F.col("_run")}, partitions)
+    seq = seq.where(F.col("_kind") == 1)
+    return seq.select("_call.*", F.coalesce(F.when(F.col("_ts").isNotNull(), F.col("_last")), F.lit(UNKNOWN_RUN)).alias(out_col))

@@ -15,7 +15,11 @@ arrays: a kept call is one row, so conversion needs no shuffle.
 * J4   the k-th result-bearing user message follows the call order of the
   k-th tool-using assistant message (results missing from that batch are
   dropped); after the batches run out, results keep arrival order; for a
-  repeated result id the last value sits at the first position;
+  repeated result id the last value sits at the first position.  With
+  ``match='id'`` no result is dropped: a message's results follow the order in
+  which their ids were last called, then come those of ids never called, as
+  they arrived.  ``dropped_results`` counts, in either mode, the results that
+  the positional pairing does not find in its batch;
 * P5   any history assistant message with more than one thinking block
   drops the row (``multi_thinking``); P4 counts assistant messages
   including the final response (``few_turns``).
@@ -134,8 +138,9 @@ def overlaid_meta(meta: Column) -> Column:
 _STEPS_CACHE: dict = {}
 
 
-def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS) -> DataFrame:
+def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS, match: str = "position") -> DataFrame:
     """Kept calls -> one converted row each, with ``reason`` set on rejects.
+    ``match`` says how tool results meet their calls: by 'position' or by 'id'.
 
     Input columns: ``request``, ``response`` (variant), ``session_id``,
     ``biz_id``, ``model``, ``max_tokens``, ``gen_map``
@@ -145,9 +150,11 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     The column expressions only name input columns, so they are built once
     per SparkContext (thousands of driver-JVM calls) and reused.
     """
-    key = (id(calls.sparkSession.sparkContext), min_assistant_turns)
+    if match not in ("position", "id"):
+        raise ValueError(f"match is 'position' or 'id', not {match!r}")
+    key = (id(calls.sparkSession.sparkContext), min_assistant_turns, match)
     if key not in _STEPS_CACHE:
-        _STEPS_CACHE[key] = _conversion_steps(min_assistant_turns)
+        _STEPS_CACHE[key] = _conversion_steps(min_assistant_turns, match)
     steps, final = _STEPS_CACHE[key]
     df = calls
     for name, col in steps:
@@ -155,7 +162,7 @@ def convert_all(calls: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     return df.select(*final)
 
 
-def _conversion_steps(min_assistant_turns: int):
+def _conversion_steps(min_assistant_turns: int, match: str = "position"):
     steps: list = []
     req, resp = F.col("request"), F.col("response")
     msgs0 = F.coalesce(vget(req, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
@@ -213,6 +220,8 @@ def _conversion_steps(min_assistant_turns: int):
     # Call batches of tool-using assistant messages, in order
     batches = F.filter(F.transform("_uses", lambda a: F.transform(a, lambda u: u["id"])), lambda a: F.size(a) > 0)
     steps += [("_pairs", pairs), ("_batches", batches)]
+    if match == "id":
+        steps.append(("_called", F.transform("_pairs", lambda p: p["id"])))
     steps.append(("_results", F.transform("_m", lambda m: F.when(
         user(m) & (m["ck"] == "ARRAY"),
         F.transform(F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TOOL_RESULT),
@@ -242,14 +251,38 @@ def _conversion_steps(min_assistant_turns: int):
                         (calls if calls is not None else
                          F.lit(None).cast("array<struct<name:string,arguments:variant>>")).alias("tool_calls"))
 
+    # number of result-bearing messages before each message: a running count
+    steps.append(("_k", F.transform("_rb", lambda x, i: F.when(x, F.size(F.filter(F.slice(F.col("_rb"), 1, i), lambda y: y))).otherwise(F.lit(0)))))
+
+    def arrived(results: Column) -> Column:
+        return F.array_distinct(F.transform(results, lambda r: r["id"]))
+
+    def unpaired(m) -> Column:
+        """Results that are not in the batch of their message's ordinal."""
+        i = m["idx"]
+        k = F.element_at(F.col("_k"), i + 1)
+        batch = F.element_at(F.col("_batches"), k + 1)
+        ids = arrived(F.element_at(F.col("_results"), i + 1))
+        return F.when(F.element_at(F.col("_rb"), i + 1) & (k < F.size("_batches")), F.size(F.array_except(ids, batch))).otherwise(F.lit(0))
+
+    def last_call(t: Column) -> Column:
+        """Place of the last call of an id; NULL if there was none."""
+        at = F.array_position(F.reverse("_called"), t)
+        return F.when(at > 0, F.size("_called") - at)
+
     def out_for(m):
         i = m["idx"]
         results = F.element_at(F.col("_results"), i + 1)
-        k = F.size(F.filter(F.slice(F.col("_rb"), 1, i), lambda x: x))
-        ids_in_order = F.when(k < F.size("_batches"),
-                              F.filter(F.element_at(F.col("_batches"), k + 1),
-                                       lambda t: F.exists(results, lambda r: r["id"] == t))) \
-            .otherwise(F.array_distinct(F.transform(results, lambda r: r["id"])))
+        if match == "id":
+            placed = F.transform(arrived(results), lambda t, j: F.struct(
+                F.coalesce(last_call(t), F.size("_called") + j).cast("bigint").alias("at"), t.alias("id")))
+            ids_in_order = F.transform(F.array_sort(placed), lambda x: x["id"])
+        else:
+            k = F.element_at(F.col("_k"), i + 1)
+            ids_in_order = F.when(k < F.size("_batches"),
+                                  F.filter(F.element_at(F.col("_batches"), k + 1),
+                                           lambda t: F.exists(results, lambda r: r["id"] == t))) \
+                .otherwise(arrived(results))
         tool_msgs = F.transform(ids_in_order, lambda t: tool_msg(t, results))
         utext = F.array_join(F.transform(F.filter(m["blocks"], lambda b: b["t"] == BLOCK_TEXT),
                                          lambda b: _str_or(b["v"], "$.text")), "")
@@ -280,6 +313,7 @@ def _conversion_steps(min_assistant_turns: int):
                              _last_field(rblocks, BLOCK_THINKING, "thinking"), _tool_calls(rblocks)))
     messages = F.concat(sys_msg, F.flatten(F.transform("_m", out_for)), final)
     steps.append(("messages", messages))
+    steps.append(("dropped_results", F.aggregate(F.transform("_m", unpaired), F.lit(0).cast("bigint"), lambda a, x: a + x)))
     steps.append(("n_assistant", F.size(F.filter("messages", lambda m: m["role"] == ROLE_ASSISTANT))))
     steps.append(("_reason", F.coalesce(F.col("_reason"), F.when(
         F.col("n_assistant") < min_assistant_turns, F.lit("few_turns")))))
@@ -287,7 +321,7 @@ def _conversion_steps(min_assistant_turns: int):
     meta = F.struct(F.col("session_id"), F.col("biz_id"), F.col("model"), F.col("max_tokens"),
                     F.coalesce(vget(req, "$.metadata"), F.parse_json(F.lit("{}"))).alias("extra"))
     final = [meta.alias("meta"), convert_tools(vget(req, "$.tools", "array<variant>")).alias("tools"),
-             "messages", "n_assistant", "session_id", "call_order", F.col("_reason").alias("reason"),
+             "messages", "n_assistant", "session_id", "call_order", "dropped_results", F.col("_reason").alias("reason"),
              "src_file", "src_ord", F.when(F.col("_reason").isNotNull(), F.col("value")).alias("raw")]
     return steps, final
 
@@ -295,7 +329,7 @@ def _conversion_steps(min_assistant_turns: int):
 def split_converted(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trajectories, rejects) from ``convert_all`` output (best read from a written table)."""
     out = conv.where(F.col("reason").isNull()).select("meta", "tools", "messages", "n_assistant", "session_id",
-                                                      "call_order")
+                                                      "call_order", "dropped_results")
     rejects = conv.where(F.col("reason").isNotNull()).select(
         "src_file", "src_ord", F.lit("convert").alias("stage"), "reason", "raw")
     return out, rejects

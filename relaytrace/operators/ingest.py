@@ -58,14 +58,34 @@ def response_blocks(choices: Column) -> Column:
     return F.concat(think_blocks, text_block, F.transform(calls, tool_use))
 
 
+def provider_events_of(lines: DataFrame) -> DataFrame:
+    """JSON lines (``value`` and any other columns) -> typed provider events.
+
+    ``reason`` tells what is wrong with a line: ``bad_json`` (no object) or
+    ``bad_event`` (no time, or ``success`` no boolean); it is NULL on events."""
+    v = F.col("_v")
+    ts = F.try_to_timestamp(vget(v, "$.ts", "string"))
+    df = lines.withColumn("_v", F.try_parse_json("value"))
+    is_object = F.regexp_extract("value", r"^\s*(\S)", 1) == "{"
+    success = vget(v, "$.success")
+    bad_flag = success.isNotNull() & ~F.is_variant_null(success) & vget(success, "$", "boolean").isNull()
+    reason = F.when(v.isNull() | ~is_object, "bad_json").when(ts.isNull() | bad_flag, "bad_event")
+    return df.select(
+        *lines.columns, ts.alias("ts"), vget(success, "$", "boolean").alias("success"), vget(v, "$.model", "string").alias("model"),
+        vget(v, "$.max_tokens", "bigint").alias("max_tokens"), *[vget(v, f"$.{c}").alias(c) for c in
+                                                                  ("optional_params", "system", "messages", "tools", "choices")],
+        reason.alias("reason"))
+
+
 def normalize_provider_events(events: DataFrame, announcements: DataFrame | None = None,
                               excluded_models: Iterable[str] = DEFAULT_EXCLUDED_MODELS,
-                              extra_cols: dict[str, Column] | None = None) -> DataFrame:
+                              extra_cols: dict[str, Column] | None = None, keep: Iterable[str] = ()) -> DataFrame:
     """P2 + P1 + P6-P9 (+ J7, E1): provider events -> raw call rows with a ``value`` line.
 
     ``announcements``: ``ts, instance_id`` of run starts; without them every
     call is attributed to ``unknown``.  ``extra_cols`` adds fields to the
-    record (the reference's subclass hook).
+    record (the reference's subclass hook); ``keep`` names columns of the events
+    that stay beside it.
     """
     ev = events.where(F.coalesce(F.col("success"), F.lit(False)))
     ev = ev.where(model_allowed(_truthy_str(F.col("model")), excluded_models))
@@ -93,7 +113,7 @@ def normalize_provider_events(events: DataFrame, announcements: DataFrame | None
     return ev.select(
         F.col("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("request_time"),
         F.to_json(rec).alias("value"),
-        F.transform(content, lambda b: vget(b, "$.type", "string")).alias("content_types"))
+        F.transform(content, lambda b: vget(b, "$.type", "string")).alias("content_types"), *keep)
 
 
 def _variant_truthy(v: Column) -> Column:

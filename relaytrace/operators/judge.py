@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences
@@ -23,17 +23,27 @@ Scorer = Callable[[list[str]], list[str]]
 
 def call_judge(prompts: DataFrame, scorer: Scorer, id_col: str = "instance_id",
                prompt_col: str = "prompt", partitions: int | None = None,
-               persist: bool = True) -> DataFrame:
+               persist: bool = True, store: str | None = None, run_id: str = "") -> DataFrame:
     """``id, prompt`` -> ``id, response, judge_error``.
 
     ``partitions`` bounds how many judge calls run at once.  The scorer gets
     one prompt a call, so an error fails only its own case (``judge_error``
     set, response NULL); no answer (None) is an error as well.
+
+    ``store`` is a folder of answers by (id, md5 of the prompt).  Prompts that
+    have one are not judged; new answers are added with ``run_id``, errors are
+    not, so a later run asks again.  A prompt that changed has another md5.
     """
-    ship_package(prompts.sparkSession)
-    src = prompts.select(F.col(id_col).cast("string").alias(id_col), prompt_col)
+    spark = prompts.sparkSession
+    ship_package(spark)
+    src = prompts.select(F.col(id_col).cast("string").alias(id_col), prompt_col, F.md5(prompt_col).alias("prompt_md5"))
+    todo, known = src, None
+    if store:
+        known = read_responses(spark, store, id_col).join(src.select(id_col, "prompt_md5").distinct(), [id_col, "prompt_md5"], "left_semi")
+        known = cut_lineage(known)  # what was known before this run adds to the store
+        todo = src.join(known, [id_col, "prompt_md5"], "left_anti").dropDuplicates([id_col, "prompt_md5"])
     if partitions:
-        src = src.repartition(partitions, id_col)
+        todo = todo.repartition(partitions, id_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -48,10 +58,35 @@ def call_judge(prompts: DataFrame, scorer: Scorer, id_col: str = "instance_id",
                 except Exception as e:  # noqa: BLE001 - a judge failure is data
                     out.append(None)
                     err.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({id_col: pdf[id_col].tolist(), "response": out, "judge_error": err}, dtype="object")
-
-    res = src.mapInPandas(run, f"{id_col} string, response string, judge_error string")
-    return cut_lineage(res) if persist else res
+            yield pd.DataFrame({id_col: pdf[id_col].tolist(), "prompt_md5": pdf["prompt_md5"].tolist(), "response": out, "judge_error": err}, dtype="object")
+
+    res = todo.mapInPandas(run, f"{id_col} string, prompt_md5 string, response string, judge_error string")
+    if persist or store:
+        res = cut_lineage(res)
+    if known is None:
+        return res.drop("prompt_md5")
+    (res.where(F.col("judge_error").isNull()).select(id_col, "prompt_md5", "response", F.lit(run_id).alias("run_id"))
+     .write.mode("append").parquet(store))
+    both = res.unionByName(known.select(id_col, "prompt_md5", "response", F.lit(None).cast("string").alias("judge_error")))
+    return both.drop("prompt_md5")
+
+
+def read_responses(spark: SparkSession, store: str, id_col: str = "instance_id") -> DataFrame:
+    """Answers of a response store, one a prompt: ``id, prompt_md5, response, run_id``."""
+    schema = f"{id_col} string, prompt_md5 string, response string, run_id string"
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    # two runs at once may both have judged a prompt
+    rows = spark.read.schema(schema).parquet(store).groupBy(id_col, "prompt_md5").agg(F.min(F.struct("run_id", "response")).alias("_a"))
+    return rows.select(id_col, "prompt_md5", "_a.response", "_a.run_id")
+
+
+def verdicts(responses: DataFrame, id_col: str = "instance_id", text_col: str = "response") -> DataFrame:
+    """``id, eval_result``: the parsed verdict, or what was answered instead."""
+    parsed = F.try_parse_json(strip_fences(F.col(text_col)))
+    other = F.to_variant_object(F.struct(F.lit("verdict is no JSON").alias("error"), F.col(text_col).alias("raw_response")))
+    return responses.select(id_col, F.coalesce(parsed, other).alias("eval_result"))
 
 
 def parse_verdicts(responses: DataFrame, id_col: str = "instance_id",

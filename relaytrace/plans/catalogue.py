@@ -37,7 +37,7 @@ from ..plans.merge import merge_lines
 from ..plans.score import score_job
 from ..session import scratch_path
 from ..sources.conversations import conversation_raw_log
-from ..streaming.jobs import attribute_stream, incremental_merge as incremental_merge_job
+from ..streaming.jobs import attribute_stream, incremental_merge as incremental_merge_job, read_merged
 from ..streaming.jobs import ingest_stream, stream_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,7 +690,7 @@ def incremental_merge_q(spark, sf_dir):
         if i >= 1:  # first run sees a+b, the late folder c triggers a second run
             q = incremental_merge_job(spark, stream_lines(spark, f"{src}/*"), state, out, ck)
             q.awaitTermination()
-    return _traj_summary(spark.read.parquet(out))
+    return _traj_summary(read_merged(spark, out))
 
 
 @query("stream_attribution", """

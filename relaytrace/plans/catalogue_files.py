@@ -15,9 +15,11 @@ from ..session import scratch_path
 from ..sources.calls import encode_calls, parse_calls, read_cases, read_lines, read_trajectories
 from ..sources.conversations import conversation_raw_log
 from ..sources.tables import read_table
-from .catalogue import _PIPE_SQL, _trunc_sql, query
-from .merge import merge_calls, write_trajectories
-from .score import main_trajectories
+from ..streaming.jobs import attribute_streams, incremental_merge, read_attributed, read_merge_rejects, read_merged, stream_lines
+from ..operators.judge import call_judge
+from .catalogue import _CHECKLIST_SPARK, _EVENTS_SCHEMA, _JUDGE_SQL, _PIPE_SQL, _TOOL_ORDER_SQL, _TS_FMT, ORACLE_SQL, _trunc_sql, query, tool_batch_log
+from .merge import materialize, merge_calls, merge_lines, write_chunks, write_trajectories
+from .score import build_prompts, main_trajectories
 
 
 # ---- P19: messages with string and list content ---------------------------------
@@ -106,7 +108,7 @@ _ODD = {4: '{"role":"assistant","content":"plain"}',
         7: "1", 9: '{"role":"assistant","content":["x"]}'}
 
 
-@query("reject_reasons", """
+_REASONS_SQL = """
 SELECT stage, reason, CAST(count(*) AS BIGINT) AS n_rows FROM (
   SELECT CASE event_id % 10 WHEN 2 THEN 'parse' WHEN 3 THEN 'parse' WHEN 7 THEN 'context' WHEN 0 THEN 'merged'
                             WHEN 1 THEN 'merged' ELSE 'convert' END AS stage,
@@ -114,9 +116,10 @@ SELECT stage, reason, CAST(count(*) AS BIGINT) AS n_rows FROM (
               WHEN 5 THEN 'multi_thinking' WHEN 6 THEN 'few_turns' WHEN 7 THEN 'bad_context: element is not an object'
               WHEN 9 THEN 'bad_block' ELSE '' END AS reason
   FROM events WHERE event_id % 10 <> 8) GROUP BY 1, 2
-""")
-def reject_reasons(spark, sf_dir):
-    """Every reject reason; calls of excluded models (8) leave no row."""
+"""
+
+
+def _odd_calls(spark, sf_dir):
     n, i = F.col("event_id") % 10, F.col("event_id").cast("string")
     odd = F.lit("")
     for k, message in _ODD.items():
@@ -127,12 +130,33 @@ def reject_reasons(spark, sf_dir):
     quoted = lambda c: F.when(n == 1, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(c)
     value = F.concat(F.lit('{"session_id":"s'), i, F.lit('","request_time":'), i, F.lit(',"request_body":'), quoted(request),
                      F.when(n == 3, "").otherwise(F.concat(F.lit(',"response_body":'), quoted(response))), F.when(n == 2, "").otherwise("}"))
+    return read_table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+def _reasons(trajectories, rejects):
+    done = trajectories.select(F.lit("merged").alias("stage"), F.lit("").alias("reason"))
+    return rejects.select("stage", "reason").unionByName(done).groupBy("stage", "reason").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("reject_reasons", _REASONS_SQL)
+def reject_reasons(spark, sf_dir):
+    """Every reject reason; calls of excluded models (8) leave no row."""
     out = scratch_path(spark, "odd-calls")
-    read_table(spark, sf_dir, "events").select(value.alias("value")).write.text(out)
+    _odd_calls(spark, sf_dir).select("value").write.text(out)
     res = merge_calls(spark, out)
-    done = res.trajectories.select(F.lit("merged").alias("stage"), F.lit("").alias("reason"))
-    return res.rejects.select("stage", "reason").unionByName(done).groupBy("stage", "reason").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return _reasons(res.trajectories, res.rejects)
+
+
+@query("stream_rejects", _REASONS_SQL)
+def stream_rejects(spark, sf_dir):
+    """X2 with rejects: the same lines arrive in two batches; rows and rejects of
+    an epoch are committed together."""
+    src, state, out, ck = (scratch_path(spark, f"odd-{x}") for x in ("in", "state", "out", "ck"))
+    lines = _odd_calls(spark, sf_dir)
+    for name, part in (("a", F.col("event_id") % 3 != 1), ("b", F.col("event_id") % 3 == 1)):
+        lines.where(part).select("value").write.text(f"{src}/{name}")
+        incremental_merge(spark, stream_lines(spark, f"{src}/*"), state, out, ck).awaitTermination()
+    return _reasons(read_merged(spark, out), read_merge_rejects(spark, out))
 
 
 # ---- P2, P6-P9, P24, E1: provider events to raw calls ---------------------------------
@@ -204,3 +228,116 @@ def single_case(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").withColumn("instance_id", F.col("user_id").cast("string"))
     first = ev.where("event_type = 'error'").agg(F.min("user_id")).first()[0]
     return only_case(ev, None if first is None else str(first)).select(F.col("event_id").cast("bigint"), "event_type")
+
+
+# ---- X3: both sides arrive as streams, announcements late --------------------------
+@query("late_announcements", ORACLE_SQL["stream_attribution"])
+def late_announcements(spark, sf_dir):
+    """Every third run is announced only after all calls have been attributed."""
+    ev = read_table(spark, sf_dir, "events")
+    is_call = F.col("event_type") != "signup"
+    late = F.col("user_id") % 3 == 0
+    src, out, ck = (scratch_path(spark, f"late-{x}") for x in ("in", "out", "ck"))
+    arrivals = [is_call & (F.col("event_id") % 2 == 0) | ~is_call & (F.col("user_id") % 3 == 1),
+                is_call & (F.col("event_id") % 2 == 1) | ~is_call & (F.col("user_id") % 3 == 2), ~is_call & late]
+    stream = spark.readStream.schema(_EVENTS_SCHEMA).option("timestampNTZFormat", _TS_FMT).json(f"{src}/*")
+    calls = stream.where(is_call).select("event_id", "ts")
+    runs = stream.where(~is_call).select("ts", F.col("user_id").alias("instance_id"), F.col("event_id").alias("announced"))
+    for i, some in enumerate(arrivals):
+        ev.where(some).write.option("timestampNTZFormat", _TS_FMT).json(f"{src}/{i}")
+        attribute_streams(calls, runs, out, ck, ["event_id"], ann_tiebreak="announced").awaitTermination()
+    return read_attributed(spark, out, ["event_id"]).select(F.col("event_id").cast("bigint"), "instance_id")
+
+
+# ---- J4 by id, and what the positional pairing loses --------------------------------
+_BY_ID_SQL = _TOOL_ORDER_SQL[:_TOOL_ORDER_SQL.index("emit AS (")] + """
+called AS (SELECT sid, tid, max(msg * 10 + pos) AS last FROM uses GROUP BY sid, tid),
+lost AS (SELECT p.sid, count(*) AS n FROM paired p JOIN dict d ON d.sid = p.sid AND d.msg = p.msg
+         WHERE p.amsg IS NOT NULL AND NOT EXISTS (SELECT 1 FROM uses u WHERE u.sid = p.sid AND u.msg = p.amsg AND u.tid = d.tid)
+         GROUP BY p.sid)
+SELECT d.sid AS session_id, CAST(count(*) AS BIGINT) AS n_tool_msgs,
+       string_agg(coalesce(n.name, d.tid) || ':' || d.content, ',' ORDER BY d.msg, coalesce(c.last, 1000 + d.fpos)) AS tool_seq,
+       CAST(coalesce(max(l.n), 0) AS BIGINT) AS n_dropped
+FROM dict d LEFT JOIN names n ON n.sid = d.sid AND n.tid = d.tid
+  LEFT JOIN called c ON c.sid = d.sid AND c.tid = d.tid LEFT JOIN lost l ON l.sid = d.sid GROUP BY d.sid
+"""
+
+
+@query("tool_results_by_id", _BY_ID_SQL)
+def tool_results_by_id(spark, sf_dir):
+    """Results matched by id: none is lost; ``n_dropped`` counts those that the
+    positional pairing of the same rows would lose."""
+    traj = merge_lines(tool_batch_log(read_table(spark, sf_dir, "events")), match="id").trajectories
+    tools = traj.select("session_id", "dropped_results", F.filter("messages", lambda m: m["role"] == "tool").alias("t"))
+    seq = F.transform("t", lambda m: F.concat(m["tool_name"], F.lit(":"), F.try_variant_get(m["content"], "$", "string")))
+    return tools.where(F.size("t") > 0).select("session_id", F.size("t").cast("bigint").alias("n_tool_msgs"),
+                                               F.array_join(seq, ",").alias("tool_seq"), F.col("dropped_results").alias("n_dropped"))
+
+
+# ---- S9, W6, W7: files of exactly so many rows, in output order ------------------------
+_CHUNK = 20
+
+
+@query("chunk_files", f"""
+WITH t AS ({_PIPE_SQL}),
+o AS (SELECT session_id, row_number() OVER (ORDER BY CAST(('0x' || md5(session_id))::UHUGEINT % 100 AS INTEGER), session_id) - 1 AS i FROM t),
+c AS (SELECT session_id, i, i // {_CHUNK} AS k, (SELECT count(*) FROM o) > {_CHUNK} AS many FROM o)
+SELECT CASE WHEN many THEN 'trajectories_part' || lpad(CAST(k + 1 AS VARCHAR), CAST(greatest(3, len(CAST(k + 1 AS VARCHAR))) AS INTEGER), '0') || '.jsonl' ELSE 'trajectories.jsonl' END AS file_name,
+       CAST(count(*) AS BIGINT) AS n_rows, arg_min(session_id, i) AS first_session, arg_max(session_id, i) AS last_session,
+       md5(string_agg(session_id, ',' ORDER BY i)) AS sessions_md5
+FROM c GROUP BY 1
+""")
+def chunk_files(spark, sf_dir):
+    out = scratch_path(spark, "chunk-files")
+    write_chunks(merge_lines(conversation_raw_log(read_table(spark, sf_dir, "conversations"))).trajectories, out, chunk_size=_CHUNK)
+    rows = spark.read.text(out).select(F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("i"),
+                                       F.get_json_object("value", "$.meta.session_id").alias("s"))
+    per = rows.groupBy("file_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.min_by("s", "i").alias("first_session"),
+                                        F.max_by("s", "i").alias("last_session"), F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"))
+    return per.select("file_name", "n_rows", "first_session", "last_session",
+                      F.md5(F.array_join(F.transform("a", lambda x: x["s"]), ",")).alias("sessions_md5"))
+
+
+# ---- W2 in the scope of a file -------------------------------------------------------
+@query("file_scope", """
+WITH c AS (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, n, conv_id % 7 AS file, 's' || CAST(conv_id // 3 AS VARCHAR) AS session, conv_id % 3 = 0 AND conv_id % 7 <> 5 AS tools FROM c),
+best AS (SELECT file, conv_id, n FROM r QUALIFY row_number() OVER (PARTITION BY file
+           ORDER BY tools DESC, CASE WHEN tools THEN n ELSE 0 END DESC, CASE WHEN tools THEN conv_id ELSE -conv_id END) = 1),
+f AS (SELECT session, arg_min(file, conv_id) AS file FROM r GROUP BY session)
+SELECT f.session AS session_id, CAST(best.conv_id AS BIGINT) AS main_conv, CAST(best.n AS BIGINT) AS n_messages FROM f JOIN best ON best.file = f.file
+""")
+def file_scope(spark, sf_dir):
+    """Every session scored on the main row of the file it first occurs in."""
+    c = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
+    with_tools = (F.col("conv_id") % 3 == 0) & (F.col("conv_id") % 7 != 5)
+    rows = c.select(F.concat(F.lit("s"), F.floor(F.col("conv_id") / 3).cast("string")).alias("session_id"),
+                    (F.col("conv_id") % 7).alias("src_file"), F.col("conv_id").alias("file_order"),
+                    F.when(with_tools, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")).alias("tools"),
+                    F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda _: F.col("conv_id")).alias("messages"))
+    main = main_trajectories(rows, scope="file")
+    return main.select("session_id", F.element_at("messages", 1).cast("bigint").alias("main_conv"), F.size("messages").cast("bigint").alias("n_messages"))
+
+
+# ---- E2: answers are kept, a second run asks only for what is new ----------------------
+@query("judge_store", _JUDGE_SQL + """
+SELECT CAST(item_id AS VARCHAR) AS instance_id, CASE WHEN item_id % 2 = 0 THEN 'first' ELSE 'second' END AS run_id, na AS n_turns
+FROM m WHERE NOT no_checklist
+""")
+def judge_store(spark, sf_dir):
+    """The first run judges the even cases, the second all: each answer is of the
+    run that asked for it, and no prompt was asked for twice."""
+    traj = materialize(merge_lines(conversation_raw_log(read_table(spark, sf_dir, "conversations"))).trajectories, "judge-store-traj")
+    main = main_trajectories(traj, "call_order")
+    cases = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("instance_id"), F.expr(_CHECKLIST_SPARK).alias("checklist"))
+    store = scratch_path(spark, "responses")
+    prompts, _, _ = build_prompts(cases, main)
+    for run, some in (("first", prompts.where(F.col("instance_id").cast("bigint") % 2 == 0)), ("second", prompts)):
+        call_judge(some, count_turns, store=store, run_id=run)
+    kept = spark.read.parquet(store)  # every answer ever added
+    return kept.select("instance_id", "run_id", F.col("response").cast("bigint").alias("n_turns"))
+
+
+def count_turns(prompts: list[str]) -> list[str]:
+    """A judge that answers with the number of assistant turns it was shown."""
+    return [str(p.count('"assistant_turn_index":')) for p in prompts]

@@ -92,14 +92,14 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple
 
 def merge_calls(spark: SparkSession, path: str, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True) -> MergeResult:
+                exact: bool = True, persist: bool = True, match: str = "position") -> MergeResult:
     """S1 scan of every file under ``path`` followed by ``merge_lines``."""
-    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist)
+    return merge_lines(read_lines(spark, path), min_assistant_turns, excluded_models, model_path, exact, persist, match)
 
 
 def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
-                exact: bool = True, persist: bool = True) -> MergeResult:
+                exact: bool = True, persist: bool = True, match: str = "position") -> MergeResult:
     """Merge already-read lines (``value, src_file, src_block, src_ord``)."""
     calls, rejects = prepare_calls(lines, excluded_models, model_path, persist)
     keys = calls.select("session_id", "call_order", "ctx_dkey", "ctx_gkey", "n_system", "roles", "dkeys",
@@ -123,7 +123,7 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
         lambda t: F.struct((t["pos"] - F.col("n_system")).cast("int").alias("k"),
                            F.struct(t["generation"].alias("generation"),
                                     F.when(t["generation"], t["sub"]).alias("sub")).alias("v")))))
-    converted = convert_all(rows, min_assistant_turns)
+    converted = convert_all(rows, min_assistant_turns, match)
     if persist:
         # written once: both outputs split from it, and the optimizer cannot
         # push the reject filter into (and so duplicate) the conversion
@@ -132,6 +132,48 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     return MergeResult(traj, rejects.unionByName(rej3), calls, kept_keys)
 
 
+def write_chunks(traj: DataFrame, out: str, chunk_size: int = 10000, num_buckets: int = 100, stem: str = "trajectories") -> list[str]:
+    """S9/W6/W7 exactly: JSONL files of ``chunk_size`` rows (the last may have
+    fewer) in output order, ``<stem>_partNNN.jsonl`` from 001, or one
+    ``<stem>.jsonl`` where one suffices.  Returns the names, in order.
+
+    Rows are numbered over the whole table in (session bucket, session, call
+    order) order; a chunk is one group of ``chunk_size`` numbers, written by one
+    task, and no task needs more than a chunk at a time.  The driver only renames
+    files.  An empty table gives one empty file."""
+    from ..functions.keys import global_row_index, md5_bucket
+
+    spark = traj.sparkSession
+    rows = traj.select("session_id", "call_order", md5_bucket(F.col("session_id"), num_buckets).alias("_bucket"),
+                       F.to_json(F.struct(overlaid_meta(F.col("meta")).alias("meta"), "tools", "messages")).alias("value"))
+    # equal keys are told apart by the row's text, so the numbering is one order
+    rows = global_row_index(rows, ["_bucket", "session_id", "call_order", "value"], "_row")
+    rows = rows.withColumn("_chunk", F.floor((F.col("_row") - 1) / F.lit(chunk_size)).cast("bigint"))
+    aside = f"{out.rstrip('/')}/_chunks"
+    (rows.repartition("_chunk").sortWithinPartitions("_chunk", "_row").select("_chunk", "value")
+     .write.mode("overwrite").partitionBy("_chunk").text(aside))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for folder in fs.listStatus(path(aside)):
+        name = folder.getPath().getName()
+        if name.startswith("_chunk="):
+            found[int(name.split("=")[1])] = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+    names = []
+    for k in sorted(found):
+        if len(found[k]) != 1:
+            raise RuntimeError(f"chunk {k} was written in {len(found[k])} files")
+        names.append(f"{stem}_part{k + 1:03d}.jsonl" if len(found) > 1 else f"{stem}.jsonl")
+        target = path(f"{out.rstrip('/')}/{names[-1]}")
+        fs.delete(target, False)
+        fs.rename(found[k][0], target)
+    if not names:
+        names.append(f"{stem}.jsonl")
+        fs.create(path(f"{out.rstrip('/')}/{names[0]}"), True).close()
+    fs.delete(path(aside), True)
+    return names
+
+
 def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, single_file: bool = False,
                        ordered: bool = False, num_buckets: int = 100) -> None:
     """JSONL sink; at most ``chunk_size`` rows per file, the caller's
@@ -139,6 +181,7 @@ def write_trajectories(traj: DataFrame, out: str, chunk_size: int = 10000, singl
 
     ``ordered`` (W7) writes in (session bucket, session, call order) order -
     a range-partitioned sort, so files are ordered too; unordered by default.
+    ``write_chunks`` gives files of exactly ``chunk_size`` rows.
     """
     w = traj
     if ordered:

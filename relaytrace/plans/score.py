@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cases import match_cases, missing_cases
-from ..operators.judge import Scorer, call_judge, parse_verdicts
+from ..operators.judge import Scorer, call_judge, parse_verdicts, verdicts
 from ..operators.score import detailed_results, score_cases, score_summary
 from ..plans.merge import materialize
 from ..session import ship_package
@@ -33,15 +33,28 @@ class ScoreResult:
     checks: DataFrame
     missing: DataFrame
     prompts: DataFrame
+    verdicts: DataFrame
 
 
-def main_trajectories(traj: DataFrame, order_col: str = "file_order") -> DataFrame:
-    """W2 per session over merged rows (``meta`` or ``session_id``, ``tools, messages``, ``order_col``)."""
+def main_trajectories(traj: DataFrame, order_col: str = "file_order", scope: str = "session", file_col: str = "src_file") -> DataFrame:
+    """W2 over merged rows (``meta`` or ``session_id``, ``tools, messages``, ``order_col``).
+
+    ``scope='session'`` picks a session's main row among its own.  ``'file'``
+    picks one main row a file among all of the file's rows and gives it to every
+    session whose first occurrence (by ``order_col``) is in that file, as the
+    single-file mode does; ``file_col`` names the file.  Both are aggregates that
+    combine map-side; a file's one row meets its sessions by an equi-join."""
     sid = F.col("session_id") if "session_id" in traj.columns else F.col("meta.session_id")
-    rows = traj.select(sid.alias("session_id"), "tools", "messages", order_col)
-    rows = rows.where(F.col("session_id").isNotNull() & (F.col("session_id") != ""))
-    return main_trajectory(rows, "session_id", order_col, F.size("tools") > 0, F.size("messages"),
-                           ["tools", "messages"])
+    if scope not in ("session", "file"):
+        raise ValueError(f"scope is 'session' or 'file', not {scope!r}")
+    rows = traj.select(sid.alias("session_id"), "tools", "messages", order_col, *([file_col] if scope == "file" else []))
+    named = F.col("session_id").isNotNull() & (F.col("session_id") != "")
+    if scope == "session":
+        return main_trajectory(rows.where(named), "session_id", order_col, F.size("tools") > 0, F.size("messages"),
+                               ["tools", "messages"])
+    best = main_trajectory(rows, file_col, order_col, F.size("tools") > 0, F.size("messages"), ["tools", "messages"])
+    first = rows.where(named).groupBy("session_id").agg(F.min_by(file_col, order_col).alias(file_col))
+    return first.join(best, file_col).select("session_id", "tools", "messages")
 
 
 def build_prompts(cases: DataFrame, main: DataFrame, id_col: str = "instance_id",
@@ -68,15 +81,19 @@ def build_prompts(cases: DataFrame, main: DataFrame, id_col: str = "instance_id"
 
 def score_job(cases: DataFrame, traj: DataFrame, scorer: Scorer | None = None,
               responses: DataFrame | None = None, id_col: str = "instance_id", checklist_col: str = "checklist",
-              order_col: str = "file_order", judge_partitions: int | None = None) -> ScoreResult:
-    """Either ``scorer`` (called once per prompt) or precomputed ``responses`` (id, response)."""
+              order_col: str = "file_order", judge_partitions: int | None = None, scope: str = "session",
+              response_store: str | None = None) -> ScoreResult:
+    """Either ``scorer`` (called once per prompt) or precomputed ``responses`` (id, response).
+
+    With ``response_store`` answers are kept there and a prompt that has one is
+    not judged again (see ``call_judge``); ``scope`` as in ``main_trajectories``."""
     # one main trajectory per session, written once: it feeds several branches
-    main = materialize(main_trajectories(traj, order_col), "main-trajectories")
+    main = materialize(main_trajectories(traj, order_col, scope), "main-trajectories")
     prompts, no_checklist, missing = build_prompts(cases, main, id_col, checklist_col)
     if responses is None:
         if scorer is None:
             raise ValueError("give a scorer or a responses frame")
-        responses = call_judge(prompts, scorer, id_col, partitions=judge_partitions)
+        responses = call_judge(prompts, scorer, id_col, partitions=judge_partitions, store=response_store)
     else:
         responses = responses.join(prompts.select(id_col), id_col, "left_semi")
         if "judge_error" not in responses.columns:
@@ -88,11 +105,11 @@ def score_job(cases: DataFrame, traj: DataFrame, scorer: Scorer | None = None,
     all_status = status.unionByName(failed).unionByName(no_checklist)
     scores = score_cases(all_status, checks, id_col)
     detailed = detailed_results(checks, categories, status.where(F.col("success")).select(id_col), id_col)
-    return ScoreResult(scores, score_summary(scores), detailed, checks, missing, prompts)
+    return ScoreResult(scores, score_summary(scores), detailed, checks, missing, prompts, verdicts(judged, id_col))
 
 
-def write_report(res: ScoreResult, out: str) -> None:
-    """Results and summary as JSON tables."""
-    res.scores.write.mode("overwrite").json(f"{out.rstrip('/')}/results")
+def write_report(res: ScoreResult, out: str, id_col: str = "instance_id") -> None:
+    """Results, each with its verdict (``eval_result``), and summary as JSON tables."""
+    res.scores.join(res.verdicts, id_col, "left").write.mode("overwrite").json(f"{out.rstrip('/')}/results")
     res.summary.write.mode("overwrite").json(f"{out.rstrip('/')}/summary")
     res.detailed.write.mode("overwrite").json(f"{out.rstrip('/')}/detailed")

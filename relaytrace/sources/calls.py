@@ -89,7 +89,8 @@ def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_p
     return out.withColumn("call_order", F.struct("request_time", "src_file", "src_block", "src_ord"))
 
 
-def _split_parsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_parsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, rejects) from ``parse_all`` output (best read from a written table)."""
     rejects = df.where(F.col("reason").isNotNull()).select(
         "src_file", "src_ord", F.lit("parse").alias("stage"), "reason", F.col("value").alias("raw"))
     calls = df.where(F.col("reason").isNull() & ~F.col("excluded")).drop("reason", "excluded")
@@ -103,7 +104,7 @@ def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
     ``model_path='meta'`` excludes by ``meta.model`` only; the default also
     reads ``request_body.model`` (the logger's own field).
     """
-    return _split_parsed(parse_all(lines, excluded_models, model_path))
+    return split_parsed(parse_all(lines, excluded_models, model_path))
 
 
 def canonicalise_all(parsed: DataFrame) -> DataFrame:

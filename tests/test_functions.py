@@ -117,3 +117,26 @@ def test_drop_scratch_removes_written_tables(spark):
     path = _SCRATCH[-1]
     assert drop_scratch(spark) >= 1
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_grouped_last_equals_a_plain_window(spark):
+    import random
+
+    from relaytrace.functions.keys import grouped_last
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "b", None]), i, rng.choice([None, None, f"v{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i int, v string").repartition(5)
+    got = {r.i: r.last for r in grouped_last(df, ["g"], ["i"], {"last": F.col("v")}, partitions=7).collect()}
+    last, want = {}, {}
+    for g, i, v in rows:
+        last[g] = v or last.get(g)
+        want[i] = last[g]
+    # a null group has no rows to carry over between partitions: groups are joined by equality
+    assert {i: got[i] for g, i, _ in rows if g} == {i: want[i] for g, i, _ in rows if g}
+    whole, now = {}, None
+    for _, i, v in rows:
+        now = v or now
+        whole[i] = now
+    assert {r.i: r.last for r in grouped_last(df, [], ["i"], {"last": F.col("v")}, partitions=6).collect()} == whole
+    assert grouped_last(df.limit(0), [], ["i"], {"last": F.col("v")}).count() == 0

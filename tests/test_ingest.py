@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relaytrace.operators.ingest import normalize_provider_events
 from relaytrace.plans.merge import merge_calls
 from relaytrace.sources.calls import encode_calls, read_cases, read_lines, read_trajectories, parse_calls
-from relaytrace.streaming.jobs import ingest_calls
+from relaytrace.streaming.jobs import ingest_calls, ingest_provider_events, read_ingested
 
 EV_SCHEMA = ("ts string, success boolean, model string, max_tokens bigint, optional_params string, "
              "system string, messages string, tools string, choices string")
@@ -97,12 +97,32 @@ def test_ingest_calls_stream(spark, tmpdir_run):
     with open(f"{tmpdir_run}/in/a/x.jsonl", "w") as fh:
         fh.write("\n".join([json.dumps(good), "{bad", json.dumps({**good, "meta": {"model": "haiku-3"}})]) + "\n")
     ingest_calls(spark, f"{tmpdir_run}/in/*", f"{tmpdir_run}/out", f"{tmpdir_run}/ck").awaitTermination()
-    rows = spark.read.parquet(f"{tmpdir_run}/out").collect()
+    rows = read_ingested(spark, f"{tmpdir_run}/out").collect()
     assert [(r.session_id, r.request_time) for r in rows] == [("s", 1)]
+    bad = read_ingested(spark, f"{tmpdir_run}/out", "rejects").collect()
+    assert [(r.stage, r.reason, r.raw, r.epoch) for r in bad] == [("parse", "bad_json", "{bad", 0)]
     # the ingested lines feed the merge unchanged
     assert merge_calls(spark, f"{tmpdir_run}/in/a", min_assistant_turns=1).trajectories.count() == 1
 
 
+def test_ingest_provider_events_stream(spark, tmpdir_run):
+    os.makedirs(f"{tmpdir_run}/ev/a", exist_ok=True)
+    event = {"ts": "2024-01-01T10:00:00Z", "success": True, "model": "m", "messages": [{"role": "user", "content": "hi"}],
+             "choices": [{"message": {"content": "yes", "tool_calls": []}}]}
+    lines = [event, {**event, "ts": "2024-01-01T12:00:00Z", "max_tokens": 7}, {**event, "success": False}, {**event, "model": "a-haiku"},
+             {**event, "ts": None}, {**event, "success": "x"}, [1]]
+    with open(f"{tmpdir_run}/ev/a/x.jsonl", "w") as fh:
+        fh.write("\n".join([*map(json.dumps, lines), "{no"]) + "\n")
+    ann = spark.sql("SELECT TIMESTAMP'2024-01-01 11:00:00Z' AS ts, 'run 1' AS instance_id")
+    ingest_provider_events(spark, f"{tmpdir_run}/ev/*", f"{tmpdir_run}/eout", f"{tmpdir_run}/eck", ann).awaitTermination()
+    calls = sorted((r.session_id, r.request_time, json.loads(r.value)) for r in read_ingested(spark, f"{tmpdir_run}/eout").collect())
+    assert [(s, t) for s, t, _ in calls] == [("run 1", 1704110400000), ("unknown", 1704103200000)]
+    assert [v["request_body"]["max_tokens"] for _, _, v in calls] == [7, 8192]
+    assert calls[0][2]["response_body"]["content"] == [{"type": "text", "text": "yes"}]
+    bad = sorted((r.stage, r.reason, r.raw) for r in read_ingested(spark, f"{tmpdir_run}/eout", "rejects").collect())
+    assert [x[:2] for x in bad] == [("event", "bad_event")] * 2 + [("event", "bad_json")] * 2
+
+
 def test_cli_merge_then_score(spark, tmpdir_run):
     from fixtures import make_log, write_log
     from relaytrace.cli import main

@@ -160,3 +160,94 @@ def test_indented_checklist_keeps_its_keys_in_order(spark):
     df = spark.createDataFrame([('{"z":{"checks":[1]},"a":"é"}',), (None,)], "t string")
     got = [r.t for r in df.select(indented_json("t").alias("t")).collect()]
     assert got == ['{\n  "z": {\n    "checks": [\n      1\n    ]\n  },\n  "a": "é"\n}', None]
+
+
+def test_response_store_asks_only_for_new_prompts(spark, tmp_path):
+    from relaytrace.operators.judge import call_judge, read_responses
+
+    asked, store = tmp_path / "asked", str(tmp_path / "store")
+
+    def judge(prompts):
+        with open(asked, "a") as fh:
+            fh.write("".join(p + "\n" for p in prompts))
+        if "broken" in prompts[0]:
+            raise RuntimeError("no answer")
+        return [p.upper() for p in prompts]
+
+    def run(rows, name):
+        df = spark.createDataFrame(rows, "instance_id string, prompt string")
+        return sorted((r.instance_id, r.response, r.judge_error) for r in call_judge(df, judge, store=store, run_id=name).collect())
+
+    def calls():
+        return sorted(asked.read_text().split()) if asked.exists() else []
+
+    assert run([("a", "p1"), ("b", "p2"), ("c", "broken")], "1") == [("a", "P1", None), ("b", "P2", None), ("c", None, "RuntimeError: no answer")]
+    assert calls() == ["broken", "p1", "p2"]
+    # b's prompt changed, d is new, c had no answer; a is not asked again
+    assert run([("a", "p1"), ("b", "p3"), ("c", "broken"), ("d", "p1")], "2") == [
+        ("a", "P1", None), ("b", "P3", None), ("c", None, "RuntimeError: no answer"), ("d", "P1", None)]
+    assert calls() == ["broken", "broken", "p1", "p1", "p2", "p3"]
+    assert run([("a", "p1"), ("d", "p1")], "3") == [("a", "P1", None), ("d", "P1", None)] and len(calls()) == 6
+    assert {(r.instance_id, r.response, r.run_id) for r in read_responses(spark, store).collect()} == {
+        ("a", "P1", "1"), ("b", "P2", "1"), ("b", "P3", "2"), ("d", "P1", "2")}
+
+
+def test_verdicts_keep_what_was_answered(spark):
+    import json
+
+    from relaytrace.operators.judge import verdicts
+
+    rows = [("a", '```json\n{"x": {"checks": []}}\n```'), ("b", "no {json"), ("c", "")]
+    got = {r.instance_id: json.loads(r.v) for r in verdicts(spark.createDataFrame(rows, "instance_id string, response string"))
+           .select("instance_id", F.to_json("eval_result").alias("v")).collect()}
+    assert got["a"] == {"x": {"checks": []}}
+    assert got["b"] == {"error": "verdict is no JSON", "raw_response": "no {json"} and got["c"]["raw_response"] == ""
+
+
+def test_exact_chunks(spark, tmp_path):
+    import json
+    import os
+
+    from relaytrace.functions.keys import md5_bucket
+    from relaytrace.plans.merge import write_chunks
+
+    meta = F.struct(F.col("session_id"), F.lit("b").alias("biz_id"), F.lit("m").alias("model"), F.lit(1).cast("bigint").alias("max_tokens"), F.parse_json(F.lit("{}")).alias("extra"))
+
+    def traj(n):
+        return spark.range(n).repartition(5).select(
+            F.concat(F.lit("s"), (F.col("id") % 6).cast("string")).alias("session_id"), F.struct(F.col("id").alias("request_time")).alias("call_order")).select(
+            "*", meta.alias("meta"), F.array(F.lit("t")).alias("tools"), F.array(F.col("call_order.request_time")).alias("messages"))
+
+    names = write_chunks(traj(25), f"{tmp_path}/out", chunk_size=10)
+    assert names == ["trajectories_part001.jsonl", "trajectories_part002.jsonl", "trajectories_part003.jsonl"]
+    assert sorted(x for x in os.listdir(f"{tmp_path}/out") if not x.startswith(".")) == names
+    rows = [[json.loads(x) for x in open(f"{tmp_path}/out/{n}")] for n in names]
+    assert [len(x) for x in rows] == [10, 10, 5]
+    want = traj(25).select(md5_bucket(F.col("session_id"), 100).alias("b"), "session_id", F.col("messages")[0].alias("m")).orderBy("b", "session_id", "m").collect()
+    assert [(r["meta"]["session_id"], r["messages"][0]) for part in rows for r in part] == [(r.session_id, r.m) for r in want]
+    assert write_chunks(traj(10), f"{tmp_path}/one", chunk_size=10) == ["trajectories.jsonl"]
+    assert write_chunks(traj(0), f"{tmp_path}/none") == ["trajectories.jsonl"] and os.path.getsize(f"{tmp_path}/none/trajectories.jsonl") == 0
+
+
+def test_tool_results_by_position_and_by_id(spark):
+    """Batch 1 was never answered: by position the later results are lost, by id none."""
+    import json
+
+    from relaytrace.plans.merge import merge_lines
+
+    def use(*ids):
+        return {"role": "assistant", "content": [{"type": "tool_use", "id": i, "name": f"n{i}", "input": {}} for i in ids]}
+
+    def results(*ids):
+        return {"role": "user", "content": [{"type": "tool_result", "tool_use_id": i, "content": f"r{i}"} for i in ids]}
+
+    messages = [{"role": "user", "content": "go"}, use("a", "b"), {"role": "user", "content": "no answer"}, use("c", "d"), results("d", "x", "c"), use("e"), results("e", "b")]
+    line = json.dumps({"session_id": "s", "request_time": 1, "request_body": {"messages": messages}, "response_body": {"content": []}})
+    df = spark.createDataFrame([(line, "f", 0, 0)], "value string, src_file string, src_block bigint, src_ord bigint")
+    got = {}
+    for match in ("position", "id"):
+        row = merge_lines(df, match=match).trajectories.select(F.to_json("messages").alias("m"), "dropped_results").first()
+        got[match] = [(m["tool_name"], m["content"]) for m in json.loads(row.m) if m["role"] == "tool"], row.dropped_results
+    # the first results meet batch (a, b), the second batch (c, d)
+    assert got["position"] == ([], 5)
+    assert got["id"] == ([("nc", "rc"), ("nd", "rd"), ("x", "rx"), ("nb", "rb"), ("ne", "re")], 5)
