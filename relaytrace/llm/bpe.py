@@ -2,7 +2,9 @@
 
 The ranks are read once per worker.  A long text is cut at safe boundaries
 first: places where every match of the pre-splitting pattern ends, so the
-encoded pieces joined are the encoding of the whole.  Decoding joins the raw
+encoded pieces joined are the encoding of the whole.  A long run of white space,
+which has no such place, is matched here by the pattern's own two rules and
+encoded as the one match it is, without the library's regex.  Decoding joins the raw
 bytes of the ids; nothing passes through a lossy string.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from relaytrace.session import ship_package
 VOCAB = "byte_bpe_multi_50k.tiktoken"
 #: Code points from which a text is encoded piece by piece.
 LONG_TEXT = 200_000
+#: White-space characters in one match from which it is encoded by itself.
+LONG_SPACE = 10_000
 #: Rows that go back to Spark at once, so that ids of long texts do not pile up.
 ROWS_OUT = 512
 
@@ -31,6 +36,8 @@ ROWS_OUT = 512
 # before ASCII white space that follows a letter, number or punctuation mark,
 # and where an ASCII letter or digit run ends at another ASCII class.  Nothing
 # in the pattern looks back, and a contraction only starts at its apostrophe.
+# The pattern's white space: Unicode's White_Space, which Python's own class exceeds.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \t\n\r])|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])")
 
 
@@ -59,11 +66,29 @@ def encoding(vocab: str):
     return tiktoken.Encoding(vocab, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_text(text: str, vocab: str = VOCAB, limit: int = LONG_TEXT) -> np.ndarray:
+def white_matches(text: str, least: int = LONG_SPACE) -> Iterator[tuple[int, int]]:
+    """Where the pattern matches ``least`` or more white-space characters at once.
+
+    A match begins with its run, since no other part of the pattern ends in white
+    space.  ``\\s+(?!\\S)`` takes the run up to the text's end, or all but the last
+    character before anything else; that one starts the next match."""
+    for m in _SPACES.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if end - m.start() >= least:
+            yield m.start(), end
+
+
+def encode_text(text: str, vocab: str = VOCAB, limit: int = LONG_TEXT, least: int = LONG_SPACE) -> np.ndarray:
     enc = encoding(vocab)
     if len(text) <= limit:
         return np.array(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text, limit)])
+    out, at = [], 0
+    for start, end in [*white_matches(text, least), (len(text), len(text))]:
+        out += [enc.encode_ordinary(p) for p in safe_pieces(text[at:start], limit)]
+        if end > start:
+            out.append(enc._encode_single_piece(text[start:end]))
+        at = end
+    return np.concatenate([np.array(ids, dtype="<u4") for ids in out])
 
 
 def decode_ids(ids: np.ndarray, vocab: str = VOCAB) -> bytes:
