@@ -80,10 +80,21 @@ def token_spans(text: str, taken: list[tuple[str, int, int]], vocab: str = VOCAB
     run, short parts between them included, and is as dense as a whole; the =
     that end a run belong to it."""
     out = []
-    taken = sorted((a, b) for _, a, b in taken)
+    held: list[tuple[int, int]] = []  # taken spans, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if held and a <= held[-1][1]:
+            held[-1] = held[-1][0], max(b, held[-1][1])
+        else:
+            held.append((a, b))
+    first = 0
     for m in _RUN.finditer(text):
-        free = [(a, b) for a, b in taken if a < m.end() and m.start() < b]
-        free = sorted(free + [k.span() for k in _KNOWN.finditer(text, *m.span())])
+        # runs and spans both go up: each is passed once
+        while first < len(held) and held[first][1] <= m.start():
+            first += 1
+        last = first
+        while last < len(held) and held[last][0] < m.end():
+            last += 1
+        free = sorted(held[first:last] + [k.span() for k in _KNOWN.finditer(text, *m.span())])
         for start, end in _left(*m.span(), free):
             if end - start < LEAST:
                 continue
