@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +52,8 @@ OWN_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising comment comments commentlist consent cookie cookies disclaimer "
     "disqus footer gdpr newsletter notice notices notification promo promoted promotion related replies reply respond "
     "signup sponsor sponsored subscribe".split())
+#: Those that also stand in the names of an article's own blocks; with prose they are text there.
+WEAK = frozenset("banner share sharing social widget widgets".split())
 #: Words of a name that turn what follows: has-sidebar is no sidebar.
 TURNS = frozenset("has no with".split())
 #: Characters outside such a block from which the page has an article besides it.
@@ -60,17 +63,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Whole class or id names of page headers (an article's own header stays).
 NOT_HEADERS = frozenset("header site-header page-header top-header main-header global-header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([A-Za-z][^\s/>\x00]*)|<[!?/]", re.I)
+#: What stands in a tag after its name; a quoted value may hold any character.
+_REST = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*")
 _ATTR = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "skip", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "skip", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total", "ends")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool, soft: str = ""):
-        # soft: left out for its name alone, "layout" or "text"
+        # soft: left out for its name alone, "layout", "weak" (layout, unless it is prose of an article) or "text"
         self.tag, self.parent, self.skip, self.soft = tag, parent, skip or bool(soft), "" if skip else soft
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -104,7 +109,7 @@ def _names(value: str) -> set[str]:
     return out
 
 
-def _soft(tag: str, attrs: str) -> str:
+def _soft(tag: str, attrs: str, within_article: bool) -> str:
     """Whether the tag or its names make an element unwanted, unless it holds the article."""
     if tag in ("body", "html", "article", "main"):
         return ""
@@ -116,65 +121,135 @@ def _soft(tag: str, attrs: str) -> str:
             if names & OWN_TEXT:
                 return "text"
             if names or NOT_HEADERS & set(value.lower().split()):
-                found = "layout"
+                found = "weak" if within_article and names and names <= WEAK and found != "layout" else "layout"
     return found
 
 
+class _Tags:
+    """Markup of a page in order: ``(start, end, closing, name, attributes)``, the
+    name empty for comments and the like.
+
+    Each character is passed a bounded number of times: where a quote never
+    closes, tags end at their first > from then on, and nothing is looked for
+    behind its last occurrence."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.last_section = page.rfind("]]>")
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while (m := _OPEN.search(page, at)) is not None:
+            start, after = m.span()
+            if m[0] == "<!--":
+                end = page.find("-->", after)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if after > self.last:
+                return None  # no tag ends any more
+            if m[2] is None:
+                section = m[0].startswith("<![") and after <= self.last_section
+                return start, page.find("]]>", after) + 3 if section else page.index(">", after) + 1, False, "", ""
+            end = _REST.match(page, after).end() if self.quotes else page.index(">", after)
+            if end == len(page) or page[end] != ">":
+                self.quotes = False
+                end = page.index(">", after)
+            return start, end + 1, bool(m[1]), m[2].lower(), page[after:end]
+        return None
+
+
+# For each kind of implied end: the elements that end, and those behind which none does.
+_KINDS = [({"p"}, BLOCK - {"p"}), *[x for i, x in enumerate(ITEM_ENDS.values()) if x not in list(ITEM_ENDS.values())[:i]]]
+_KIND_OF = {**dict.fromkeys(CLOSES_P, 0), **{tag: _KINDS.index(x) for tag, x in ITEM_ENDS.items()}}
+_EFFECT = {tag: [(i, tag in ends) for i, (ends, stop) in enumerate(_KINDS) if tag in ends or tag in stop]
+           for tag in {t for ends, stop in _KINDS for t in ends | stop}}
+
+
+def _outermost(above: tuple, node: Node) -> tuple:
+    """Per kind, the outermost open element that it would end below ``node``."""
+    effect = _EFFECT.get(node.tag)
+    if not effect:
+        return above
+    out = list(above)
+    for kind, ends in effect:
+        if not ends:
+            out[kind] = None
+        elif out[kind] is None:
+            out[kind] = node
+    return tuple(out)
+
+
 def parse(page: str) -> Node:
     """A forgiving DOM: unknown end tags are ignored, open elements end where HTML implies it."""
     root = node = Node("#root", None, False)
-    at, n, articles = 0, len(page), 0
+    root.ends = (None,) * len(_KINDS)
+    tags, at, n = _Tags(page), 0, len(page)
+    open_: Counter[str] = Counter()  # open elements by name
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             node.kids.append(page[at:])
             break
-        if m.start() > at:
-            node.kids.append(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, closing, tag, attrs = found
+        if start > at:
+            node.kids.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, open_ = m[2].lower(), not m[1]
-        if not open_:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+        if closing:
+            if open_[tag]:
                 while True:
-                    articles -= node.tag in ("article", "main")
-                    done, node = node is up, node.parent
+                    open_[node.tag] -= 1
+                    done, node = node.tag == tag, node.parent
                     if done:
                         break
             elif tag == "br":
                 node.kids.append(Node("br", node, False))
             continue
-        ends, stop = (ITEM_ENDS.get(tag) or (({"p"}, BLOCK - {"p"}) if tag in CLOSES_P else (None, None)))
-        if ends:
-            up, last = node, None
-            while up is not root and up.tag not in stop:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        kid = Node(tag, node, _unwanted(tag, m[3], articles > 0), _soft(tag, m[3]))
+        last = node.ends[_KIND_OF[tag]] if tag in _KIND_OF else None
+        while last is not None and node is not last.parent:
+            open_[node.tag] -= 1
+            node = node.parent
+        within = open_["article"] + open_["main"] > 0
+        kid = Node(tag, node, _unwanted(tag, attrs, within), _soft(tag, attrs, within))
         node.kids.append(kid)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             kid.kids.append(page[at:close.start() if close else n])
             at = close.end() if close else n
             continue
-        articles += tag in ("article", "main")
+        kid.ends = _outermost(node.ends, kid)
+        open_[tag] += 1
         node = kid
     return root
 
 
+def _restore_prose(body: Node) -> None:
+    """Weak names are no reason to leave out elements that are mostly text outside links, and enough of it."""
+    order, stack = [], [body]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(k for k in x.kids if not isinstance(k, str) and (not k.skip or k.soft))
+    if not any(x.soft == "weak" for x in order):
+        return
+    size: dict[int, tuple[int, int]] = {}  # characters outside and inside links
+    for x in reversed(order):
+        inside, outside = 0, sum(len(_SPACE.sub(" ", k).strip()) for k in x.kids if isinstance(k, str))
+        for k in x.kids:
+            if not isinstance(k, str) and not k.skip:
+                outside, inside = outside + size[id(k)][0], inside + size[id(k)][1]
+        if x.soft == "weak" and outside >= OUTSIDE and outside > 4 * inside:
+            x.skip, x.soft = False, ""
+        size[id(x)] = (0, outside + inside) if x.tag == "a" else (outside, inside)
+
+
 def _restore(body: Node) -> None:
     """Soft nodes that hold the article are wanted after all: layout with more
     of the text outside links than all wanted nodes, or with the only article
     element and half as much, and anything else if next to nothing is outside."""
+    _restore_prose(body)
     order, above, stack = [], {}, [(body, body)]
     while stack:
         x, over = stack.pop()
@@ -197,10 +272,10 @@ def _restore(body: Node) -> None:
     soft = above.get(id(body), [])
 
     def only(x: Node) -> bool:
-        return x.soft == "layout" and full[id(x)][1] and not article and 2 * full[id(x)][0] > outside
+        return x.soft != "text" and full[id(x)][1] and not article and 2 * full[id(x)][0] > outside
 
     while True:
-        found = [x for x in soft if only(x) or full[id(x)][0] > outside and (x.soft == "layout" or outside < OUTSIDE)]
+        found = [x for x in soft if only(x) or full[id(x)][0] > outside and (x.soft != "text" or outside < OUTSIDE)]
         if not found:
             return
         x = max(found, key=lambda x: (only(x), full[id(x)][0]))
@@ -304,9 +379,18 @@ def _heading(unit: list[Node | str]) -> bool:
     return not isinstance(unit[0], str) and unit[0].tag in HEADINGS
 
 
-def _blocks(top: Node, threshold: float, chosen: dict[int, list[Node | str]] | None = None) -> list[str]:
+def _siblings(x: Node, threshold: float) -> list[Node]:
+    """The chosen article and those beside it that are as dense as its path and
+    no mere cards: enough of their text, and most of it, stands outside links."""
+    if x.tag != "article" or x.parent is None:
+        return [x]
+    return [k for k in x.parent.kids if k is x or not isinstance(k, str) and k.tag == "article" and not k.skip
+            and k.density >= threshold and k.chars - k.link_chars >= OUTSIDE and 2 * k.link_chars < k.chars]
+
+
+def _blocks(top: Node, threshold: float | None, chosen: dict[int, list[Node | str]] | None = None) -> list[str]:
     """Texts of the blocks below ``top`` in page order; ``chosen`` has the kids
-    of nodes that are not kept whole."""
+    of nodes that are not kept whole, and link lists below ``threshold`` go."""
     chosen = chosen or {}
     out: list[str] = []
     buf: list[str] = []
@@ -326,7 +410,7 @@ def _blocks(top: Node, threshold: float, chosen: dict[int, list[Node | str]] | N
             flush()
         elif x.tag == "br":
             buf.append(" ")
-        elif not x.skip and not (x is not top and id(x) not in chosen and _aside(x, threshold)):
+        elif not x.skip and not (x is not top and id(x) not in chosen and threshold is not None and _aside(x, threshold)):
             if x.tag in BLOCK:
                 flush()
                 stack.append((x, True))
@@ -337,7 +421,7 @@ def _blocks(top: Node, threshold: float, chosen: dict[int, list[Node | str]] | N
 
 def _aside(x: Node, threshold: float) -> bool:
     """A list or box inside the article that is mostly links and below the path's threshold."""
-    return x.tag in BLOCK and x.density < threshold and x.link_tags > 1 and 2 * x.link_chars > x.chars
+    return x.tag in BLOCK and x.tag != "p" and x.density < threshold and x.link_tags > 1 and 2 * x.link_chars > x.chars
 
 
 def _body(root: Node) -> Node:
@@ -375,7 +459,9 @@ def main_text(page: str) -> str:
     # the body-path threshold: what is as dense as the thinnest node on the way belongs to the article
     threshold = min(x.density for x in path)
     if named is not None:
-        return "\n".join(_blocks(named, threshold))
+        # an article keeps all its blocks, however full of links; <main> may hold lists besides it
+        parts = _siblings(named, threshold)
+        return "\n".join(t for x in parts for t in _blocks(x, threshold if x.tag == "main" else None))
     # a line's inline parts and paragraphs are not told apart
     while len(path) > 1 and (path[0].tag not in BLOCK or path[0].tag in HEADINGS or path[0].tag == "p"):
         del path[0]
