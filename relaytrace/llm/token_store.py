@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ END_ID = 2
 SAMPLE_DOCS, SAMPLE_DOC_BYTES = 2000, 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
+#: Bytes of text that are encoded together.
+PART_BYTES = 3 << 20
 
 _MAGIC = b"TOKZ0001"
 _FOOTER = "<QQ8s"  # place of the index, documents, magic
@@ -49,9 +52,11 @@ _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u8"
 class _WordIds:
     """Serialised ids of words as the tokenizer gives them, remembered.
 
-    The tokenizer drops white space and merges within words only, so the ids of
-    a text are those of its words in turn.  Unknown words are encoded together
-    with a symbol of one id between each two; words with that symbol alone."""
+    Where the tokenizer drops white space and merges within words only, the ids
+    of a text are those of its words in turn, gathered at once for many texts.
+    Unknown words are encoded together with a symbol of one id between each two;
+    words with that symbol alone.  For any other tokenizer (a probe tells)
+    whole texts are encoded."""
 
     def __init__(self, vocab: str):
         import tokenizers
@@ -60,12 +65,20 @@ class _WordIds:
         # plain dicts: a set is compared with one by look-ups, with anything else by walking it all
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
-        self.cut, self.cut_id = next((c, ids[0]) for c in "^~`|#*" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1)
+        self.cut, self.cut_id = next(((c, ids[0]) for c in "^~`|#*" if len(ids := self.tok.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
         # what neither the normaliser nor the pre-tokenizer changes can go straight to the model
         letters, t = string.ascii_lowercase, self.tok
         kept = t.normalizer is None or t.normalizer.normalize_str(letters) == letters
+        # texts go word by word only if the tokenizer drops white space, merges within words and ignores case
+        self.by_words = self._ignores("It's  a naive\n\nWord, of  4 MARKS\u00c9.\n X ")
         self.direct = kept and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(letters) == [(letters, (0, 26))]
 
+    def _ignores(self, text: str) -> bool:
+        def ids(x: str) -> list[int]:
+            return self.tok.encode(x, add_special_tokens=False).ids
+
+        return ids(text) == [i for w in text.split() for i in ids(w)] == ids(text.lower()) and ids(f" {self.cut} ") == [self.cut_id]
+
     def learn(self, words: set[str]) -> None:
         """Most words are a stem and closing marks, which the tokenizer parts as
         well; capitals are lower-cased by it anyway.  So few stems are new."""
@@ -101,14 +114,40 @@ class _WordIds:
                 self.stems[w] = data[4 * a + 4:4 * b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # all words of the texts at once: cut at spaces and line ends, equal words numbered
+        data = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
+        inside = (data != 0x20) & (data != 0x0A)
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        offsets = np.zeros(len(start) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(size, out=offsets[1:])
+        kind = pa.string() if offsets.dtype == np.int32 else pa.large_string()
+        words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        distinct, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         known = self.known
         if len(known) > MEMO_ENTRIES:
             known.clear()
         if len(self.stems) > MEMO_ENTRIES:
             self.stems = {"": b""}
-        self.learn(set().union(*words).difference(known))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        found = list(map(known.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            self.learn({distinct[i] for i in new})
+            for i in new:
+                found[i] = known[distinct[i]]
+        table = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first = np.cumsum(n) - n
+        # the ids of all words in turn, gathered from those of the distinct ones
+        many = n[at]
+        ends = np.cumsum(many)
+        ids = table[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[at] - (ends - many), many)].tobytes()
+        bytes_ = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)) + 1
+        last = np.searchsorted(start, np.cumsum(bytes_))  # words up to each text's end
+        cuts = [0, *(4 * np.concatenate([[0], ends]))[last].tolist()]
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,12 +200,25 @@ def _zstd(make, folder: str, digest: str, **more):
     return make(**more) if d is None else make(dict_data=d, **more)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of about ``PART_BYTES`` of text."""
+    lo = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist()):
+        size += n
+        if size >= PART_BYTES:
+            yield lo, i + 1 - lo
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts) - lo
+
+
 def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB,
                 end_id: int | None = END_ID, folder: str | None = None) -> str:
     """Encode every whole text and write the store; returns its folder.
 
     Documents are dealt by ranges of ``id_col`` (a whole number; nulls come
-    first, equal ids by text), each task writes one shard.  A null text counts
+    first, equal ids by the text's hash, so they may span shards), each task
+    writes one shard.  A null text counts
     as empty and holds the end id alone; repeated rows are stored each; an
     empty table makes a store without documents.
     """
@@ -189,8 +241,8 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         with files.written(path) as out:
             out.write(_MAGIC + bytes.fromhex(digest))
             for batch in itertools.chain([first], batches):
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
+                for lo, n in _parts(batch.column(1)):
+                    part = batch.slice(lo, n)
                     for key, ids in zip(part.column(0).to_pylist(), encode_texts(part.column(1).to_pylist(), vocab, end_id), strict=True):
                         frame = squeeze.compress(ids)
                         out.write(frame)
@@ -203,7 +255,9 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             [pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(index)], pa.int64()),
              pa.array([int(table["n"].sum())], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    dealt = src.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    # rows of one id may fill several shards: they are dealt by their texts' hashes as well
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
+    dealt = src.repartitionByRange(*order).sortWithinPartitions(*order, text_col)
     dealt.mapInArrow(write, "shard int, path string, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
     return folder
 

@@ -277,7 +277,8 @@ def test_token_store_round_trip(spark, odd, none):
     ids = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4")
     some = fuzz("aB'sé.,!?^ \n\t\x1c ́İßΣσ漢9_😀É", 1500, 30)
     assert token_store.encode_texts(some) == [ids(t).tobytes() for t in some]
-    rows = sorted(texts(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    hashes = {r["text"] or "": r["h"] for r in odd.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted(texts(odd), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     folder = token_store.write_store(odd)
     got = token_store.read_store(spark, folder).orderBy("start").collect()
     start = 0
@@ -291,6 +292,30 @@ def test_token_store_round_trip(spark, odd, none):
     assert token_store.read_store(spark, token_store.write_store(none)).count() == 0
 
 
+def test_token_store_spreads_one_id_over_shards(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one shard
+    try:
+        folder = token_store.write_store(df.repartition(4))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = [r["path"] for r in token_store.manifest(spark, folder).collect()]
+    assert sum(token_store.read_document(folder, p, 7) is not None for p in shards) > 1
+    got = token_store.read_store(spark, folder, with_ids=False).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got) and sum(r["doc_id"] == 7 for r in got) == 1001
+
+
+def test_other_vocabularies_get_the_library_s_ids():
+    import public_tokenizers
+    import tokenizers
+
+    some = ["It's  a naïve\n\ntest", "", " lead and trail ", "CAPS and ünï", "a\tb\x1cc", "^~`|#*", *fuzz("aB'sé.,!?^ \n\t漢9_😀", 300, 30)]
+    for vocab in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(vocab))
+        want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+        assert token_store.encode_texts(some, vocab, None) == want
+
+
 def test_token_store_uses_a_trained_dictionary(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common words of many documents"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
     folder = token_store.write_store(df)
