@@ -36,21 +36,29 @@ def get_session(app: str = "relaytrace", master: str | None = None,
     return spark
 
 
+_PRIVATE: dict[str, str] = {}  # private checkpoint folder of a local application
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``, with its scheme.
 
     On a cluster this must be a shared file system; it is read from the
     session.  Only in local mode, where driver and executors are one process,
     a private folder is made when it is unset; elsewhere that is an error.
+
+    A path without a scheme is of the default file system, as Spark reads it;
+    given with its scheme, every library finds the same place.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or _PRIVATE.get(sc.applicationId)
     if not d:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not sc.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder on a shared file system")
-        d = tempfile.mkdtemp(prefix="relaytrace-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        d = _PRIVATE[sc.applicationId] = "file:" + tempfile.mkdtemp(prefix="relaytrace-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 _SCRATCH: list[str] = []
@@ -65,7 +73,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote (any Hadoop file system).
+    """Delete the intermediate tables this process wrote (any Hadoop file system),
+    and what ``cut_lineage`` checkpointed.
 
     Frames returned by the plans read these tables lazily, so call this only
     after the outputs are written.  Returns the number of folders removed.
@@ -76,6 +85,12 @@ def drop_scratch(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         if path.getFileSystem(conf).delete(path, True):
             n += 1
+    if (own := spark.sparkContext.getCheckpointDir()) is not None:  # this application's folder
+        path = jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(conf)
+        for kept in fs.listStatus(path) if fs.exists(path) else []:
+            if kept.getPath().getName().startswith("rdd-") and fs.delete(kept.getPath(), True):
+                n += 1
     return n
 
 

@@ -110,13 +110,37 @@ def test_grouped_cumsum_splits_hot_groups(spark):
 def test_drop_scratch_removes_written_tables(spark):
     import os
     from relaytrace.plans.merge import materialize
-    from relaytrace.session import _SCRATCH, drop_scratch
+    from relaytrace.session import _SCRATCH, cut_lineage, drop_scratch
     drop_scratch(spark)
     df = materialize(spark.range(5), "scratch-test")
     assert df.count() == 5
     path = _SCRATCH[-1]
-    assert drop_scratch(spark) >= 1
-    assert not os.path.exists(path.replace("file:", ""))
+    cut = cut_lineage(spark.range(7))
+    folder = spark.sparkContext.getCheckpointDir().replace("file:", "")
+    assert cut.count() == 7 and any(x.startswith("rdd-") for x in os.listdir(folder))
+    assert drop_scratch(spark) >= 2
+    assert not os.path.exists(path.replace("file:", "")) and not any(x.startswith("rdd-") for x in os.listdir(folder))
+
+
+def test_local_session_without_a_checkpoint_folder():
+    """A local session without the setting gets a private folder; paths carry their scheme."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from relaytrace.session import cut_lineage, scratch_path\n"
+        "assert not s.conf.get('spark.checkpoint.dir', None)\n"
+        "p = scratch_path(s, 'x')\n"
+        "s.range(3).write.parquet(p)\n"
+        "assert p.startswith('file:/') and s.read.parquet(p).count() == 3 and cut_lineage(s.range(4)).count() == 4\n"
+        "print('fine')\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": root, "SPARK_CONF_DIR": os.path.join(root, "tests", "no-conf")}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=200)
+    assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
 
 
 def test_grouped_last_equals_a_plain_window(spark):
