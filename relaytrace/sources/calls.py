@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import context_hashes
+from ..functions.canonical import cut_context_hashes
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS, model_allowed
 from ..session import ship_package
 
@@ -107,10 +107,44 @@ def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
     return split_parsed(parse_all(lines, excluded_models, model_path))
 
 
+def _element_texts(line: Column, request: Column, response: Column) -> tuple[Column, Column, Column]:
+    """JSON texts of a call's system blocks, messages and response content, cut
+    out of the line as they stand there; NULL where that is not safe."""
+    empty = F.array().cast("array<string>")
+
+    def texts(body: Column, name: str) -> Column:
+        v = F.try_variant_get(request, f"$.{name}", "variant")
+        items = F.try_variant_get(v, "$", "array<variant>")
+        cut = F.from_json(F.get_json_object(body, f"$.{name}"), "array<string>")
+        whole = F.forall(items, _is_object) & (F.size(cut) == F.size(items)) & ~F.exists(cut, lambda x: x.isNull())
+        return F.when(v.isNull() | F.is_variant_null(v), empty).when(items.isNotNull() & whole, cut)
+
+    asked, answered = F.get_json_object(line, "$.request_body"), F.get_json_object(line, "$.response_body")
+    system = F.try_variant_get(request, "$.system", "variant")
+    one = F.when(_kind(system) == "STRING", F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.try_variant_get(system, "$", "string").alias("text")))))
+    content = F.try_variant_get(response, "$.content", "variant")
+    completion = F.when(content.isNull() | F.is_variant_null(content), F.lit("[]")).when(
+        F.try_variant_get(content, "$", "array<variant>").isNotNull(), F.get_json_object(answered, "$.content"))
+    same = F.to_json(F.try_parse_json(completion)) == F.to_json(content)
+    completion = F.when(content.isNull() | F.is_variant_null(content) | same, completion)
+    # surrogates that are escaped may have no text of their own in Spark; of keys that
+    # stand twice Spark takes the first and Python the last
+    twice = F.greatest(*(F.regexp_count("value", F.lit(rf'"{k}\\*"\s*:')) for k in ("request_body", "response_body", "messages", "system")))
+    safe = ~F.col("value").rlike(r"\\u[dD][89abAB]") & (twice <= 1)
+    return tuple(F.when(safe, c) for c in (F.coalesce(texts(asked, "system"), one), texts(asked, "messages"), completion))
+
+
 def canonicalise_all(parsed: DataFrame) -> DataFrame:
     """E4 on every parsed row; adds the context hash columns and ``ctx_reason``."""
     ship_package(parsed.sparkSession)
-    c = parsed.withColumn("_ctx", context_hashes(F.col("value")))
+    # only lines that are calls are cut; the rest is decoded (and reported) as it is
+    system, messages, completion = _element_texts(F.col("value"), F.col("request"), F.col("response"))
+    c = parsed.withColumn("_system", system).withColumn("_messages", messages).withColumn("_completion", completion)
+    cut = F.col("reason").isNull() & F.col("_system").isNotNull() & F.col("_messages").isNotNull() & F.col("_completion").isNotNull()
+    c = c.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    c = c.withColumn("_ctx", cut_context_hashes(
+        F.when(~F.col("_cut"), F.col("value")), *(F.when(F.col("_cut"), F.col(x)) for x in ("_system", "_messages", "_completion"))))
+    c = c.drop("_system", "_messages", "_completion", "_cut")
     last = lambda a: F.coalesce(F.try_element_at(F.col(a), F.lit(-1)), F.lit(""))
     c = c.select("*", "_ctx.n_system", "_ctx.roles", "_ctx.dkeys", "_ctx.gkeys", "_ctx.gshell", "_ctx.gcontent",
                  "_ctx.resp_h", F.when(~F.col("_ctx.ok"), F.col("_ctx.reason")).alias("ctx_reason")).drop("_ctx")
