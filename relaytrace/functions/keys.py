@@ -58,7 +58,7 @@ def running_prefix_keys(elems: DataFrame, partition_cols: list[str], pos_col: st
     return out.drop("_t1", "_t2", "_s1", "_s2")
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 15)
 def _py_term(pos: int, h: str) -> tuple[int, int]:
     d = hashlib.md5(f"{pos}:{h}".encode()).hexdigest()
     return int(d[:15], 16), int(d[16:31], 16)
