@@ -2,6 +2,7 @@
 
     text scan -> parse (S2/S3, P1) -> canonical hashes (E4, Arrow UDF)
       -> written once to the shared checkpoint folder (lineage cut, pruned reads)
+      -> where most sessions have one call, J1 and J2 look at the others only
       -> J1 prefix dedup on keys only          (aggregate by (session, key))
       -> J2 rank-join replay on keys only      (windows by (session, context key))
          + E5 exact replay for non-neutral sessions (hashes only)
@@ -90,6 +91,19 @@ def replay_flags(calls: DataFrame, kept: DataFrame, exact: bool = True) -> tuple
     return turns_n.unionByName(ex_turns), finals_n.unionByName(ex_finals)
 
 
+def _several_calls(calls: DataFrame) -> DataFrame | None:
+    """Sessions of several calls, or None where most calls are in such sessions.
+
+    A session's only call has nothing to be compared with: no later call extends
+    its context, so it is kept; every history in it is shorter than the context it
+    answers, so none takes its response and its final response is its own."""
+    counts = materialize(calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")), "sessions")
+    n, lone = counts.agg(F.sum("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0))).first()
+    if not n or 2 * lone < n:
+        return None
+    return materialize(counts.where("n > 1").select("session_id"), "several")
+
+
 def merge_calls(spark: SparkSession, path: str, min_assistant_turns: int = DEFAULT_MIN_ASSISTANT_TURNS,
                 excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any",
                 exact: bool = True, persist: bool = True, match: str = "position") -> MergeResult:
@@ -103,10 +117,14 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     """Merge already-read lines (``value, src_file, src_block, src_ord``)."""
     calls, rejects = prepare_calls(lines, excluded_models, model_path, persist)
     keys = calls.select("session_id", "call_order", "ctx_dkey", "ctx_gkey", "n_system", "roles", "dkeys",
-                        "gkeys", "gshell", "gcontent")
-    dctx = keys.select("session_id", "call_order", F.explode("dkeys").alias("dkey"))
-    kept_keys = prefix_dedup(dctx, keys).where("kept").drop("kept")
-    turns, finals = replay_flags(calls, kept_keys, exact)
+                        "gkeys", "gshell", "gcontent", "resp_h")
+    several = _several_calls(calls) if persist else None
+    shared = keys if several is None else keys.join(several, "session_id", "left_semi")
+    dctx = shared.select("session_id", "call_order", F.explode("dkeys").alias("dkey"))
+    kept_keys = prefix_dedup(dctx, shared).where("kept").drop("kept")
+    if persist:
+        kept_keys = materialize(kept_keys, "kept")  # read by every branch of the replay
+    turns, finals = replay_flags(shared, kept_keys, exact)
 
     # replacement content of generated turns: the providing call's response blocks
     resp = calls.select("session_id", F.col("call_order").alias("src_order"),
@@ -114,10 +132,19 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
     subs = (turns.join(resp, ["session_id", "src_order"], "left")
             .select("session_id", "call_order",
                     F.struct((F.col("pos") - F.lit(0)).alias("pos"), "generation", "sub").alias("_t")))
-    kept_payload = calls.join(kept_keys.select("session_id", "call_order"), ["session_id", "call_order"], "left_semi")
     per_call = (subs.groupBy("session_id", "call_order").agg(F.collect_list("_t").alias("_ts")))
-    rows = (kept_payload.join(per_call, ["session_id", "call_order"], "left")
-            .join(finals, ["session_id", "call_order"], "left"))
+    ids = ["session_id", "call_order"]
+    if several is None:
+        rows = calls.join(kept_keys.select(*ids), ids, "left_semi").join(per_call, ids, "left").join(finals, ids, "left")
+    else:
+        # the flags are joined among themselves first, so payloads are joined once,
+        # and stay where they are if the flags are few
+        flags = (shared.select(*ids).distinct().withColumn("_shared", F.lit(True))
+                 .join(kept_keys.select(*ids).distinct().withColumn("_kept", F.lit(True)), ids, "left")
+                 .join(per_call, ids, "left").join(finals, ids, "left"))
+        rows = calls.join(materialize(flags, "flags"), ids, "left").where("_shared IS NULL OR _kept")
+        rows = rows.withColumn("final_generation", F.coalesce("final_generation", F.col("_shared").isNull())).drop("_shared", "_kept")
+        kept_keys = kept_keys.unionByName(keys.join(several, "session_id", "left_anti"))
     rows = rows.withColumn("gen_map", F.map_from_entries(F.transform(
         F.coalesce(F.col("_ts"), F.array().cast("array<struct<pos:bigint,generation:boolean,sub:variant>>")),
         lambda t: F.struct((t["pos"] - F.col("n_system")).cast("int").alias("k"),
@@ -129,7 +156,7 @@ def merge_lines(lines: DataFrame, min_assistant_turns: int = DEFAULT_MIN_ASSISTA
         # push the reject filter into (and so duplicate) the conversion
         converted = materialize(converted, "converted")
     traj, rej3 = split_converted(converted)
-    return MergeResult(traj, rejects.unionByName(rej3), calls, kept_keys)
+    return MergeResult(traj, rejects.unionByName(rej3), calls, kept_keys.drop("resp_h"))
 
 
 def write_chunks(traj: DataFrame, out: str, chunk_size: int = 10000, num_buckets: int = 100, stem: str = "trajectories") -> list[str]:

@@ -16,16 +16,22 @@ from ..session import ship_package
 
 
 def _kind(v: Column) -> Column:
-    """Top-level JSON kind of a variant: OBJECT, ARRAY, STRING, ... (NULL if missing).
+    """Top-level kind of a scalar variant: STRING, BIGINT, DECIMAL, ... (NULL if missing).
 
     Only for small values: ``schema_of_variant`` walks the whole value.
     """
-    return F.when(v.isNotNull(), F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1))
+    return F.when(v.isNotNull(), F.substring_index(F.schema_of_variant(v), "(", 1))
 
 
-def _is_object(v: Column) -> Column:
-    """Top-level object test by a cast (no walk over nested values)."""
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def _is_object(v: Column, likely: str) -> Column:
+    """Top-level object test: only an object has the field ``likely``; where that is
+    missing a cast tells (it copies every field, but does not walk nested values)."""
+    return F.try_variant_get(v, f"$.{likely}", "variant").isNotNull() | F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _once(text: Column, word: str) -> Column:
+    """Whether ``word`` stands at most once in ``text`` (cheaper than a pattern)."""
+    return F.substring_index(text, word, 2) == text
 
 
 def _body(v: Column) -> Column:
@@ -43,7 +49,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
            .select("value", F.col("_metadata.file_path").alias("src_file"),
                    F.col("_metadata.file_block_start").alias("src_block"),
                    F.monotonically_increasing_id().alias("src_ord")))
-    return raw.where(F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") != "")
+    return raw.where(F.col("value").rlike(r"(?U)\S"))
 
 
 def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_path: str = "any") -> DataFrame:
@@ -61,10 +67,10 @@ def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_p
     resp = _body(F.try_variant_get(F.col("_v"), "$.response_body", "variant"))
     rt_v = F.try_variant_get(F.col("_v"), "$.request_time", "variant")
     df = (df.withColumn("_req", req).withColumn("_resp", resp)
-          .withColumn("_sid_kind", _kind(sid_v)).withColumn("_meta_obj", _is_object(meta_v))
+          .withColumn("_sid_kind", _kind(sid_v)).withColumn("_meta_obj", _is_object(meta_v, "model"))
           .withColumn("_mm_kind", _kind(meta_model_v)).withColumn("_rt_kind", _kind(rt_v)))
     # a valid JSON text is an object iff its first non-blank character is '{'
-    row_is_object = F.regexp_extract(F.col("value"), r"^\s*(\S)", 1) == "{"
+    row_is_object = F.startswith(F.col("value"), F.lit("{")) | (F.regexp_extract(F.col("value"), r"^\s*(\S)", 1) == "{")
     reason = (F.when(F.col("_v").isNull(), "bad_json")
               .when(~row_is_object, "bad_json")
               .when(F.col("_sid_kind").isNotNull() & (F.col("_sid_kind") != "STRING"), "bad_json")
@@ -72,8 +78,8 @@ def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_p
               .when(F.col("_mm_kind").isNotNull() & (F.col("_mm_kind") != "STRING"), "bad_json")
               .when(F.col("_rt_kind").isNotNull() & ~F.col("_rt_kind").isin("BIGINT", "INT", "SMALLINT", "TINYINT",
                                                                           "DECIMAL"), "bad_json")
-              .when(F.col("_req").isNull() | ~_is_object(F.col("_req")), "bad_body")
-              .when(F.col("_resp").isNull() | ~_is_object(F.col("_resp")), "bad_body"))
+              .when(F.col("_req").isNull() | ~_is_object(F.col("_req"), "model"), "bad_body")
+              .when(F.col("_resp").isNull() | ~_is_object(F.col("_resp"), "content"), "bad_body"))
     meta_model = F.try_variant_get(meta_v, "$.model", "string")
     req_model = F.try_variant_get(F.col("_req"), "$.model", "string")
     model_for_filter = meta_model if model_path == "meta" else F.coalesce(meta_model, req_model)
@@ -84,8 +90,8 @@ def parse_all(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS, model_p
         F.coalesce(req_model, F.lit("")).alias("model"),
         F.coalesce(F.try_variant_get(F.col("_req"), "$.max_tokens", "bigint"), F.lit(0)).alias("max_tokens"),
         F.col("_req").alias("request"), F.col("_resp").alias("response"),
-        "value", "src_file", "src_block", "src_ord", reason.alias("reason"),
-        (reason.isNull() & ~model_allowed(model_for_filter, excluded_models)).alias("excluded"))
+        "value", "src_file", "src_block", "src_ord", reason.alias("reason"), (~model_allowed(model_for_filter, excluded_models)).alias("_not_allowed"))
+    out = out.withColumn("excluded", F.col("reason").isNull() & F.col("_not_allowed")).drop("_not_allowed")
     return out.withColumn("call_order", F.struct("request_time", "src_file", "src_block", "src_ord"))
 
 
@@ -107,44 +113,68 @@ def parse_calls(lines: DataFrame, excluded_models=DEFAULT_EXCLUDED_MODELS,
     return split_parsed(parse_all(lines, excluded_models, model_path))
 
 
-def _element_texts(line: Column, request: Column, response: Column) -> tuple[Column, Column, Column]:
+def _cut_bodies(line: Column) -> Column:
+    """Texts of a line's two bodies in one reading."""
+    return F.from_json(line, "request_body string, response_body string")
+
+
+def _cut_request(body: Column) -> Column:
+    """Texts of a request's system and messages in one reading."""
+    return F.from_json(body, "system string, messages array<string>")
+
+
+def _element_texts(line: Column, request: Column, response: Column, bodies: Column | None = None,
+                   asked: Column | None = None) -> tuple[Column, Column, Column]:
     """JSON texts of a call's system blocks, messages and response content, cut
-    out of the line as they stand there; NULL where that is not safe."""
+    out of the line as they stand there; NULL where that is not safe.
+
+    ``bodies`` and ``asked`` are ``_cut_bodies`` of the line and ``_cut_request`` of
+    its request, as columns that were computed before: each expression here names
+    them several times."""
+    bodies = _cut_bodies(line) if bodies is None else bodies
+    asked = _cut_request(bodies["request_body"]) if asked is None else asked
     empty = F.array().cast("array<string>")
 
-    def texts(body: Column, name: str) -> Column:
-        v = F.try_variant_get(request, f"$.{name}", "variant")
-        items = F.try_variant_get(v, "$", "array<variant>")
-        cut = F.from_json(F.get_json_object(body, f"$.{name}"), "array<string>")
-        whole = F.forall(items, _is_object) & (F.size(cut) == F.size(items)) & ~F.exists(cut, lambda x: x.isNull())
-        return F.when(v.isNull() | F.is_variant_null(v), empty).when(items.isNotNull() & whole, cut)
+    def texts(v: Column, cut: Column, field: str) -> Column:
+        # as many objects as there are elements: each element is one
+        objects = F.filter(F.try_variant_get(v, "$", f"array<struct<{field}:string>>"), lambda x: x.isNotNull())
+        whole = (F.size(objects) == F.size(cut)) & ~F.exists(cut, lambda x: x.isNull())
+        return F.when(v.isNull() | F.is_variant_null(v), empty).when(whole, cut)
 
-    asked, answered = F.get_json_object(line, "$.request_body"), F.get_json_object(line, "$.response_body")
+    answered = bodies["response_body"]
     system = F.try_variant_get(request, "$.system", "variant")
-    one = F.when(_kind(system) == "STRING", F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.try_variant_get(system, "$", "string").alias("text")))))
+    said = F.try_variant_get(system, "$", "string")
+    one = F.when(said.isNotNull() & (_kind(system) == "STRING"), F.array(F.to_json(F.struct(F.lit("text").alias("type"), said.alias("text")))))
     content = F.try_variant_get(response, "$.content", "variant")
     completion = F.when(content.isNull() | F.is_variant_null(content), F.lit("[]")).when(
         F.try_variant_get(content, "$", "array<variant>").isNotNull(), F.get_json_object(answered, "$.content"))
-    same = F.to_json(F.try_parse_json(completion)) == F.to_json(content)
+    # one key of that name is the one that Spark took; of several the values are compared
+    alone = _once(answered, "content") & ~F.contains(answered, F.lit("\\u"))
+    same = alone | (F.to_json(F.try_parse_json(completion)) == F.to_json(content))
     completion = F.when(content.isNull() | F.is_variant_null(content) | same, completion)
     # surrogates that are escaped may have no text of their own in Spark; of keys that
-    # stand twice Spark takes the first and Python the last
-    twice = F.greatest(*(F.regexp_count("value", F.lit(rf'"{k}\\*"\s*:')) for k in ("request_body", "response_body", "messages", "system")))
-    safe = ~F.col("value").rlike(r"\\u[dD][89abAB]") & (twice <= 1)
-    return tuple(F.when(safe, c) for c in (F.coalesce(texts(asked, "system"), one), texts(asked, "messages"), completion))
+    # stand twice Spark takes one or the other and Python the last
+    safe = ~(F.contains(line, F.lit("\\u")) & line.rlike(r"\\u[dD][89abAB]"))
+    for k in ("request_body", "response_body", "messages", "system"):
+        safe = safe & (_once(line, k) | (F.regexp_count("value", F.lit(rf'"{k}\\*"\s*:')) <= 1))
+    messages = F.try_variant_get(request, "$.messages", "variant")
+    blocks = F.from_json(asked["system"], "array<string>")
+    return tuple(F.when(safe, c) for c in (F.coalesce(texts(system, blocks, "type"), one), texts(messages, asked["messages"], "role"), completion))
 
 
 def canonicalise_all(parsed: DataFrame) -> DataFrame:
     """E4 on every parsed row; adds the context hash columns and ``ctx_reason``."""
     ship_package(parsed.sparkSession)
     # only lines that are calls are cut; the rest is decoded (and reported) as it is
-    system, messages, completion = _element_texts(F.col("value"), F.col("request"), F.col("response"))
-    c = parsed.withColumn("_system", system).withColumn("_messages", messages).withColumn("_completion", completion)
+    cuts = parsed.withColumn("_bodies", _cut_bodies(F.col("value")))
+    cuts = cuts.withColumn("_asked", _cut_request(F.col("_bodies")["request_body"]))
+    system, messages, completion = _element_texts(F.col("value"), F.col("request"), F.col("response"), F.col("_bodies"), F.col("_asked"))
+    c = cuts.withColumn("_system", system).withColumn("_messages", messages).withColumn("_completion", completion)
     cut = F.col("reason").isNull() & F.col("_system").isNotNull() & F.col("_messages").isNotNull() & F.col("_completion").isNotNull()
     c = c.withColumn("_cut", F.coalesce(cut, F.lit(False)))
     c = c.withColumn("_ctx", cut_context_hashes(
         F.when(~F.col("_cut"), F.col("value")), *(F.when(F.col("_cut"), F.col(x)) for x in ("_system", "_messages", "_completion"))))
-    c = c.drop("_system", "_messages", "_completion", "_cut")
+    c = c.drop("_system", "_messages", "_completion", "_cut", "_bodies", "_asked")
     last = lambda a: F.coalesce(F.try_element_at(F.col(a), F.lit(-1)), F.lit(""))
     c = c.select("*", "_ctx.n_system", "_ctx.roles", "_ctx.dkeys", "_ctx.gkeys", "_ctx.gshell", "_ctx.gcontent",
                  "_ctx.resp_h", F.when(~F.col("_ctx.ok"), F.col("_ctx.reason")).alias("ctx_reason")).drop("_ctx")
