@@ -25,7 +25,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import md5_bucket
 from ..operators.attribute import asof_attribute
-from ..operators.convert import kind
 from ..operators.filters import DEFAULT_EXCLUDED_MODELS
 from ..operators.report import DEFAULT_BUCKETS
 from ..plans.merge import materialize, merge_lines
@@ -43,7 +42,7 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.load(path).select("value", F.col("_metadata.file_path").alias("src_file"),
                               F.col("_metadata.file_block_start").alias("src_block"))
-    return raw.where(F.regexp_replace(F.col("value"), r"(?U)^\s+|\s+$", "") != "")
+    return raw.where(F.col("value").rlike(r"(?U)\S"))
 
 
 def _start(source: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -131,10 +130,13 @@ def read_ingested(spark: SparkSession, out: str, table: str = "calls") -> DataFr
 def _session_of(line: Column) -> Column:
     """The session a line belongs to; '' where it names none, NULL where the line
     or its session is no JSON text and so belongs to no session."""
-    v = F.try_parse_json(line)
-    given = F.try_variant_get(v, "$.session_id", "variant")
-    return F.when(v.isNull() | (given.isNotNull() & (kind(given) != "STRING")), F.lit(None).cast("string")).otherwise(
-        F.coalesce(F.try_variant_get(given, "$", "string"), F.lit("")))
+    def named(v: Column) -> Column:
+        given = F.try_variant_get(v, "$.session_id", "variant")
+        return F.when(v.isNull() | (F.schema_of_variant(given) != "STRING"), F.lit(None).cast("string")).otherwise(
+            F.coalesce(F.try_variant_get(given, "$", "string"), F.lit("")))
+
+    # the lambda's variable is parsed once, whatever names it
+    return F.element_at(F.transform(F.array(F.try_parse_json(line)), named), 1)
 
 
 def touched_lines(lines: DataFrame, touched: DataFrame, mine: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def incremental_merge(spark: SparkSession, lines: DataFrame, state_dir: str, out
         seen = Observation()
         now = touched_lines(stored, touched, mine).select("value", "src_file", "src_block", "src_ord")
         res = merge_lines(now.observe(seen, F.count(F.lit(1)).alias("lines")), min_assistant_turns=min_assistant_turns)
-        rejects = res.rejects.withColumn("session_id", _session_of(F.col("raw")))
+        rejects = materialize(res.rejects.withColumn("session_id", _session_of(F.col("raw"))), "rejects")
         by_session = ("touched", ["session_id"])
         merged.commit(
             epoch,
