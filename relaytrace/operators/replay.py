@@ -85,9 +85,9 @@ def mark_generation(occ: DataFrame, kept_calls: DataFrame, providers: DataFrame,
 # is ever gathered in one task.
 
 def _sums(key: "F.Column"):
+    # cast as text: beside a number it would be read as a bigint, and eight terms pass 2^63
     parts = F.split(key, ":")
-    return (F.when(key == "", F.lit(0)).otherwise(parts.getItem(1)).cast("decimal(38,0)"),
-            F.when(key == "", F.lit(0)).otherwise(parts.getItem(2)).cast("decimal(38,0)"))
+    return tuple(F.when(key == "", F.lit("0")).otherwise(parts.getItem(i)).cast("decimal(38,0)") for i in (1, 2))
 
 
 def kept_context_rows(kept: DataFrame) -> DataFrame:
@@ -129,10 +129,10 @@ def frontier_replay(ctx: DataFrame, kept: DataFrame, providers: DataFrame) -> tu
     prov = cut_lineage(prov)
     counts = prov.groupBy("session_id", "h").agg(F.max("_n").alias("_cnt"))
     spark = ctx.sparkSession
-    decided = spark.createDataFrame([], "session_id string, call_order struct<request_time:bigint,src_file:string,"
-                                        "src_block:bigint,src_ord:bigint>, pos bigint, generation boolean, "
-                                        "src_order struct<request_time:bigint,src_file:string,src_block:bigint,"
-                                        "src_ord:bigint>, sub_h string")
+    nobody = F.lit(None)
+    decided = kept.where(F.lit(False)).select(
+        "session_id", "call_order", nobody.cast("bigint").alias("pos"), nobody.cast("boolean").alias("generation"),
+        F.col("call_order").alias("src_order"), nobody.cast("string").alias("sub_h"))
     ctx = cut_lineage(ctx)
     f1, f2 = _sums(F.col("ctx_gkey"))
     kept = cut_lineage(kept.select("session_id", "call_order", "n", f1.alias("of1"), f2.alias("of2")))
