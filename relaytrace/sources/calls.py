@@ -165,15 +165,17 @@ def _element_texts(line: Column, request: Column, response: Column, bodies: Colu
 def canonicalise_all(parsed: DataFrame) -> DataFrame:
     """E4 on every parsed row; adds the context hash columns and ``ctx_reason``."""
     ship_package(parsed.sparkSession)
-    # only lines that are calls are cut; the rest is decoded (and reported) as it is
+    # lines that are no calls need no hashes; of the calls some cannot be cut and are
+    # decoded (and reported) as they are
+    live = F.col("reason").isNull()
     cuts = parsed.withColumn("_bodies", _cut_bodies(F.col("value")))
     cuts = cuts.withColumn("_asked", _cut_request(F.col("_bodies")["request_body"]))
     system, messages, completion = _element_texts(F.col("value"), F.col("request"), F.col("response"), F.col("_bodies"), F.col("_asked"))
     c = cuts.withColumn("_system", system).withColumn("_messages", messages).withColumn("_completion", completion)
-    cut = F.col("reason").isNull() & F.col("_system").isNotNull() & F.col("_messages").isNotNull() & F.col("_completion").isNotNull()
+    cut = live & F.col("_system").isNotNull() & F.col("_messages").isNotNull() & F.col("_completion").isNotNull()
     c = c.withColumn("_cut", F.coalesce(cut, F.lit(False)))
     c = c.withColumn("_ctx", cut_context_hashes(
-        F.when(~F.col("_cut"), F.col("value")), *(F.when(F.col("_cut"), F.col(x)) for x in ("_system", "_messages", "_completion"))))
+        F.when(live & ~F.col("_cut"), F.col("value")), *(F.when(F.col("_cut"), F.col(x)) for x in ("_system", "_messages", "_completion"))))
     c = c.drop("_system", "_messages", "_completion", "_cut", "_bodies", "_asked")
     last = lambda a: F.coalesce(F.try_element_at(F.col(a), F.lit(-1)), F.lit(""))
     c = c.select("*", "_ctx.n_system", "_ctx.roles", "_ctx.dkeys", "_ctx.gkeys", "_ctx.gshell", "_ctx.gcontent",
